@@ -46,7 +46,7 @@ def rescale_similarity(distance: Column) -> Column:
 
 
 def histogram_similarity(a: Column, b: Column) -> Column:
-    shared = F.aggregate(F.zip_with(a, b, F.least), F.lit(0.0), lambda s, x: s + x)
+    shared = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0.0), lambda s, x: s + x)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), shared))
 
 

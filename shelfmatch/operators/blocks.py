@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,40 +56,23 @@ def duplicate_blocks(blocks: DataFrame, iou: float = BLOCK_IOU) -> DataFrame:
     ).select("first_pos", "row.*")
     work = collapsed.unionByName(single).unionByName(unboxed)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first_pos")
-        kept: list[dict] = []
-        for row in pdf.to_dict("records"):
-            place = next((i for i, k in enumerate(kept) if _same_place(k["box"], row["box"], iou)), None)
-            if place is None:
-                kept.append(row)
-            elif _confidence(row) > _confidence(kept[place]):
-                kept[place] = {**row, "first_pos": kept[place]["first_pos"]}
-        return pd.DataFrame(kept, columns=pdf.columns)[["first_pos", *columns]]
-
-    # Most texts occur once in their image and need no Python.
+    # Most texts occur once in their image and need no fold.
     group = ["image_id", "normalized_text"]
-    several = work.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*group)
-    alone = work.join(several, group, "left_anti").select("first_pos", *columns)
-    folded = work.join(several, group, "left_semi").select("first_pos", *columns)
-    return alone.unionByName(folded.groupBy(*group).applyInPandas(fold, folded.schema))
-
-
-def _confidence(row: dict) -> float:
-    value = row["confidence"]
-    return -1.0 if value is None or value != value else value
-
-
-def _same_place(a, b, threshold: float) -> bool:
-    if a is None or b is None:
-        return True
-    width = min(a["max_x"], b["max_x"]) - max(a["min_x"], b["min_x"])
-    height = min(a["max_y"], b["max_y"]) - max(a["min_y"], b["min_y"])
-    if width <= 0 or height <= 0:
-        return False
-    area = lambda r: (r["max_x"] - r["min_x"]) * (r["max_y"] - r["min_y"])
-    union = area(a) + area(b) - width * height
-    return union > 0 and width * height / union >= threshold
+    rows = F.sort_array(F.collect_list(F.struct("first_pos", *columns)))
+    grouped = work.groupBy(*group).agg(rows.alias("rows"))
+    folded = F.when(F.size("rows") == 1, F.col("rows")).otherwise(
+        F.aggregate(F.slice("rows", 2, F.size("rows")), F.slice("rows", 1, 1), lambda kept, row: _place(kept, row, iou)))
+    return grouped.select(F.explode(folded).alias("r")).select("r.*")
+
+
+def _place(kept: Column, row: Column, iou: float) -> Column:
+    """The kept blocks after one more block of the same text."""
+    matches = F.transform(kept, lambda k: k["box"].isNull() | row["box"].isNull() | (N.box_iou(k["box"], row["box"]) >= iou))
+    place = F.array_position(matches, True)
+    sure = lambda r: F.coalesce(r["confidence"], F.lit(-1.0))
+    replaced = F.transform(kept, lambda k, i: F.when(
+        (i == place - 1) & (sure(row) > sure(k)), row.withField("first_pos", k["first_pos"])).otherwise(k))
+    return F.when(place == 0, F.concat(kept, F.array(row))).otherwise(replaced)
 
 
 def candidate_fields(blocks: DataFrame) -> DataFrame:

@@ -174,8 +174,10 @@ def joinable_blocks(blocks: DataFrame) -> DataFrame:
     an image with many blocks is never joined with itself as a whole. Each candidate pair meets in
     one cell only. ``blocks``: image_id, variant, pos, box, confidence.
     """
+    edges = ["min_x", "min_y", "max_x", "max_y"]
     boxed = blocks.where(F.col("box").isNotNull()).select(
-        "image_id", "variant", "pos", "confidence", "box", N.box_height(F.col("box")).alias("h"),
+        "image_id", "variant", "pos", "confidence", *[F.col(f"box.{e}").alias(e) for e in edges],
+        N.box_height(F.col("box")).alias("h"),
         (F.col("box.max_x") - F.col("box.min_x")).alias("w"),
         ((F.col("box.min_y") + F.col("box.max_y")) / 2).alias("cy"),
         ((F.col("box.min_x") + F.col("box.max_x")) / 2).alias("cx"),
@@ -187,21 +189,21 @@ def joinable_blocks(blocks: DataFrame) -> DataFrame:
     keys = ["image_id", "variant"]
 
     def side(df: DataFrame, tag: str, cells: list[str]) -> DataFrame:
-        return df.select(*keys, *cells, *[F.col(c).alias(f"{tag}_{c}") for c in ("pos", "confidence", "box", "h", "w", "cx")])
+        return df.select(*keys, *cells, *[F.col(c).alias(f"{tag}_{c}") for c in ("pos", "confidence", "h", "w", "cx", *edges)])
 
     # One line: the right edge of the left block faces the left edge of the right block.
     left = sized.withColumn("hk", _around(F.col("hc"), -1, 0, 1))
     left = left.withColumns({
-        "yk": _cell(F.col("cy"), reach(F.col("hk"))), "xk": _cell(F.col("box.max_x"), reach(F.col("hk")))
+        "yk": _cell(F.col("cy"), reach(F.col("hk"))), "xk": _cell(F.col("max_x"), reach(F.col("hk")))
     })
     right = sized.withColumn("hk", F.col("hc").cast("long")).withColumn(
         "yk", _around(_cell(F.col("cy"), reach(F.col("hc"))), -1, 0, 1)
-    ).withColumn("xk", _around(_cell(F.col("box.min_x"), reach(F.col("hc"))), -1, 0))
+    ).withColumn("xk", _around(_cell(F.col("min_x"), reach(F.col("hc"))), -1, 0))
     line_cells = ["hk", "yk", "xk"]
     line = side(left, "l", line_cells).join(side(right, "r", line_cells), [*keys, *line_cells])
     small, large = F.least("l_h", "r_h"), F.greatest("l_h", "r_h")
-    overlap_y = F.least("l_box.max_y", "r_box.max_y") - F.greatest("l_box.min_y", "r_box.min_y")
-    gap_x = F.col("r_box.min_x") - F.col("l_box.max_x")
+    overlap_y = F.least("l_max_y", "r_max_y") - F.greatest("l_min_y", "r_min_y")
+    gap_x = F.col("r_min_x") - F.col("l_max_x")
     alike = (F.col("l_pos") != F.col("r_pos")) & (small / large >= 0.6)
     line = line.where(alike & (overlap_y >= small * 0.4) & gap_x.between(F.lit(0.0), large))
 
@@ -209,19 +211,19 @@ def joinable_blocks(blocks: DataFrame) -> DataFrame:
     strong = sized.where((F.col("confidence") >= 0.75) & (F.col("w") > 0)).withColumn("wc", _scale(F.col("w"), 0.65))
     upper = strong.withColumn("hk", _around(F.col("hc"), -1, 0, 1)).withColumn("wk", _around(F.col("wc"), -1, 0, 1))
     upper = upper.withColumns({
-        "yk": _cell(F.col("box.max_y"), reach(F.col("hk"))), "xk": _cell(F.col("cx"), wide(F.col("wk")))
+        "yk": _cell(F.col("max_y"), reach(F.col("hk"))), "xk": _cell(F.col("cx"), wide(F.col("wk")))
     })
     lower = strong.withColumns({"hk": F.col("hc").cast("long"), "wk": F.col("wc").cast("long")}).withColumn(
-        "yk", _around(_cell(F.col("box.min_y"), reach(F.col("hc"))), -1, 0, 1)
+        "yk", _around(_cell(F.col("min_y"), reach(F.col("hc"))), -1, 0, 1)
     ).withColumn("xk", _around(_cell(F.col("cx"), wide(F.col("wc"))), -1, 0, 1))
     stack_cells = ["hk", "wk", "yk", "xk"]
     stack = side(upper, "l", stack_cells).join(side(lower, "r", stack_cells), [*keys, *stack_cells])
-    above = (F.col("l_box.min_y") < F.col("r_box.min_y")) | (
-        (F.col("l_box.min_y") == F.col("r_box.min_y")) & (F.col("l_pos") < F.col("r_pos"))
+    above = (F.col("l_min_y") < F.col("r_min_y")) | (
+        (F.col("l_min_y") == F.col("r_min_y")) & (F.col("l_pos") < F.col("r_pos"))
     )
     narrow, broad = F.least("l_w", "r_w"), F.greatest("l_w", "r_w")
-    gap_y = F.col("r_box.min_y") - F.col("l_box.max_y")
-    overlap_x = F.least("l_box.max_x", "r_box.max_x") - F.greatest("l_box.min_x", "r_box.min_x")
+    gap_y = F.col("r_min_y") - F.col("l_max_y")
+    overlap_x = F.least("l_max_x", "r_max_x") - F.greatest("l_min_x", "r_min_x")
     stack = stack.where(
         alike & above & (overlap_y < small * 0.4) & (narrow / broad >= 0.65)
         & (F.abs(F.col("l_cx") - F.col("r_cx")) <= narrow * 0.25)

@@ -183,6 +183,49 @@ def knn_distinct_items(
     )
 
 
+def gallery_rank(
+    queries: DataFrame, gallery: DataFrame, *, query_id: str = "query_id", expected: str = "expected",
+    item: str = "item_id", vector: str = "embedding", model: str = "model_name", block_bytes: int = BLOCK_BYTES,
+) -> tuple[DataFrame, DataFrame]:
+    """Rank of the expected item in a gallery of one vector per item, and queries it does not hold.
+
+    A rank is one more than the number of items before it, so each cell returns one count per query
+    and counts are added up: nothing is sorted and no pair leaves its cell. Equal distances are in
+    item order.
+    """
+    known = gallery.select(F.col(item).alias(expected), model, F.col(vector).cast("array<float>").alias("__target"))
+    q = queries.select(query_id, model, expected, F.col(vector).cast("array<float>").alias("__vector"))
+    missing = q.join(known, [expected, model], "left_anti").select(query_id, expected)
+    q = q.join(known, [expected, model])
+    r = gallery.select(item, model, F.col(vector).cast("array<float>").alias("__vector"))
+    q_blocks, r_blocks = _blocks(queries, gallery, vector, block_bytes)
+    cell = [model, "__rb", "__qb"]
+    q = q.withColumn("__qb", F.pmod(F.xxhash64(query_id), F.lit(q_blocks)))
+    q = q.withColumn("__rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(r_blocks - 1).cast("long"))))
+    r = r.withColumn("__rb", F.pmod(F.xxhash64(item), F.lit(r_blocks)))
+    r = r.withColumn("__qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
+
+    def count(queries: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or refs.empty:
+            return pd.DataFrame(columns=[query_id, expected, "before"])
+        left, right, target = (_unit_rows(c) for c in (queries["__vector"], refs["__vector"], queries["__target"]))
+        wanted = np.round(1.0 - np.einsum("ij,ij->i", left, target), TIE_DIGITS)
+        ids, names = refs[item].to_numpy(), queries[expected].to_numpy()
+        step, before = max(1, 8_000_000 // len(refs)), []
+        for begin in range(0, len(left), step):
+            dist = np.round(1.0 - left[begin : begin + step] @ right.T, TIE_DIGITS)
+            limit, name = wanted[begin : begin + step, None], names[begin : begin + step, None]
+            earlier = (dist < limit) | ((dist == limit) & (ids[None, :] < name))
+            before.append((earlier & (ids[None, :] != name)).sum(axis=1))
+        out = queries[[query_id, expected]].copy()
+        out["before"] = np.concatenate(before)
+        return out
+
+    schema = T.StructType([queries.schema[query_id], queries.schema[expected], T.StructField("before", T.LongType())])
+    counts = q.groupBy(*cell).cogroup(r.groupBy(*cell)).applyInPandas(count, schema)
+    return counts.groupBy(query_id, expected).agg((F.sum("before") + 1).alias("rank")), missing
+
+
 def same_width(df: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
     return df.where(F.size(vector) == dim)
 

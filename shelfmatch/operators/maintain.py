@@ -127,7 +127,6 @@ def catalog_references(catalog: DataFrame, manifest: DataFrame, model: str, dim:
     """
     named = catalog.where(F.coalesce(F.col("slug"), F.lit("")) != "")
     canonical = canonical_id(named.select("id", "slug")).select("id", "canonical_id")
-    # Photo columns carry the kind's name; align them for the union of kinds.
     stacked = photo_kinds_union(named.select(
         "id", "slug", "dataset_photo", "web_photo",
         *[F.col(f"{k}_photo_embedding{m}") for k in ("dataset", "web") for m in ("", "_model")],

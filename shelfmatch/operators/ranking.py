@@ -52,22 +52,6 @@ def rank_of_expected(ranked: DataFrame, truth: DataFrame, item: str = "item_id")
     return truth.select("query_id", "expected").join(hit, ["query_id", "expected"], "left")
 
 
-def full_rank_of_expected(distances: DataFrame, truth: DataFrame) -> DataFrame:
-    """Rank of the true item among all items: one more than the count of items before it.
-
-    ``distances`` holds one row per (query, item). Counting needs no sorted group.
-    """
-    target = distances.join(
-        truth.select("query_id", F.col("expected").alias("item_id")), ["query_id", "item_id"]
-    ).select("query_id", F.col("item_id").alias("expected"), F.col("distance").alias("__d"))
-    before = (F.col("distance") < F.col("__d")) | (
-        (F.col("distance") == F.col("__d")) & (F.col("item_id") < F.col("expected"))
-    )
-    return distances.join(target, "query_id").groupBy("query_id", "expected").agg(
-        (F.count_if(before) + 1).alias("rank")
-    )
-
-
 def score_margin(ranked: DataFrame, allowed: Column | None = None) -> DataFrame:
     """Top score minus the next score per query; ``allowed`` restricts who can be the next one."""
     other = F.col("rank") > 1

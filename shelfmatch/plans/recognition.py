@@ -16,7 +16,9 @@ from shelfmatch.operators.joins import enrich_candidates, rescue_candidates
 from shelfmatch.operators.ranking import single_exact_reference, stable_ties, vintage_rerank
 from shelfmatch.skew import rank_bounded, top_per_key
 
-QUERY = Window.partitionBy("query_id")
+
+def _per_query():
+    return Window.partitionBy("query_id")
 
 
 def text_quality(evidence: DataFrame, producers: DataFrame, matches: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def fuse(candidates: DataFrame, visual: DataFrame, text: DataFrame, quality: Dat
     else:
         leads, weight = F.lit(False), F.lit(text_weight)
     flagged = joined.withColumns({
-        "geo": F.coalesce(F.bool_or(F.col("visual_score") > 0).over(QUERY), F.lit(False)),
+        "geo": F.coalesce(F.bool_or(F.col("visual_score") > 0).over(_per_query()), F.lit(False)),
         "lead": leads & F.coalesce("any_text", F.lit(False)),
         "text_weight": weight,
     })
@@ -117,7 +119,7 @@ def blend_palette(ranked: DataFrame, palette: DataFrame, weight: float = K.PALET
     joined = ranked.join(
         palette.select("query_id", "slug", F.col("score").alias("palette_score")), ["query_id", "slug"], "left"
     )
-    known = F.max("palette_score").over(QUERY).isNotNull()
+    known = F.max("palette_score").over(_per_query()).isNotNull()
     mixed = (F.lit(1.0) - weight) * F.col("score") + F.lit(weight) * F.coalesce("palette_score", F.lit(K.NEUTRAL_PALETTE))
     blended = joined.withColumns({
         "fusion_score": F.col("score"), "palette_used": known,
@@ -136,7 +138,7 @@ def apply_vintage(ranked: DataFrame, years: DataFrame) -> DataFrame:
         "detected_year": F.when(F.size(distinct) == 1, distinct[0]), "__years": F.size(distinct),
     }).drop("years")
     again = vintage_rerank(joined)
-    chosen = F.max(F.when(F.col("rank") == 1, F.col("vintage"))).over(QUERY)
+    chosen = F.max(F.when(F.col("rank") == 1, F.col("vintage"))).over(_per_query())
     return again.withColumn("vintage_state", _vintage_state(chosen)).drop("__years")
 
 
@@ -156,14 +158,14 @@ def prefer_confirmed(ranked: DataFrame) -> DataFrame:
         & (F.coalesce("visual_score", F.lit(0.0)) >= K.EXACT_GEOMETRY)
     )
     marked = single_exact_reference(ranked, exact)
-    confirmed = F.bool_or("promoted").over(QUERY)
+    confirmed = F.bool_or("promoted").over(_per_query())
     again = rank_bounded(
         marked.withColumn("confirmed", confirmed), ["query_id"], [F.col("promoted").desc(), F.col("rank")], "__rank"
     ).withColumn("rank", F.col("__rank")).drop("__rank")
     if "vintage_state" not in ranked.columns:
         return again
     # The promoted row answers the vintage check for itself.
-    own = F.max(F.when(F.col("promoted"), F.col("vintage"))).over(QUERY)
+    own = F.max(F.when(F.col("promoted"), F.col("vintage"))).over(_per_query())
     year = F.col("detected_year")
     state = F.when(
         F.col("confirmed") & year.isNotNull(),

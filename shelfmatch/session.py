@@ -19,6 +19,7 @@ def build_session(app_name: str = "shelfmatch", cpus: str | int = "*", **conf: s
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app_name)

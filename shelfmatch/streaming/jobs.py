@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmatch.constants import JOB_RETENTION_SECONDS
-from shelfmatch.operators.feedback import publish_feedback, take_queue
+from shelfmatch.operators.feedback import publish_feedback, recover_queue, take_queue
 from shelfmatch.sources.tables import read_table, write_table
 
 FEEDBACK_OUT = (
@@ -125,7 +125,7 @@ def index_feedback_stream(
     """
     def drain(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        feedback = take_queue(read_table(spark, root, "feedback"))
+        feedback = take_queue(recover_queue(read_table(spark, root, "feedback")))
         write_table(feedback, root, "feedback")
         feedback = read_table(spark, root, "feedback")
         queue = feedback.where("embedding_state = 'indexing'").select("job_id", "image_sha256", "label_revision")

@@ -1,0 +1,7 @@
+"""Queries over the driver's tables, one per operator, with their SQL."""
+
+from shelfmatch.workload import views  # noqa: F401
+from shelfmatch.workload import fusion, retrieval, text  # noqa: F401
+from shelfmatch.workload.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
