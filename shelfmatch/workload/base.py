@@ -27,7 +27,16 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name in DERIVED:
             return DERIVED[name](self)
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return _with_utc(df, "ts") if name == "events" else df
+
+
+def _with_utc(df: DataFrame, column: str) -> DataFrame:
+    """Zone-free times as UTC instants, whatever the session's zone."""
+    if df.schema[column].dataType != T.TimestampNTZType():
+        return df
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(column))
+    return df.withColumn(column, F.timestamp_micros(micros))
 
 
 DERIVED: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -52,14 +61,16 @@ def _plain_types(df: DataFrame) -> DataFrame:
     ])
 
 
-def query(sql: str | None = None, using: list[str] = []):
-    """Register a query; ``using`` names the views that its SQL reads."""
+def query(sql: str | None = None, using: list[str] = [], big: list[str] = []):
+    """Register a query; ``using`` names the views its SQL reads, ``big`` the columns to widen."""
     def add(function: Callable[[Tables], DataFrame]):
         name = function.__name__.strip("_")
         QUERIES[name] = lambda spark, root: _plain_types(function(Tables(spark, root)))
         if sql is not None:
             ctes = ", ".join(f"{v} AS ({VIEWS[v].strip()})" for v in using)
-            ORACLE[name] = (f"WITH {ctes} " if ctes else "") + sql.strip()
+            widened = ", ".join(f'CAST("{c}" AS BIGINT) AS "{c}"' for c in big)
+            body = f"SELECT * REPLACE ({widened}) FROM ({sql.strip()})" if big else sql.strip()
+            ORACLE[name] = (f"WITH {ctes} " if ctes else "") + body
         return function
 
     return add

@@ -193,7 +193,7 @@ def ids_to_slugs(t: Tables):
 
 @query("""
 SELECT s.query_id, s.slug, c.name, c.winery, c.vintage FROM shortlist s LEFT JOIN cards c USING (slug)
-""", LINES[:4])
+""", LINES[:4], big=["vintage"])
 def enrich_candidates(t: Tables):
     return J.enrich_candidates(t.shortlist.select("query_id", "slug"), t.cards.select("slug", "name", "winery", "vintage"))
 
@@ -238,7 +238,7 @@ def blend_palette(t: Tables):
     return rounded(P.blend_palette(fused(t), palette(t)).select("query_id", "slug", "score", "palette_score", "rank"))
 
 
-@query("SELECT query_id, slug, vintage, detected_year, vintage_state, rank FROM dated", DATED)
+@query("SELECT query_id, slug, vintage, detected_year, vintage_state, rank FROM dated", DATED, big=["vintage", "detected_year"])
 def apply_vintage(t: Tables):
     return dated(t).select("query_id", "slug", "vintage", "detected_year", "vintage_state", "rank")
 
@@ -302,7 +302,7 @@ def verify_candidates(t: Tables):
 @query("""
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity >= 15 AND i >= 12 AND i / l_quantity >= 0.3 AS verified, round(i / l_quantity, 6) AS ratio
 FROM (SELECT *, floor(l_quantity * (1 - l_discount * 8)) AS i FROM lineitem)
-""")
+""", big=["l_linenumber"])
 def verify_decision(t: Tables):
     inliers = F.floor(F.col("l_quantity") * (1 - F.col("l_discount") * 8))
     v = N.verify_decision(F.col("l_quantity").cast("long"), inliers)
@@ -320,7 +320,7 @@ def best_pair_per_item(t: Tables):
     return rounded(R.best_pair_per_item(pairs))
 
 
-@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round((l_discount + l_tax + l_quantity / 50) / 3, 6) AS mean FROM lineitem")
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round((l_discount + l_tax + l_quantity / 50) / 3, 6) AS mean FROM lineitem", big=["l_linenumber"])
 def mean_match_score(t: Tables):
     scores = F.array("l_discount", "l_tax", F.col("l_quantity") / 50)
     return t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", N.mean_match_score(scores).alias("mean"))

@@ -123,7 +123,7 @@ def gallery_rank(t: Tables):
 @query(_with(DISTANCES, """
 SELECT k.k, count(*) FILTER (r.rank <= k.k) AS correct, round(count(*) FILTER (r.rank <= k.k) / count(*), 4) AS recall
 FROM ranked r, (VALUES (1), (3), (5), (20)) k(k) WHERE r.item_id = r.expected GROUP BY k.k
-"""), VECTORS)
+"""), VECTORS, big=["k"])
 def recall_at_k(t: Tables):
     return P.recall_report(t.photo_queries, t.refs, 3)
 
@@ -132,7 +132,7 @@ def recall_at_k(t: Tables):
 SELECT 'ok' AS status, count(*) AS queries_total, count(*) AS queries_processed, 0 AS queries_with_errors,
   count(*) FILTER (rank <= 3) AS correct_queries, round(count(*) FILTER (rank <= 3) / count(*), 4) AS recall_at_k, 3 AS top_k
 FROM ranked WHERE item_id = expected
-"""), VECTORS)
+"""), VECTORS, big=["queries_with_errors", "top_k"])
 def evaluation_report(t: Tables):
     return P.evaluate_retrieval(t.photo_queries, t.refs, 3)["report"]
 
@@ -253,7 +253,7 @@ WITH s AS (SELECT label AS id, pos, sum(x * (vec_id % 5 + 1)) AS x FROM (
     SELECT label, vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL)
 SELECT id, round(max(x) FILTER (pos = 1) / sqrt(sum(x * x)), 6) AS first, round(max(x) FILTER (pos = 64) / sqrt(sum(x * x)), 6) AS last
 FROM s GROUP BY 1
-""")
+""", big=["id"])
 def weighted_pool(t: Tables):
     chunks = t.embeddings.select(F.col("label").alias("id"), (F.col("vec_id") % 5 + 1).alias("weight"), "embedding")
     out = knn.pooled(chunks)

@@ -228,7 +228,7 @@ SELECT image_id, name, round(name_score, 6) AS name_score, block_count FROM (
       + 1.5 * confidence + 0.8 * least(length(regexp_replace(name, '[^\\pL]', '', 'g')) / 20, 1) + CASE WHEN block_count = 2 THEN 0.8 ELSE 0 END AS name_score
     FROM options JOIN tallest USING (image_id))
   SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY name_score DESC, block_count, pos_a, pos_b) AS rn FROM scored) WHERE rn = 1
-""", ["label_blocks"])
+""", ["label_blocks"], big=["block_count"])
 def candidate_name(t: Tables):
     images = t.lineitem.select(F.col("l_orderkey").alias("image_id")).distinct().withColumn("width", F.lit(400))
     return rounded(B.candidate_name(t.label_blocks, images).select("image_id", "name", "name_score", "block_count"))
@@ -310,7 +310,7 @@ UNION ALL SELECT image_id, s, i, l FROM (SELECT DISTINCT image_id FROM label_blo
 UNION ALL SELECT image_id, 7, CAST(y AS BIGINT), '- ' || y || ' (raw: ' || y || ', confidence: ' || CASE WHEN c IS NULL THEN 'n/a' ELSE format('{:.3f}', c) END || ')' FROM (
   SELECT image_id, regexp_extract(text, '[0-9]{4}$') AS y, max(confidence) AS c FROM label_blocks WHERE regexp_matches(text, '[0-9]{4}$') GROUP BY ALL)
 UNION ALL SELECT image_id, 7, 0, '(none)' FROM label_blocks GROUP BY 1 HAVING count(*) FILTER (regexp_matches(text, '[0-9]{4}$')) = 0
-""", ["label_blocks"])
+""", ["label_blocks"], big=["section"])
 def render_text_report(t: Tables):
     blocks = t.label_blocks
     images = blocks.select("image_id").distinct().select(
