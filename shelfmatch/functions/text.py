@@ -18,6 +18,8 @@ from shelfmatch import constants as K
 
 # Letters for which lower-casing plus "ß" -> "ss" is full case folding and NFKC changes nothing.
 PLAIN_TEXT = r"\A[\x00-\x7FÀ-ÖØ-öø-ÿА-Яа-яЁё]*\z"
+# Runs other than one plain space, so that single spaces are not rewritten.
+PLAIN_SPACE_RUN = r" [\x09-\x0D\x1c-\x1f ]+|[\x09-\x0D\x1c-\x1f][\x09-\x0D\x1c-\x1f ]*"
 SPACE_RUN = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
 
@@ -25,17 +27,20 @@ def _fold_plain(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
 
-def _when_plain(c: Column, plain: Column, udf: Callable[[Column], Column]) -> Column:
-    """``plain`` where it is exact; other values only are sent to Python."""
-    is_plain = c.rlike(PLAIN_TEXT)
-    return F.when(is_plain, plain).otherwise(udf(F.when(~is_plain, c)))
+def _unless_plain(c: Column, plain: Column, udf: Callable[[Column], Column]) -> Column:
+    """``plain`` where it is exact; only other values are sent to Python, the rest as NULL.
+
+    The test is evaluated once per value: equal character and byte counts prove ASCII without it.
+    """
+    is_plain = (F.length(c) == F.octet_length(c)) | c.rlike(PLAIN_TEXT)
+    return F.coalesce(udf(F.when(~is_plain, c)), plain)
 
 
 @F.pandas_udf(T.StringType())
 def _nfkc_casefold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield batch.map(
-            lambda s: unicodedata.normalize("NFKC", s).casefold(), na_action="ignore"
+            lambda s: " ".join(unicodedata.normalize("NFKC", s).casefold().split()), na_action="ignore"
         )
 
 
@@ -50,12 +55,12 @@ def collapse_space(c: Column) -> Column:
 
 
 def casefold(c: Column) -> Column:
-    return _when_plain(c, _fold_plain(c), _casefold)
+    return _unless_plain(c, _fold_plain(c), _casefold)
 
 
 def normalize_text(c: Column) -> Column:
     """NFKC, case folding, single spaces, trimmed."""
-    return collapse_space(_when_plain(c, _fold_plain(c), _nfkc_casefold))
+    return _unless_plain(c, F.trim(F.regexp_replace(_fold_plain(c), PLAIN_SPACE_RUN, " ")), _nfkc_casefold)
 
 
 def clean_value(c: Column) -> Column:

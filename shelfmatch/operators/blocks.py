@@ -21,50 +21,57 @@ def build_blocks(raw: DataFrame) -> DataFrame:
     return duplicate_blocks(reading_order(normal))
 
 
+SMALL_GROUP = 64
+
+
 def duplicate_blocks(blocks: DataFrame, iou: float = BLOCK_IOU) -> DataFrame:
     """Drop blocks of equal text that overlap, keeping the more confident one in the first place.
 
     The rule depends on order, and a kept block may be replaced before the next one is compared. It
-    only ever compares equal texts, so (image, text) is the unit of work, and two reductions make
-    that unit small without changing the answer:
-
-    * neighbouring copies with the very same box always meet the same kept block, so the most
-      confident of them, first on ties, stands for all;
-    * blocks without a box come last and match the first kept block of their text, so the most
-      confident of them stands for all.
+    only ever compares equal texts, so (image, text) is the unit of work. Most texts occur a few
+    times and are folded directly; texts with many copies are reduced first (``_without_copies``).
     """
-    conf = F.coalesce("confidence", F.lit(-1.0))
+    group = ["image_id", "normalized_text"]
     columns = blocks.columns
-    best = F.min_by(F.struct(*columns), F.struct(-conf, F.col("pos")))
-    corner = ["image_id", "normalized_text", "__x", "__y"]
-    far = ["__x2", "__y2"]
-    keyed = blocks.select(
-        "*", F.col("box.min_x").alias("__x"), F.col("box.min_y").alias("__y"),
-        F.col("box.max_x").alias("__x2"), F.col("box.max_y").alias("__y2"),
-    )
-    # A box that shares its corner with a different box may not be next to its copies.
-    shapes = keyed.where("box is not null").groupBy(*corner, *far).agg(
-        best.alias("row"), F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n")
-    )
-    mixed = shapes.groupBy(*corner).agg(F.count(F.lit(1)).alias("shapes")).where("shapes > 1").select(*corner)
-    collapsed = shapes.join(mixed, corner, "left_anti").select("first_pos", "row.*")
-    single = keyed.where("box is not null").join(mixed, corner, "left_semi").select(
-        F.col("pos").alias("first_pos"), *columns
-    )
-    unboxed = keyed.where("box is null").groupBy("image_id", "normalized_text").agg(
-        best.alias("row"), F.min("pos").alias("first_pos")
-    ).select("first_pos", "row.*")
-    work = collapsed.unionByName(single).unionByName(unboxed)
+    counts = blocks.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    counted = blocks.join(counts, group)
+    small = counted.where(F.col("__n") <= SMALL_GROUP).select(F.col("pos").alias("first_pos"), *columns)
+    large = _without_copies(counted.where(F.col("__n") > SMALL_GROUP).select(*columns))
+    return _fold(small, group, iou).unionByName(_fold(large, group, iou)).select(*columns)
 
-    # Most texts occur once in their image and need no fold.
-    group = ["image_id", "normalized_text"]
-    rows = F.sort_array(F.collect_list(F.struct("first_pos", *columns)))
+
+def _fold(work: DataFrame, group: list[str], iou: float) -> DataFrame:
+    rows = F.sort_array(F.collect_list(F.struct(*work.columns)))
     grouped = work.groupBy(*group).agg(rows.alias("rows"))
     folded = F.when(F.size("rows") == 1, F.col("rows")).otherwise(
         F.aggregate(F.slice("rows", 2, F.size("rows")), F.slice("rows", 1, 1), lambda kept, row: _place(kept, row, iou)))
     return grouped.select(F.explode(folded).alias("r")).select("r.*")
 
 
+def _without_copies(blocks: DataFrame) -> DataFrame:
+    """Fewer rows with the same outcome, by pre-aggregation.
+
+    * Neighbouring copies with the very same box always meet the same kept block, so the most
+      confident of them, first on ties, stands for all. A box that shares its corner with a
+      different box may not be next to its copies and is left alone.
+    * Blocks without a box come last and match the first kept block of their text, so again the
+      most confident of them stands for all.
+    """
+    columns = blocks.columns
+    best = F.min_by(F.struct(*columns), F.struct(-F.coalesce("confidence", F.lit(-1.0)), F.col("pos")))
+    corner, far = ["image_id", "normalized_text", "__x", "__y"], ["__x2", "__y2"]
+    boxed = blocks.where("box is not null").select(
+        "*", F.col("box.min_x").alias("__x"), F.col("box.min_y").alias("__y"), F.col("box.max_x").alias("__x2"),
+        F.col("box.max_y").alias("__y2"))
+    shapes = boxed.groupBy(*corner, *far).agg(best.alias("row"), F.min("pos").alias("first_pos"))
+    mixed = shapes.groupBy(*corner).agg(F.count(F.lit(1)).alias("shapes")).where("shapes > 1").select(*corner)
+    collapsed = shapes.join(mixed, corner, "left_anti").select("first_pos", "row.*")
+    single = boxed.join(mixed, corner, "left_semi").select(F.col("pos").alias("first_pos"), *columns)
+    unboxed = blocks.where("box is null").groupBy("image_id", "normalized_text").agg(
+        best.alias("row"), F.min("pos").alias("first_pos")).select("first_pos", "row.*")
+    return collapsed.unionByName(single).unionByName(unboxed)
+
+
 def _place(kept: Column, row: Column, iou: float) -> Column:
     """The kept blocks after one more block of the same text."""
     matches = F.transform(kept, lambda k: k["box"].isNull() | row["box"].isNull() | (N.box_iou(k["box"], row["box"]) >= iou))

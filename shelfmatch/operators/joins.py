@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmatch import constants as K
 from shelfmatch.functions import text as X
 from shelfmatch.functions import vectors as N
 from shelfmatch.operators.windows import canonical_reference
-from shelfmatch.skew import rank_bounded
 
 
 def feedback_with_samples(feedback: DataFrame, samples: DataFrame) -> DataFrame:
@@ -71,19 +70,25 @@ def rescue_candidates(visual: DataFrame, text: DataFrame, refs: DataFrame) -> Da
     ``visual`` carries ``src_order`` from 1 and the query's model; rescued rows have no image score
     and come after every visual row, best text first.
     """
-    models = visual.select("query_id", "model_name").distinct()
-    missing = text.join(visual, ["query_id", "slug"], "left_anti").join(models, "query_id")
-    found = missing.join(canonical_reference(refs), ["slug", "model_name"])
-    rescued = found.select(
-        "query_id", "slug", "item_id", F.col("image_uri").alias("best_image_uri"), "model_name",
-        F.col("score").alias("__text"), F.lit(True).alias("rescued"),
-    )
-    # A text list holds at most ten ids, so this window is bounded.
-    rescued = rank_bounded(rescued, ["query_id"], [F.desc("__text"), F.col("slug")], "__n").select(
-        "query_id", "slug", "item_id", "best_image_uri", "model_name", "rescued",
-        (F.col("__n") + K.SHORTLIST_LIMIT).alias("src_order"),
-    )
-    return visual.withColumn("rescued", F.lit(False)).unionByName(rescued, allowMissingColumns=True)
+    keys, per_query = ["query_id", "slug"], Window.partitionBy("query_id")
+    hits = text.select(*keys, F.col("score").alias("__text"))
+    both = visual.withColumn("__listed", F.lit(True)).join(hits, keys, "full")
+    # A shortlist holds at most twenty items and a text list ten, so a query's rows are bounded.
+    both = both.withColumns({
+        "__model": F.max("model_name").over(per_query), "__listed": F.col("__listed").isNotNull(),
+    })
+    lookup = canonical_reference(refs).select(
+        "slug", F.col("model_name").alias("__model"), F.col("item_id").alias("__item"), F.col("image_uri").alias("__uri"))
+    found = both.join(lookup, ["slug", "__model"], "left").where(F.col("__listed") | F.col("__uri").isNotNull())
+    fresh = ~F.col("__listed")
+    place = F.row_number().over(per_query.orderBy(F.col("__listed"), F.desc("__text"), F.col("slug")))
+    fill = lambda name, value: F.when(fresh, value).otherwise(F.col(name)).alias(name)
+    filled = {
+        "item_id": F.col("__item"), "best_image_uri": F.col("__uri"), "model_name": F.col("__model"),
+        "src_order": place + K.SHORTLIST_LIMIT,
+    }
+    return found.select(
+        *[fill(c, filled[c]) if c in filled else F.col(c) for c in visual.columns], fresh.alias("rescued"))
 
 
 def match_photo_names(names: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -167,29 +172,92 @@ def _around(value: Column, *steps: int) -> Column:
     return F.explode(F.array(*[(value + s).cast("long") for s in steps]))
 
 
+SMALL_IMAGE = 64
+
+
 def joinable_blocks(blocks: DataFrame) -> DataFrame:
     """Block pairs that continue one line or stand above each other, ``pos_a`` before ``pos_b``.
 
-    Only blocks whose facing edges fall in neighbouring cells of a grid scaled by their size meet;
-    an image with many blocks is never joined with itself as a whole. Each candidate pair meets in
-    one cell only. ``blocks``: image_id, variant, pos, box, confidence.
+    ``blocks``: image_id, variant, pos, box, confidence. Blocks of a small image are compared
+    directly. In a larger one, only blocks whose facing edges fall in neighbouring cells of a grid
+    scaled by their size meet, each candidate pair in one cell; no large image is joined with
+    itself.
     """
-    edges = ["min_x", "min_y", "max_x", "max_y"]
+    keys = ["image_id", "variant"]
+    sized = _sized_boxes(blocks)
+    counts = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    counted = sized.join(counts, keys)
+    return _pairs_direct(counted.where(F.col("__n") <= SMALL_IMAGE)).unionByName(
+        _pairs_by_cell(counted.where(F.col("__n") > SMALL_IMAGE)))
+
+
+EDGES = ["min_x", "min_y", "max_x", "max_y"]
+SIDE = ["pos", "confidence", "h", "w", "cx", *EDGES]
+
+
+def _sized_boxes(blocks: DataFrame) -> DataFrame:
     boxed = blocks.where(F.col("box").isNotNull()).select(
-        "image_id", "variant", "pos", "confidence", *[F.col(f"box.{e}").alias(e) for e in edges],
+        "image_id", "variant", "pos", "confidence", *[F.col(f"box.{e}").alias(e) for e in EDGES],
         N.box_height(F.col("box")).alias("h"),
-        (F.col("box.max_x") - F.col("box.min_x")).alias("w"),
-        ((F.col("box.min_y") + F.col("box.max_y")) / 2).alias("cy"),
-        ((F.col("box.min_x") + F.col("box.max_x")) / 2).alias("cx"),
     )
+    return boxed.withColumns({
+        "w": F.col("max_x") - F.col("min_x"), "cy": (F.col("min_y") + F.col("max_y")) / 2,
+        "cx": (F.col("min_x") + F.col("max_x")) / 2,
+    })
+
+
+def _side(df: DataFrame, tag: str, cells: list[str]) -> DataFrame:
+    return df.select("image_id", "variant", *cells, *[F.col(c).alias(f"{tag}_{c}") for c in SIDE])
+
+
+def _line_test() -> Column:
+    """``l`` ends where ``r`` begins on the same line."""
+    small, large = F.least("l_h", "r_h"), F.greatest("l_h", "r_h")
+    gap = F.col("r_min_x") - F.col("l_max_x")
+    return _alike() & (_overlap_y() >= small * 0.4) & gap.between(F.lit(0.0), large)
+
+
+def _stack_test() -> Column:
+    """``l`` stands above ``r``, both confident and of like width and centre."""
+    small, large = F.least("l_h", "r_h"), F.greatest("l_h", "r_h")
+    narrow, broad = F.least("l_w", "r_w"), F.greatest("l_w", "r_w")
+    above = (F.col("l_min_y") < F.col("r_min_y")) | (
+        (F.col("l_min_y") == F.col("r_min_y")) & (F.col("l_pos") < F.col("r_pos")))
+    gap = F.col("r_min_y") - F.col("l_max_y")
+    overlap_x = F.least("l_max_x", "r_max_x") - F.greatest("l_min_x", "r_min_x")
+    return (
+        _alike() & above & (F.least("l_confidence", "r_confidence") >= 0.75)
+        & F.col("l_confidence").isNotNull() & F.col("r_confidence").isNotNull() & (narrow > 0)
+        & (_overlap_y() < small * 0.4) & (narrow / broad >= 0.65) & (F.abs(F.col("l_cx") - F.col("r_cx")) <= narrow * 0.25)
+        & gap.between(large * -0.25, large * 0.75) & (overlap_x >= narrow * 0.4)
+    )
+
+
+def _alike() -> Column:
+    return (F.col("l_pos") != F.col("r_pos")) & (F.least("l_h", "r_h") / F.greatest("l_h", "r_h") >= 0.6)
+
+
+def _overlap_y() -> Column:
+    return F.least("l_max_y", "r_max_y") - F.greatest("l_min_y", "r_min_y")
+
+
+def _pair(df: DataFrame, layout: Column) -> DataFrame:
+    return df.select(
+        "image_id", "variant", F.least("l_pos", "r_pos").alias("pos_a"), F.greatest("l_pos", "r_pos").alias("pos_b"),
+        F.col("l_pos").alias("pos_first"), layout.alias("layout"))
+
+
+def _pairs_direct(sized: DataFrame) -> DataFrame:
+    pairs = _side(sized, "l", []).join(_side(sized, "r", []), ["image_id", "variant"])
+    return _pair(pairs.where(_line_test() | _stack_test()), F.when(_line_test(), "line").otherwise("stack"))
+
+
+def _pairs_by_cell(boxed: DataFrame) -> DataFrame:
+    keys = ["image_id", "variant"]
     grown = 1 / 0.6
     reach = lambda c: F.pow(F.lit(grown), c + 2)
     wide = lambda c: F.pow(F.lit(1 / 0.65), c + 1) * 0.25
     sized = boxed.withColumn("hc", _scale(F.col("h"), 0.6))
-    keys = ["image_id", "variant"]
-
-    def side(df: DataFrame, tag: str, cells: list[str]) -> DataFrame:
-        return df.select(*keys, *cells, *[F.col(c).alias(f"{tag}_{c}") for c in ("pos", "confidence", "h", "w", "cx", *edges)])
 
     # One line: the right edge of the left block faces the left edge of the right block.
     left = sized.withColumn("hk", _around(F.col("hc"), -1, 0, 1))
@@ -200,12 +268,7 @@ def joinable_blocks(blocks: DataFrame) -> DataFrame:
         "yk", _around(_cell(F.col("cy"), reach(F.col("hc"))), -1, 0, 1)
     ).withColumn("xk", _around(_cell(F.col("min_x"), reach(F.col("hc"))), -1, 0))
     line_cells = ["hk", "yk", "xk"]
-    line = side(left, "l", line_cells).join(side(right, "r", line_cells), [*keys, *line_cells])
-    small, large = F.least("l_h", "r_h"), F.greatest("l_h", "r_h")
-    overlap_y = F.least("l_max_y", "r_max_y") - F.greatest("l_min_y", "r_min_y")
-    gap_x = F.col("r_min_x") - F.col("l_max_x")
-    alike = (F.col("l_pos") != F.col("r_pos")) & (small / large >= 0.6)
-    line = line.where(alike & (overlap_y >= small * 0.4) & gap_x.between(F.lit(0.0), large))
+    line = _side(left, "l", line_cells).join(_side(right, "r", line_cells), [*keys, *line_cells]).where(_line_test())
 
     # Stacked: the bottom edge of the upper block faces the top edge of the lower one.
     strong = sized.where((F.col("confidence") >= 0.75) & (F.col("w") > 0)).withColumn("wc", _scale(F.col("w"), 0.65))
@@ -217,20 +280,5 @@ def joinable_blocks(blocks: DataFrame) -> DataFrame:
         "yk", _around(_cell(F.col("min_y"), reach(F.col("hc"))), -1, 0, 1)
     ).withColumn("xk", _around(_cell(F.col("cx"), wide(F.col("wc"))), -1, 0, 1))
     stack_cells = ["hk", "wk", "yk", "xk"]
-    stack = side(upper, "l", stack_cells).join(side(lower, "r", stack_cells), [*keys, *stack_cells])
-    above = (F.col("l_min_y") < F.col("r_min_y")) | (
-        (F.col("l_min_y") == F.col("r_min_y")) & (F.col("l_pos") < F.col("r_pos"))
-    )
-    narrow, broad = F.least("l_w", "r_w"), F.greatest("l_w", "r_w")
-    gap_y = F.col("r_min_y") - F.col("l_max_y")
-    overlap_x = F.least("l_max_x", "r_max_x") - F.greatest("l_min_x", "r_min_x")
-    stack = stack.where(
-        alike & above & (overlap_y < small * 0.4) & (narrow / broad >= 0.65)
-        & (F.abs(F.col("l_cx") - F.col("r_cx")) <= narrow * 0.25)
-        & gap_y.between(large * -0.25, large * 0.75) & (overlap_x >= narrow * 0.4)
-    )
-    pair = lambda df, kind: df.select(
-        *keys, F.least("l_pos", "r_pos").alias("pos_a"), F.greatest("l_pos", "r_pos").alias("pos_b"),
-        F.col("l_pos").alias("pos_first"), F.lit(kind).alias("layout"),
-    )
-    return pair(line, "line").unionByName(pair(stack, "stack"))
+    stack = _side(upper, "l", stack_cells).join(_side(lower, "r", stack_cells), [*keys, *stack_cells]).where(_stack_test())
+    return _pair(line, F.lit("line")).unionByName(_pair(stack, F.lit("stack")))

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from shelfmatch import constants as K
 from shelfmatch.functions import text as X
 from shelfmatch.functions import vectors as N
-from shelfmatch.operators.joins import enrich_candidates, rescue_candidates
-from shelfmatch.operators.ranking import single_exact_reference, stable_ties, vintage_rerank
-from shelfmatch.skew import rank_bounded, top_per_key
+from shelfmatch.operators.ranking import single_exact_reference, stable_ties, top_scores, vintage_rerank
+from shelfmatch.operators.windows import canonical_reference
+from shelfmatch.skew import rank_bounded
 
 
 def _per_query():
@@ -34,25 +34,31 @@ def text_quality(evidence: DataFrame, producers: DataFrame, matches: DataFrame)
     vocabulary = producers.groupBy("query_id").agg(F.collect_set("word").alias("producer"))
     available = matches.select("query_id").distinct().withColumn("available", F.lit(True))
     joined = words.join(vocabulary, "query_id", "left").join(available, "query_id", "left")
-    generic = F.array(*[F.lit(w) for w in K.GENERIC_WORDS])
     empty = F.array().cast("array<string>")
-    informative = F.array_except(F.array_except("words", generic), F.coalesce("producer", empty))
-    conf = F.col("text_confidence")
+    judged = joined.withColumns(_quality_columns(
+        F.col("words"), F.coalesce("producer", empty), F.coalesce("available", F.lit(False)), F.col("text_confidence")))
+    return judged.select(
+        "query_id", (F.col("text_reason") == "sufficient_text").alias("sufficient"), F.col("text_reason").alias("reason"),
+        "word_count", "informative_word_count", "recognition_confidence")
+
+
+def _quality_columns(words: Column, producer: Column, available: Column, conf: Column) -> dict[str, Column]:
+    generic = F.array(*[F.lit(w) for w in K.GENERIC_WORDS])
+    informative = F.array_except(F.array_except(words, generic), producer)
     valid = F.coalesce(N.is_finite(conf) & conf.between(0, 1), F.lit(False))
     little = (
-        (F.size("words") < K.MIN_TEXT_WORDS) | (F.size("informative") < K.MIN_INFORMATIVE_WORDS)
-        | (X.letters_in(F.col("informative")) < K.MIN_INFORMATIVE_LETTERS)
+        (F.size(words) < K.MIN_TEXT_WORDS) | (F.size(informative) < K.MIN_INFORMATIVE_WORDS)
+        | (X.letters_in(informative) < K.MIN_INFORMATIVE_LETTERS)
     )
     reason = (
-        F.when(F.col("available").isNull(), "no_text_matches").when(little, "too_little_distinctive_text")
+        F.when(~available, "no_text_matches").when(little, "too_little_distinctive_text")
         .when(~valid, "recognition_confidence_missing").when(conf < K.MIN_TEXT_CONFIDENCE, "low_recognition_confidence")
         .otherwise("sufficient_text")
     )
-    return joined.withColumn("informative", informative).select(
-        "query_id", (reason == "sufficient_text").alias("sufficient"), reason.alias("reason"),
-        F.size("words").alias("word_count"), F.size("informative").alias("informative_word_count"),
-        F.when(valid, conf).alias("recognition_confidence"),
-    )
+    return {
+        "text_reason": reason, "word_count": F.size(words), "informative_word_count": F.size(informative),
+        "recognition_confidence": F.when(valid, conf),
+    }
 
 
 def fuse(candidates: DataFrame, visual: DataFrame, text: DataFrame, quality: DataFrame | None = None,
@@ -64,38 +70,40 @@ def fuse(candidates: DataFrame, visual: DataFrame, text: DataFrame, quality: Dat
     text is sufficient and .3 otherwise. Missing scores stay NULL in the output.
     """
     keys = ["query_id", "slug"]
-    first = F.min("src_order")
-    listed = candidates.groupBy(*keys).agg(first.alias("src_order"))
-    shortlist = candidates.join(listed, [*keys, "src_order"], "left_semi")
-    scores = visual.select(*keys, F.col("score").alias("visual_score")).join(
-        text.select(*keys, F.col("score").alias("text_score")), keys, "full"
-    )
-    # Shared keys count wherever they are; geometry counts only inside the shortlist.
-    shared = scores.groupBy("query_id").agg(
-        F.bool_or(F.col("visual_score").isNotNull() & F.col("text_score").isNotNull()).alias("shared"),
-        F.bool_or(F.col("text_score").isNotNull()).alias("any_text"),
-    )
-    joined = shortlist.join(scores, keys, "left").join(shared, "query_id", "left")
+    first = candidates.groupBy(*keys).agg(F.min("src_order").alias("src_order"))
+    shortlist = candidates.join(first, [*keys, "src_order"], "left_semi").withColumn("__listed", F.lit(True))
+    rows = shortlist.join(visual.select(*keys, F.col("score").alias("visual_score")), keys, "full").join(
+        text.select(*keys, F.col("score").alias("text_score")), keys, "full")
+    rows = rows.withColumn("__listed", F.col("__listed").isNotNull())
     if quality is not None:
-        joined = joined.join(quality.select("query_id", "sufficient"), "query_id", "left")
+        rows = rows.join(quality.select("query_id", "sufficient"), "query_id", "left")
         leads = F.coalesce("sufficient", F.lit(False))
         weight = F.when(leads, K.TEXT_WEIGHT_SUFFICIENT).otherwise(K.TEXT_WEIGHT_SPARSE)
     else:
         leads, weight = F.lit(False), F.lit(text_weight)
-    flagged = joined.withColumns({
-        "geo": F.coalesce(F.bool_or(F.col("visual_score") > 0).over(_per_query()), F.lit(False)),
-        "lead": leads & F.coalesce("any_text", F.lit(False)),
-        "text_weight": weight,
-    })
+    ranked = _fuse_rows(rows.withColumn("image_score", F.col("score")), leads, weight)
+    return ranked.drop("distance", "sufficient")
+
+
+def _fuse_rows(rows: DataFrame, leads: Column, weight: Column) -> DataFrame:
+    """Fused and ranked shortlist rows.
+
+    ``rows``: every (query, slug) with a shortlist place (``__listed``), a visual or a text score.
+    Shared keys count wherever they are; geometry counts only inside the shortlist.
+    """
+    vis, txt, img = F.col("visual_score"), F.col("text_score"), F.col("image_score")
+    listed = F.col("__listed")
+    any_of = lambda c: F.coalesce(F.bool_or(c).over(_per_query()), F.lit(False))
+    flagged = rows.withColumns({
+        "__geo": any_of(listed & (vis > 0)), "__shared": any_of(vis.isNotNull() & txt.isNotNull()),
+        "__lead": leads & any_of(txt.isNotNull()), "text_weight": weight,
+    }).where(listed)
     w, v = F.col("text_weight"), F.lit(1.0) - F.col("text_weight")
-    lead, geo = F.col("lead"), F.col("geo")
+    lead, geo, zero = F.col("__lead"), F.col("__geo"), F.lit(0.0)
     mode = (
-        F.when(lead & geo, "text_primary").when(lead, "text_primary_dino")
-        .when(geo & F.coalesce("shared", F.lit(False)), "weighted_visual").when(geo, "visual_fallback")
-        .otherwise("dino_fallback")
+        F.when(lead & geo, "text_primary").when(lead, "text_primary_dino").when(geo & F.col("__shared"), "weighted_visual")
+        .when(geo, "visual_fallback").otherwise("dino_fallback")
     )
-    zero = F.lit(0.0)
-    vis, txt, img = F.col("visual_score"), F.col("text_score"), F.col("score")
     scored = vis.isNotNull() | txt.isNotNull()
     member = (
         F.when(lead & geo, scored).when(lead, scored | img.isNotNull()).when(geo, F.coalesce(vis > 0, F.lit(False)))
@@ -106,10 +114,8 @@ def fuse(candidates: DataFrame, visual: DataFrame, text: DataFrame, quality: Dat
         .when(lead, v * F.greatest(zero, F.coalesce(img, zero)) + w * F.coalesce(txt, zero))
         .when(geo, v * vis + w * F.coalesce(txt, zero)).otherwise(v * img)
     )
-    out = flagged.withColumn("mode", mode).where(member).withColumns({
-        "image_score": img, "fused": fused
-    }).drop("score", "distance", "shared", "any_text", "sufficient", "geo", "lead")
-    return stable_ties(out.withColumnRenamed("fused", "score"))
+    out = flagged.withColumn("mode", mode).where(member).withColumn("score", fused)
+    return stable_ties(out.drop("__geo", "__shared", "__lead", "__listed"))
 
 
 def blend_palette(ranked: DataFrame, palette: DataFrame, weight: float = K.PALETTE_WEIGHT) -> DataFrame:
@@ -119,11 +125,15 @@ def blend_palette(ranked: DataFrame, palette: DataFrame, weight: float = K.PALET
     joined = ranked.join(
         palette.select("query_id", "slug", F.col("score").alias("palette_score")), ["query_id", "slug"], "left"
     )
+    return _blend_rows(joined, weight)
+
+
+def _blend_rows(rows: DataFrame, weight: float) -> DataFrame:
     known = F.max("palette_score").over(_per_query()).isNotNull()
     mixed = (F.lit(1.0) - weight) * F.col("score") + F.lit(weight) * F.coalesce("palette_score", F.lit(K.NEUTRAL_PALETTE))
-    blended = joined.withColumns({
-        "fusion_score": F.col("score"), "palette_used": known,
-        "score": F.when(known, mixed).otherwise(F.col("score")), "__before": F.col("rank"),
+    blended = rows.withColumn("palette_used", known).withColumns({
+        "fusion_score": F.col("score"), "score": F.when(F.col("palette_used"), mixed).otherwise(F.col("score")),
+        "__before": F.col("rank"),
     }).drop("rank")
     return rank_bounded(blended, ["query_id"], [F.desc("score"), F.col("__before")]).drop("__before")
 
@@ -133,11 +143,15 @@ def apply_vintage(ranked: DataFrame, years: DataFrame) -> DataFrame:
 
     ``years``: query_id and the array of years read.
     """
+    return _date_rows(ranked.join(years, "query_id", "left"))
+
+
+def _date_rows(rows: DataFrame) -> DataFrame:
     distinct = F.array_distinct(F.coalesce("years", F.array().cast("array<int>")))
-    joined = ranked.join(years, "query_id", "left").withColumns({
+    dated = rows.withColumns({
         "detected_year": F.when(F.size(distinct) == 1, distinct[0]), "__years": F.size(distinct),
     }).drop("years")
-    again = vintage_rerank(joined)
+    again = vintage_rerank(dated)
     chosen = F.max(F.when(F.col("rank") == 1, F.col("vintage"))).over(_per_query())
     return again.withColumn("vintage_state", _vintage_state(chosen)).drop("__years")
 
@@ -175,10 +189,13 @@ def prefer_confirmed(ranked: DataFrame) -> DataFrame:
 
 
 def decide(
-    ranked: DataFrame, quality: DataFrame, min_score: float = K.MIN_SCORE, min_margin: float = K.MIN_MARGIN,
+    ranked: DataFrame, quality: DataFrame | None = None, min_score: float = K.MIN_SCORE, min_margin: float = K.MIN_MARGIN,
     min_geometry: float = K.MIN_GEOMETRY,
 ) -> DataFrame:
-    """One decision per query with its reason, margin and the scores of the first candidate."""
+    """One decision per query with its reason, margin and the scores of the first candidate.
+
+    Without ``quality`` the rows carry sufficient and text_reason themselves.
+    """
     state = F.col("vintage_state")
     # With a matching year, only candidates of that or an unknown year compete.
     rival = (F.col("rank") > 1) & (
@@ -187,14 +204,16 @@ def decide(
     top_columns = [
         "slug", "score", "visual_score", "image_score", "text_score", "vintage_state", "detected_year", "confirmed",
         "mode", "text_weight",
+    ] + (["sufficient", "text_reason"] if quality is None else []) + [
+        c for c in ("visual_count", "rescue_count", "geometry_count", "text_count") if c in ranked.columns
     ]
     per = ranked.groupBy("query_id").agg(
         F.min_by(F.struct(*top_columns), F.col("rank")).alias("t"),
         F.min_by(F.when(rival, F.col("score")), F.when(rival, F.col("rank"))).alias("next_score"),
         F.count(F.lit(1)).alias("candidates"),
-    ).select("query_id", "t.*", "next_score", "candidates").join(
-        quality.select("query_id", "sufficient", F.col("reason").alias("text_reason")), "query_id", "left"
-    )
+    ).select("query_id", "t.*", "next_score", "candidates")
+    if quality is not None:
+        per = per.join(quality.select("query_id", "sufficient", F.col("reason").alias("text_reason")), "query_id", "left")
     geometry, image = F.coalesce("visual_score", F.lit(0.0)), F.coalesce("image_score", F.lit(0.0))
     supported = (geometry >= min_geometry) | (image >= K.EXACT_IMAGE) | (
         F.coalesce("sufficient", F.lit(False)) & (geometry >= K.SUPPORT_GEOMETRY) & (image >= K.SUPPORT_IMAGE)
@@ -210,48 +229,33 @@ def decide(
         "query_id", "slug", reason.isin("supported_match", "confirmed_reference").alias("accepted"),
         reason.alias("reason"), "score", margin.alias("margin"), "visual_score", "image_score", "text_score",
         "vintage_state", "detected_year", "mode", "text_weight", "text_reason", "candidates",
+        *[c for c in ("visual_count", "rescue_count", "geometry_count", "text_count") if c in per.columns],
     )
 
 
 def recognize_batch(
     visual: DataFrame, verified: DataFrame, text: DataFrame, evidence: DataFrame, refs: DataFrame, cards: DataFrame,
-    palette: DataFrame | None = None, queries: DataFrame | None = None,
+    palette: DataFrame | None = None, queries: DataFrame | None = None, palette_weight: float = K.PALETTE_WEIGHT,
 ) -> tuple[DataFrame, DataFrame]:
     """Decisions and ranked candidates of all queries.
 
     ``visual``: the shortlist of ``search_items`` with model_name; ``verified``: geometric scores by
     (query_id, slug), also of rescued items; ``text``: text scores by (query_id, slug); ``evidence``:
-    query_id, text, text_confidence, years; ``cards``: one row per slug with winery and vintage. A
-    query of ``queries`` without a visual shortlist gets a failed decision; a missing text or
-    geometric branch only adds a warning.
+    query_id, text, text_confidence, years; ``cards``: one row per slug with name, winery and
+    vintage. A query of ``queries`` without a visual shortlist gets a failed decision; a missing text
+    or geometric branch only adds a warning.
+
+    The branches meet in one row per (query, slug), item facts are looked up once by slug, and
+    everything after that happens inside a query, so candidates move three times in all.
     """
-    from shelfmatch.operators.aggregates import producer_vocabulary
-
-    shortlist = visual.withColumn("src_order", F.col("rank")).drop("rank")
-    extended = rescue_candidates(shortlist, text, refs)
-    enriched = enrich_candidates(extended, cards.select("slug", "name", "winery", "vintage"))
-    vocabulary = producer_vocabulary(extended, cards)
-    quality = text_quality(evidence, vocabulary, text)
-    geometric = top_per_key(
-        verified.groupBy("query_id", "slug").agg(F.max("score").alias("score")), ["query_id"],
-        [F.desc("score"), F.col("slug")], K.BRANCH_LIMIT,
-    )
-    ranked = fuse(enriched, geometric, text, quality)
-    if palette is not None:
-        ranked = blend_palette(ranked, palette)
-    ranked = apply_vintage(ranked, evidence.select("query_id", "years"))
-    ranked = prefer_confirmed(ranked)
-    decisions = decide(ranked, quality)
-    per = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
-    counts = extended.groupBy("query_id").agg(
-        F.count_if(~F.col("rescued")).alias("visual_count"), F.count_if("rescued").alias("rescue_count")
-    )
-    counted = counts.join(per(geometric, "geometry_count"), "query_id", "left").join(
-        per(text, "text_count"), "query_id", "left"
-    ).na.fill(0, ["geometry_count", "text_count"])
-    decisions = decisions.join(counted, "query_id", "left").withColumn("warnings", F.filter(F.array(
-        F.when(F.col("geometry_count") == 0, "geometry_unavailable"), F.when(F.col("text_count") == 0, "text_unavailable"),
-    ), lambda w: w.isNotNull())).withColumn("status", F.lit("ok"))
+    ranked = _rank_branches(visual, verified, text, evidence, refs, cards, palette, palette_weight)
+    decisions = decide(ranked)
+    decisions = decisions.withColumns({
+        "warnings": F.filter(F.array(
+            F.when(F.col("geometry_count") == 0, "geometry_unavailable"),
+            F.when(F.col("text_count") == 0, "text_unavailable"),
+        ), lambda w: w.isNotNull()), "status": F.lit("ok"),
+    })
     if queries is not None:
         decisions = queries.select("query_id").join(decisions, "query_id", "left").withColumn(
             "status", F.coalesce("status", F.lit("visual_retrieval_unavailable"))
@@ -259,6 +263,57 @@ def recognize_batch(
     return decisions, ranked
 
 
+def _item_lookup(cards: DataFrame, refs: DataFrame) -> DataFrame:
+    """Card facts, producer words and the canonical reference per model of every slug."""
+    canonical = canonical_reference(refs).groupBy("slug").agg(F.map_from_entries(F.collect_list(
+        F.struct("model_name", F.struct("item_id", F.col("image_uri").alias("uri")))
+    )).alias("__refs"))  # one entry per model
+    facts = cards.select(
+        "slug", "name", "winery", "vintage", X.word_set(F.coalesce("winery", F.lit(""))).alias("__producer"))
+    return facts.join(canonical, "slug", "full")
+
+
+def _rank_branches(visual, verified, text, evidence, refs, cards, palette, palette_weight) -> DataFrame:
+    keys = ["query_id", "slug"]
+    listed = visual.select(
+        *keys, "item_id", "best_image_uri", "model_name", F.col("score").alias("image_score"), F.col("rank").alias("src_order"),
+        F.lit(True).alias("__visual"))
+    geometric = top_scores(verified, K.BRANCH_LIMIT, "slug").select(*keys, F.col("score").alias("visual_score"))
+    rows = listed.join(text.select(*keys, F.col("score").alias("text_score")), keys, "full").join(geometric, keys, "full")
+    rows = rows.join(
+        palette.select(*keys, F.col("score").alias("palette_score")), keys, "left"
+    ) if palette is not None else rows.withColumn("palette_score", F.lit(None).cast("double"))
+    facts = evidence.select(
+        "query_id", "text_confidence", "years", X.word_set(F.coalesce("text", F.lit(""))).alias("__words"))
+    rows = rows.join(_item_lookup(cards, refs), "slug", "left").join(facts, "query_id", "left")
+    query = _per_query()
+    rows = rows.withColumns({"__visual": F.col("__visual").isNotNull(), "__model": F.max("model_name").over(query)})
+    # Text hits the photo missed join the list when their item has a reference of the same model.
+    reference = F.try_element_at("__refs", F.coalesce("__model", F.lit("")))
+    rescued = ~F.col("__visual") & F.col("text_score").isNotNull() & reference.isNotNull()
+    rows = rows.withColumns({"rescued": rescued, "__ref": reference}).drop("__refs")
+    place = F.row_number().over(query.orderBy(F.col("rescued").desc(), F.desc("text_score"), F.col("slug")))
+    count = lambda c: F.count_if(c).over(query)
+    fill = lambda name, value: F.when(F.col("rescued"), value).otherwise(F.col(name))
+    rows = rows.withColumns({
+        "__listed": F.col("__visual") | F.col("rescued"), "src_order": fill("src_order", place + K.SHORTLIST_LIMIT),
+        "item_id": fill("item_id", F.col("__ref.item_id")), "best_image_uri": fill("best_image_uri", F.col("__ref.uri")),
+        "visual_count": count(F.col("__visual")), "rescue_count": count(F.col("rescued")),
+        "geometry_count": count(F.col("visual_score").isNotNull()), "text_count": count(F.col("text_score").isNotNull()),
+    })
+    producer = F.flatten(F.collect_set(F.when(F.col("__listed"), F.col("__producer"))).over(query))
+    quality = _quality_columns(
+        F.coalesce("__words", F.array().cast("array<string>")), F.col("__vocabulary"), F.col("text_count") > 0, F.col("text_confidence"))
+    rows = rows.withColumn("__vocabulary", producer).withColumns(quality)
+    sufficient = F.col("text_reason") == "sufficient_text"
+    rows = rows.withColumn("sufficient", sufficient).drop("__vocabulary", "__words", "__producer", "__ref", "__model", "__visual")
+    weight = F.when(F.col("sufficient"), K.TEXT_WEIGHT_SUFFICIENT).otherwise(K.TEXT_WEIGHT_SPARSE)
+    ranked = _fuse_rows(rows, F.col("sufficient"), weight)
+    if palette is not None and palette_weight > 0:
+        ranked = _blend_rows(ranked, palette_weight)
+    return prefer_confirmed(_date_rows(ranked))
+
+
 def resolve_label(
     facts: DataFrame, matches: DataFrame, cards: DataFrame, card_url: str,
     min_similarity: float = K.LABEL_MIN_SIMILARITY, min_margin: float = K.LABEL_MIN_MARGIN,

@@ -130,6 +130,11 @@ def fused(t: Tables):
     return P.fuse(enriched, t.visual_scores, t.text_scores, quality(t, candidates))
 
 
+def geometry(t: Tables):
+    """Geometric scores before the best ten are taken."""
+    return t.branch_lines.where("flag <> 'A' or status = 'F'").select("query_id", "slug", F.col("geometry").alias("score"))
+
+
 def palette(t: Tables):
     return t.branch_lines.where("flag = 'R' and status = 'O'").groupBy("query_id", "slug").agg((F.max("geometry") / 2).alias("score"))
 
@@ -264,8 +269,7 @@ def single_exact_reference(t: Tables):
 
 @query("SELECT query_id, slug, accepted, reason, round(score, 6) AS score, round(margin, 6) AS margin, vintage_state, mode, candidates FROM decided", [*CONFIRMED, "decided"])
 def decide(t: Tables):
-    ranked = P.prefer_confirmed(dated(t))
-    return rounded(P.decide(ranked, quality(t)).select(
+    return rounded(P.decide(P.prefer_confirmed(dated(t)), quality(t)).select(
         "query_id", "slug", "accepted", "reason", "score", "margin", "vintage_state", "mode", "candidates"))
 
 
@@ -280,7 +284,7 @@ LEFT JOIN (SELECT query_id, count(*) AS n FROM text_scores GROUP BY 1) x ON x.qu
 def recognize_batch(t: Tables):
     queries = t.orders.select(F.col("o_orderkey").alias("query_id"))
     decisions, _ = P.recognize_batch(
-        t.shortlist.withColumnRenamed("src_order", "rank"), t.visual_scores, t.text_scores, t.evidence, reference_rows(t), t.cards,
+        t.shortlist.withColumnRenamed("src_order", "rank"), geometry(t), t.text_scores, t.evidence, reference_rows(t), t.cards,
         palette(t), queries)
     return rounded(decisions.select(
         "query_id", "slug", "reason", "score", "status", "mode", "visual_count", "rescue_count", "geometry_count", "text_count"))
@@ -341,7 +345,7 @@ FROM decided LEFT JOIN (SELECT query_id, count(*) AS n FROM visual_scores GROUP
 """, [*CONFIRMED, "decided"])
 def smoke_gate(t: Tables):
     decisions, _ = P.recognize_batch(
-        t.shortlist.withColumnRenamed("src_order", "rank"), t.visual_scores, t.text_scores, t.evidence, reference_rows(t), t.cards, palette(t))
+        t.shortlist.withColumnRenamed("src_order", "rank"), geometry(t), t.text_scores, t.evidence, reference_rows(t), t.cards, palette(t))
     done = F.when(F.col("vintage_state") == "mismatch", "failed").otherwise("done")
     gated = V.smoke_gate(decisions.withColumns({"state": done, "expected_slug": F.col("slug")}))
     return gated.select("query_id", "problem")
