@@ -10,6 +10,7 @@ from shelfmatch.functions import text as X
 from shelfmatch.functions import vectors as N
 from shelfmatch.operators.joins import joinable_blocks
 from shelfmatch.operators.ranking import reading_order
+from shelfmatch.session import cut_lineage
 from shelfmatch.skew import first_per_key
 
 BLOCK_IOU = 0.6
@@ -149,42 +150,38 @@ def candidate_name(blocks: DataFrame, images: DataFrame) -> DataFrame:
     plausible = first_per_key(
         plausible, ["image_id", "variant", "text", "box"], [-F.col("confidence"), F.col("pos")]
     )
-    sure = F.col("confidence") >= 0.7
-    heights = plausible.groupBy("image_id", "variant").agg(
-        F.coalesce(F.max(F.when(sure, F.col("h"))), F.lit(0.0)).alias("regular")
-    )
-    eligible = plausible.join(heights, ["image_id", "variant"]).where(
-        sure | ((F.col("regular") > 0) & (F.col("h") >= F.col("regular") * 3))
-    )
-    chosen = eligible.groupBy("image_id").agg(F.min("variant").alias("variant"))
-    eligible = eligible.join(chosen, ["image_id", "variant"], "left_semi")
-    tallest = eligible.groupBy("image_id", "variant").agg(F.max("h").alias("max_h"))
-
-    option = ["image_id", "variant", "pos_a", "pos_b", "value", "source_text", "confidence", "box", "h", "width"]
+    # One row per image tells which variant leads and which heights count in it.
+    sure, tall = F.col("confidence") >= 0.7, F.col("h")
+    in_variant = lambda v: F.col("variant") == v
+    heights = plausible.groupBy("image_id").agg(*[
+        F.max(F.when(in_variant(v) & s, tall)).alias(f"{v}_{n}")
+        for v in ("central_crop", "full") for n, s in (("sure", sure), ("unsure", ~sure))
+    ])
+    leads = F.when(F.col("central_crop_sure").isNotNull(), "central_crop").otherwise("full")
+    of_lead = lambda n: F.when(F.col("lead") == "central_crop", F.col(f"central_crop_{n}")).otherwise(F.col(f"full_{n}"))
+    heights = heights.withColumn("lead", leads).select("image_id", "lead", of_lead("sure").alias("regular"), of_lead("unsure").alias("unsure"))
+    rows = plausible.join(heights, "image_id").where((F.col("variant") == F.col("lead")) & (sure | (tall >= F.col("regular") * 3)))
+    top = F.when(F.col("unsure") >= F.col("regular") * 3, F.greatest("unsure", "regular")).otherwise(F.col("regular"))
+    # Singles and pairs both start from here; name-like blocks are few, so they are kept once.
+    eligible = cut_lineage(rows.withColumn("max_h", top).drop("lead", "regular", "unsure"))
+
+    option = ["image_id", "pos_a", "pos_b", "value", "source_text", "confidence", "box", "h", "width", "max_h"]
     singles = eligible.select(
-        "image_id", "variant", F.col("pos").alias("pos_a"), F.lit(-1).cast("long").alias("pos_b"), "value",
-        F.col("text").alias("source_text"), "confidence", "box", "h", "width",
-    )
-    pairable = eligible.where(F.col("confidence") >= 0.75)
-    joined = joinable_blocks(pairable)
-    part = lambda tag: pairable.select(
-        "image_id", "variant", F.col("pos").alias(f"pos_{tag}"),
-        F.struct("text", "value", "box", "confidence", "h", "width").alias(tag),
+        "image_id", F.col("pos").alias("pos_a"), F.lit(-1).cast("long").alias("pos_b"), "value",
+        F.col("text").alias("source_text"), "confidence", "box", "h", "width", "max_h", "variant",
     )
-    both = joined.join(part("a"), ["image_id", "variant", "pos_a"]).join(part("b"), ["image_id", "variant", "pos_b"])
-    first = F.when(F.col("pos_first") == F.col("pos_a"), F.col("a")).otherwise(F.col("b"))
-    second = F.when(F.col("pos_first") == F.col("pos_a"), F.col("b")).otherwise(F.col("a"))
-    pairs = both.withColumns({"p": first, "q": second}).select(
-        "image_id", "variant", "pos_a", "pos_b", F.concat_ws(" ", "p.value", "q.value").alias("value"),
-        F.concat_ws("\n", "p.text", "q.text").alias("source_text"),
-        F.least("p.confidence", "q.confidence").alias("confidence"),
-        F.struct(
-            F.least("p.box.min_x", "q.box.min_x").alias("min_x"), F.least("p.box.min_y", "q.box.min_y").alias("min_y"),
-            F.greatest("p.box.max_x", "q.box.max_x").alias("max_x"), F.greatest("p.box.max_y", "q.box.max_y").alias("max_y"),
-        ).alias("box"),
-        F.least("p.h", "q.h").alias("h"), F.col("p.width").alias("width"),
+    both = joinable_blocks(
+        eligible.where(F.col("confidence") >= 0.75), ["text", "value", "box", "confidence", "h", "width", "max_h"])
+    p, q = "first", "second"
+    joint = lambda f, edge: f(f"{p}.box.{edge}", f"{q}.box.{edge}").alias(edge)
+    pairs = both.select(
+        "image_id", "pos_a", "pos_b", F.concat_ws(" ", f"{p}.value", f"{q}.value").alias("value"),
+        F.concat_ws("\n", f"{p}.text", f"{q}.text").alias("source_text"),
+        F.least(f"{p}.confidence", f"{q}.confidence").alias("confidence"),
+        F.struct(joint(F.least, "min_x"), joint(F.least, "min_y"), joint(F.greatest, "max_x"), joint(F.greatest, "max_y")).alias("box"),
+        F.least(f"{p}.h", f"{q}.h").alias("h"), F.col(f"{p}.width").alias("width"), F.col(f"{p}.max_h").alias("max_h"), "variant",
     )
-    options = singles.select(*option).unionByName(pairs.select(*option)).join(tallest, ["image_id", "variant"])
+    options = singles.select(*option, "variant").unionByName(pairs.select(*option, "variant"))
     scored = options.withColumn("name_score", _name_score())
     # Earlier options win ties: blocks in order before pairs in order.
     order = [

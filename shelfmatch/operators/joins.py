@@ -168,46 +168,104 @@ def _cell(value: Column, size: Column) -> Column:
     return F.floor(value / size).cast("long")
 
 
-def _around(value: Column, *steps: int) -> Column:
-    return F.explode(F.array(*[(value + s).cast("long") for s in steps]))
-
-
 SMALL_IMAGE = 64
 
 
-def joinable_blocks(blocks: DataFrame) -> DataFrame:
+def joinable_blocks(blocks: DataFrame, carry: list[str] = []) -> DataFrame:
     """Block pairs that continue one line or stand above each other, ``pos_a`` before ``pos_b``.
 
-    ``blocks``: image_id, variant, pos, box, confidence. Blocks of a small image are compared
-    directly. In a larger one, only blocks whose facing edges fall in neighbouring cells of a grid
-    scaled by their size meet, each candidate pair in one cell; no large image is joined with
-    itself.
+    ``blocks``: image_id, variant, pos, box, confidence; ``carry`` names columns returned in the
+    structs ``first`` and ``second``, left before right and upper before lower. Blocks of a small
+    image are compared directly. In a larger one, only blocks whose facing edges fall in
+    neighbouring cells of a grid scaled by their size meet, each candidate pair in one cell; no large
+    image is joined with itself.
     """
     keys = ["image_id", "variant"]
-    sized = _sized_boxes(blocks)
+    sized = _sized_boxes(blocks, carry)
     counts = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     counted = sized.join(counts, keys)
-    return _pairs_direct(counted.where(F.col("__n") <= SMALL_IMAGE)).unionByName(
-        _pairs_by_cell(counted.where(F.col("__n") > SMALL_IMAGE)))
+    cells = [*keys, "__cell"]
+    left = _side(counted.withColumn("__cell", F.explode(_cells(_line_ends, _stack_bottoms))), "l", carry)
+    right = _side(counted.withColumn("__cell", F.explode(_cells(_line_starts, _stack_tops))), "r", carry)
+    kind = F.col("__cell.kind")
+    found = left.join(right, cells).where(
+        F.when(kind == "line", _line_test()).when(kind == "stack", _stack_test()).otherwise(_line_test() | _stack_test()))
+    structs = [F.struct(*[F.col(f"{t}_{c}").alias(c) for c in carry]).alias(n) for t, n in (("l", "first"), ("r", "second"))]
+    return found.select(
+        *keys, F.least("l_pos", "r_pos").alias("pos_a"), F.greatest("l_pos", "r_pos").alias("pos_b"),
+        F.when(_line_test(), "line").otherwise("stack").alias("layout"), *(structs if carry else []))
 
 
 EDGES = ["min_x", "min_y", "max_x", "max_y"]
 SIDE = ["pos", "confidence", "h", "w", "cx", *EDGES]
 
 
-def _sized_boxes(blocks: DataFrame) -> DataFrame:
+def _sized_boxes(blocks: DataFrame, carry: list[str]) -> DataFrame:
     boxed = blocks.where(F.col("box").isNotNull()).select(
         "image_id", "variant", "pos", "confidence", *[F.col(f"box.{e}").alias(e) for e in EDGES],
-        N.box_height(F.col("box")).alias("h"),
+        N.box_height(F.col("box")).alias("h"), *[F.col(c).alias(f"__{c}") for c in carry],
     )
     return boxed.withColumns({
         "w": F.col("max_x") - F.col("min_x"), "cy": (F.col("min_y") + F.col("max_y")) / 2,
         "cx": (F.col("min_x") + F.col("max_x")) / 2,
+    }).withColumns({
+        "hc": _scale(F.col("h"), 0.6), "wc": F.when((F.col("confidence") >= 0.75) & (F.col("w") > 0), _scale(F.col("w"), 0.65)),
     })
 
 
-def _side(df: DataFrame, tag: str, cells: list[str]) -> DataFrame:
-    return df.select("image_id", "variant", *cells, *[F.col(c).alias(f"{tag}_{c}") for c in SIDE])
+def _side(df: DataFrame, tag: str, carry: list[str]) -> DataFrame:
+    return df.select(
+        "image_id", "variant", "__cell", *[F.col(c).alias(f"{tag}_{c}") for c in SIDE if c not in carry],
+        *[F.col(f"__{c}").alias(f"{tag}_{c}") for c in carry])
+
+
+def _cell_struct(kind: str, hk: Column, wk: Column, yk: Column, xk: Column) -> Column:
+    named = {"hk": hk, "wk": wk, "yk": yk, "xk": xk}
+    return F.struct(F.lit(kind).alias("kind"), *[c.cast("long").alias(n) for n, c in named.items()])
+
+
+def _cells(line, stack) -> Column:
+    """Cells of a block: one for a small image; grid cells, by scale, in a large one."""
+    zero = F.lit(0)
+    whole = F.array(_cell_struct("image", zero, zero, zero, zero))
+    grid = F.when(F.col("wc").isNull(), F.array(*line())).otherwise(F.array(*line(), *stack()))
+    return F.when(F.col("__n") <= SMALL_IMAGE, whole).otherwise(grid)
+
+
+# The scale class ``hk`` belongs to the right or lower block: facing blocks are at most one class
+# apart, so neither is taller than ``_reach``, which is also the side of a cell.
+def _reach(hk: Column) -> Column:
+    return F.pow(F.lit(1 / 0.6), hk + 2)
+
+
+def _offset(wk: Column) -> Column:
+    return F.pow(F.lit(1 / 0.65), wk + 1) * 0.25
+
+
+def _line_ends() -> list[Column]:
+    return [
+        _cell_struct("line", hk, F.lit(0), _cell(F.col("cy"), _reach(hk)), _cell(F.col("max_x"), _reach(hk)))
+        for hk in (F.col("hc") + d for d in (-1, 0, 1))
+    ]
+
+
+def _line_starts() -> list[Column]:
+    hk = F.col("hc")
+    y, x = _cell(F.col("cy"), _reach(hk)), _cell(F.col("min_x"), _reach(hk))
+    return [_cell_struct("line", hk, F.lit(0), y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0)]
+
+
+def _stack_bottoms() -> list[Column]:
+    return [
+        _cell_struct("stack", hk, wk, _cell(F.col("max_y"), _reach(hk)), _cell(F.col("cx"), _offset(wk)))
+        for hk in (F.col("hc") + d for d in (-1, 0, 1)) for wk in (F.col("wc") + d for d in (-1, 0, 1))
+    ]
+
+
+def _stack_tops() -> list[Column]:
+    hk, wk = F.col("hc"), F.col("wc")
+    y, x = _cell(F.col("min_y"), _reach(hk)), _cell(F.col("cx"), _offset(wk))
+    return [_cell_struct("stack", hk, wk, y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 
 
 def _line_test() -> Column:
@@ -239,46 +297,3 @@ def _alike() -> Column:
 
 def _overlap_y() -> Column:
     return F.least("l_max_y", "r_max_y") - F.greatest("l_min_y", "r_min_y")
-
-
-def _pair(df: DataFrame, layout: Column) -> DataFrame:
-    return df.select(
-        "image_id", "variant", F.least("l_pos", "r_pos").alias("pos_a"), F.greatest("l_pos", "r_pos").alias("pos_b"),
-        F.col("l_pos").alias("pos_first"), layout.alias("layout"))
-
-
-def _pairs_direct(sized: DataFrame) -> DataFrame:
-    pairs = _side(sized, "l", []).join(_side(sized, "r", []), ["image_id", "variant"])
-    return _pair(pairs.where(_line_test() | _stack_test()), F.when(_line_test(), "line").otherwise("stack"))
-
-
-def _pairs_by_cell(boxed: DataFrame) -> DataFrame:
-    keys = ["image_id", "variant"]
-    grown = 1 / 0.6
-    reach = lambda c: F.pow(F.lit(grown), c + 2)
-    wide = lambda c: F.pow(F.lit(1 / 0.65), c + 1) * 0.25
-    sized = boxed.withColumn("hc", _scale(F.col("h"), 0.6))
-
-    # One line: the right edge of the left block faces the left edge of the right block.
-    left = sized.withColumn("hk", _around(F.col("hc"), -1, 0, 1))
-    left = left.withColumns({
-        "yk": _cell(F.col("cy"), reach(F.col("hk"))), "xk": _cell(F.col("max_x"), reach(F.col("hk")))
-    })
-    right = sized.withColumn("hk", F.col("hc").cast("long")).withColumn(
-        "yk", _around(_cell(F.col("cy"), reach(F.col("hc"))), -1, 0, 1)
-    ).withColumn("xk", _around(_cell(F.col("min_x"), reach(F.col("hc"))), -1, 0))
-    line_cells = ["hk", "yk", "xk"]
-    line = _side(left, "l", line_cells).join(_side(right, "r", line_cells), [*keys, *line_cells]).where(_line_test())
-
-    # Stacked: the bottom edge of the upper block faces the top edge of the lower one.
-    strong = sized.where((F.col("confidence") >= 0.75) & (F.col("w") > 0)).withColumn("wc", _scale(F.col("w"), 0.65))
-    upper = strong.withColumn("hk", _around(F.col("hc"), -1, 0, 1)).withColumn("wk", _around(F.col("wc"), -1, 0, 1))
-    upper = upper.withColumns({
-        "yk": _cell(F.col("max_y"), reach(F.col("hk"))), "xk": _cell(F.col("cx"), wide(F.col("wk")))
-    })
-    lower = strong.withColumns({"hk": F.col("hc").cast("long"), "wk": F.col("wc").cast("long")}).withColumn(
-        "yk", _around(_cell(F.col("min_y"), reach(F.col("hc"))), -1, 0, 1)
-    ).withColumn("xk", _around(_cell(F.col("cx"), wide(F.col("wc"))), -1, 0, 1))
-    stack_cells = ["hk", "wk", "yk", "xk"]
-    stack = _side(upper, "l", stack_cells).join(_side(lower, "r", stack_cells), [*keys, *stack_cells]).where(_stack_test())
-    return _pair(line, F.lit("line")).unionByName(_pair(stack, F.lit("stack")))

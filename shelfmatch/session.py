@@ -19,6 +19,8 @@ def build_session(app_name: str = "shelfmatch", cpus: str | int = "*", **conf: s
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
+        # Call sites are captured for every expression otherwise; plans here have thousands.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         **conf,
     }

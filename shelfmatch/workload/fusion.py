@@ -12,6 +12,7 @@ from shelfmatch.operators import sets as U
 from shelfmatch.operators import validate as V
 from shelfmatch.plans import recognition as P
 from shelfmatch.plans import retrieval
+from shelfmatch.session import cut_lineage
 from shelfmatch.workload.base import CARD_URL, VIEWS, DERIVED, Tables, query, rounded
 
 LINES = ["catalog", "cards", "branch_lines", "shortlist", "visual_scores", "text_scores", "evidence"]
@@ -125,7 +126,8 @@ def quality(t: Tables, candidates=None):
 
 
 def fused(t: Tables):
-    candidates = extended(t)
+    # Two operators read the candidates; they are computed once.
+    candidates = cut_lineage(extended(t))
     enriched = J.enrich_candidates(candidates, t.cards.select("slug", "vintage"))
     return P.fuse(enriched, t.visual_scores, t.text_scores, quality(t, candidates))
 

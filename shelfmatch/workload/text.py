@@ -204,7 +204,7 @@ WHERE lo / hi >= 0.6 AND CASE WHEN oy >= lo * 0.4 THEN gx >= 0 AND gx <= hi
 
 @query(f"SELECT * FROM ({PAIRS})", ["label_blocks"])
 def joinable_blocks(t: Tables):
-    return J.joinable_blocks(t.label_blocks).drop("pos_first")
+    return J.joinable_blocks(t.label_blocks)
 
 
 @query(f"""
