@@ -126,7 +126,7 @@ def vintage_evidence(fields: DataFrame) -> DataFrame:
         & F.col("value").rlike(r"^(19|20)\p{Nd}{2}$") & ~F.col("source_text").rlike(f"(?iu){K.FOUNDING_PATTERN}")
     )
     # At most two hundred distinct years exist.
-    years = F.array_sort(F.collect_set(F.col("value").cast("int")))
+    years = F.array_sort(F.collect_set(F.col("value").try_cast("int")))
     return fields.where(usable).groupBy("image_id").agg(years.alias("years"))
 
 

@@ -145,7 +145,7 @@ def validate_ranking_output(ranking: DataFrame, limit: int = K.BRANCH_LIMIT) ->
 def explicit_vintage(name: Column, slug: Column) -> Column:
     """The year in name and slug when there is exactly one."""
     years = F.array_distinct(X.extract_years(F.concat_ws(" ", F.coalesce(name, F.lit("")), slug)))
-    return F.when(F.size(years) == 1, years[0].cast("int"))
+    return F.when(F.size(years) == 1, years[0].try_cast("int"))
 
 
 def make_card(wines: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def parse_truth_blocks(texts: DataFrame, column: str = "value") -> tuple[DataFra
     field = lambda f: F.try_element_at(F.regexp_extract_all(body, F.lit(f'{f}\\s*:\\s*"([^"]*)"'), F.lit(1)), F.lit(-1))
     listed = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     rows = blocks.select(
-        F.regexp_extract("b", entry, 1).cast("long").alias("image_no"), F.trim(field("name")).alias("name"),
+        F.regexp_extract("b", entry, 1).try_cast("long").alias("image_no"), F.trim(field("name")).alias("name"),
         listed(field("years")).alias("years"), listed(field("other")).alias("other"), field("other").isNull().alias("__bare"),
     )
     counts = rows.groupBy("image_no").agg(F.count(F.lit(1)).alias("__n"))
@@ -161,11 +161,11 @@ def read_review_run(spark: SparkSession, run_dir: str, truth: DataFrame) -> tupl
     """Review images with truth and saved result, and problem rows for images missing either."""
     manifest = spark.read.schema(RUN_MANIFEST_SCHEMA).option("multiLine", "true").json(f"{run_dir}/manifest.json")
     images = manifest.select(F.posexplode("images").alias("position", "i")).select(
-        F.regexp_extract("i.image", r"^image(\d+)\.[^.]+$", 1).cast("long").alias("image_no"), F.col("position").cast("long"),
+        F.regexp_extract("i.image", r"^image(\d+)\.[^.]+$", 1).try_cast("long").alias("image_no"), F.col("position").cast("long"),
         F.col("i.image").alias("image"), F.col("i.source").alias("source"), F.col("i.elapsed_seconds").alias("elapsed_seconds"),
     )
     outputs = spark.read.schema(OCR_RESULT_SCHEMA).option("multiLine", "true").json(f"{run_dir}/image*_output.json").select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^image(\d+)_output\.json$", 1).cast("long").alias("image_no"), "result.*"
+        F.regexp_extract(F.col("_metadata.file_name"), r"^image(\d+)_output\.json$", 1).try_cast("long").alias("image_no"), "result.*"
     )
     known = images.where("image_no is not null")
     good = known.join(truth, "image_no").join(outputs, "image_no")
