@@ -174,19 +174,21 @@ def photo_key(c: Column) -> Column:
     return F.regexp_replace(key, "[^a-z0-9]+", "")
 
 
+def _name_pattern() -> str:
+    """Matches a normalized text with three letters that is no generic line, prefix or phrase."""
+    quoted = lambda words: "|".join(f"\\Q{w}\\E" for w in words)
+    return (
+        rf"(?s)\A(?!(?:{quoted(K.GENERIC_LINES)})\z|{quoted(K.REGULATORY_PREFIXES)})"
+        rf"(?!.*(?:{quoted(K.GENERIC_PHRASES)}))(?:[^\p{{L}}]*+\p{{L}}){{3}}"
+    )
+
+
 def clean_name(c: Column) -> Column:
     """Name-like text without years and edge punctuation; empty when it cannot be a name."""
-    edge = "".join("\\" + ch if ch in "-[]|." else ch for ch in K.NAME_EDGE_CHARACTERS)
-    cleaned = F.regexp_replace(
-        F.regexp_replace(c, K.YEAR_PATTERN, ""), rf"\A[{edge}]+|[{edge}]+\z", ""
-    )
-    normal = normalize_text(cleaned)
-    rejected = (letter_count(normal) < 3) | (F.length(cleaned) > 60) | normal.isin(K.GENERIC_LINES)
-    for prefix in K.REGULATORY_PREFIXES:
-        rejected = rejected | normal.startswith(prefix)
-    for phrase in K.GENERIC_PHRASES:
-        rejected = rejected | normal.contains(phrase)
-    return F.when(rejected, F.lit("")).otherwise(cleaned)
+    undated = F.when(c.rlike("19|20"), F.regexp_replace(c, K.YEAR_PATTERN, "")).otherwise(c)
+    cleaned = F.trim(undated, F.lit(K.NAME_EDGE_CHARACTERS))
+    usable = (F.length(cleaned) <= 60) & normalize_text(cleaned).rlike(_name_pattern())
+    return F.when(usable, cleaned).otherwise(F.when(c.isNotNull(), ""))
 
 
 def contains_phrase(text: Column, phrase: Column, normalized: bool = False) -> Column:

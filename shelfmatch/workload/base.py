@@ -26,9 +26,12 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in DERIVED:
-            return DERIVED[name](self)
-        df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
-        return _with_utc(df, "ts") if name == "events" else df
+            df = DERIVED[name](self)
+        else:
+            df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+            df = _with_utc(df, "ts") if name == "events" else df
+        self.__dict__[name] = df  # one plan per view and query
+        return df
 
 
 def _with_utc(df: DataFrame, column: str) -> DataFrame:

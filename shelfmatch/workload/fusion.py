@@ -117,19 +117,17 @@ def reference_rows(t: Tables):
 
 
 def extended(t: Tables):
-    return J.rescue_candidates(t.shortlist, t.text_scores, reference_rows(t))
+    # Several operators read the candidates; they are computed once.
+    return cut_lineage(J.rescue_candidates(t.shortlist, t.text_scores, t.reference_rows))
 
 
-def quality(t: Tables, candidates=None):
-    candidates = extended(t) if candidates is None else candidates
-    return P.text_quality(t.evidence, A.producer_vocabulary(candidates, t.cards), t.text_scores)
+def quality(t: Tables):
+    return P.text_quality(t.evidence, A.producer_vocabulary(t.extended, t.cards), t.text_scores)
 
 
 def fused(t: Tables):
-    # Two operators read the candidates; they are computed once.
-    candidates = cut_lineage(extended(t))
-    enriched = J.enrich_candidates(candidates, t.cards.select("slug", "vintage"))
-    return P.fuse(enriched, t.visual_scores, t.text_scores, quality(t, candidates))
+    enriched = J.enrich_candidates(t.extended, t.cards.select("slug", "vintage"))
+    return P.fuse(enriched, t.visual_scores, t.text_scores, t.quality)
 
 
 def geometry(t: Tables):
@@ -142,7 +140,7 @@ def palette(t: Tables):
 
 
 def dated(t: Tables):
-    return P.apply_vintage(P.blend_palette(fused(t), palette(t)), t.evidence.select("query_id", "years"))
+    return P.apply_vintage(P.blend_palette(t.fused, t.palette), t.evidence.select("query_id", "years"))
 
 
 for _view in (reference_rows, extended, quality, fused, palette, dated):
@@ -207,12 +205,12 @@ def enrich_candidates(t: Tables):
 
 @query("SELECT query_id, slug, item_id, best_image_uri, src_order, score, rescued FROM extended", BASE[:9])
 def rescue_candidates(t: Tables):
-    return rounded(extended(t).select("query_id", "slug", "item_id", "best_image_uri", "src_order", "score", "rescued"))
+    return rounded(t.extended.select("query_id", "slug", "item_id", "best_image_uri", "src_order", "score", "rescued"))
 
 
 @query("SELECT query_id, word FROM vocabulary", BASE[:10])
 def producer_vocabulary(t: Tables):
-    return A.producer_vocabulary(extended(t), t.cards)
+    return A.producer_vocabulary(t.extended, t.cards)
 
 
 @query("""
@@ -225,12 +223,12 @@ def supported_slugs(t: Tables):
 
 @query("SELECT query_id, sufficient, reason, word_count, informative_word_count, round(recognition_confidence, 6) AS recognition_confidence FROM quality", BASE)
 def text_quality(t: Tables):
-    return rounded(quality(t))
+    return rounded(t.quality)
 
 
 @query("SELECT query_id, slug, mode, rank, round(score, 6) AS score, visual_score, text_score, round(image_score, 6) AS image_score FROM fused", FUSED)
 def fuse(t: Tables):
-    return rounded(fused(t).select("query_id", "slug", "mode", "rank", "score", "visual_score", "text_score", "image_score"))
+    return rounded(t.fused.select("query_id", "slug", "mode", "rank", "score", "visual_score", "text_score", "image_score"))
 
 
 @query("""
@@ -242,12 +240,12 @@ def stable_ties(t: Tables):
 
 @query("SELECT query_id, slug, round(score, 6) AS score, palette_score, rank FROM blended", BLENDED)
 def blend_palette(t: Tables):
-    return rounded(P.blend_palette(fused(t), palette(t)).select("query_id", "slug", "score", "palette_score", "rank"))
+    return rounded(P.blend_palette(t.fused, t.palette).select("query_id", "slug", "score", "palette_score", "rank"))
 
 
 @query("SELECT query_id, slug, vintage, detected_year, vintage_state, rank FROM dated", DATED, big=["vintage", "detected_year"])
 def apply_vintage(t: Tables):
-    return dated(t).select("query_id", "slug", "vintage", "detected_year", "vintage_state", "rank")
+    return t.dated.select("query_id", "slug", "vintage", "detected_year", "vintage_state", "rank")
 
 
 @query("""
@@ -261,7 +259,7 @@ def vintage_rerank(t: Tables):
 
 @query("SELECT query_id, slug, promoted, confirmed, vintage_state, rank FROM confirmed", CONFIRMED)
 def prefer_confirmed(t: Tables):
-    return P.prefer_confirmed(dated(t)).select("query_id", "slug", "promoted", "confirmed", "vintage_state", "rank")
+    return P.prefer_confirmed(t.dated).select("query_id", "slug", "promoted", "confirmed", "vintage_state", "rank")
 
 
 @query("SELECT query_id, slug, exact AND n = 1 AS promoted FROM (SELECT query_id, slug, score >= 0.985 AS exact, count(*) FILTER (score >= 0.985) OVER (PARTITION BY query_id) AS n FROM shortlist)", LINES[:4])
@@ -271,7 +269,7 @@ def single_exact_reference(t: Tables):
 
 @query("SELECT query_id, slug, accepted, reason, round(score, 6) AS score, round(margin, 6) AS margin, vintage_state, mode, candidates FROM decided", [*CONFIRMED, "decided"])
 def decide(t: Tables):
-    return rounded(P.decide(P.prefer_confirmed(dated(t)), quality(t)).select(
+    return rounded(P.decide(P.prefer_confirmed(t.dated), t.quality).select(
         "query_id", "slug", "accepted", "reason", "score", "margin", "vintage_state", "mode", "candidates"))
 
 
@@ -286,8 +284,8 @@ LEFT JOIN (SELECT query_id, count(*) AS n FROM text_scores GROUP BY 1) x ON x.qu
 def recognize_batch(t: Tables):
     queries = t.orders.select(F.col("o_orderkey").alias("query_id"))
     decisions, _ = P.recognize_batch(
-        t.shortlist.withColumnRenamed("src_order", "rank"), geometry(t), t.text_scores, t.evidence, reference_rows(t), t.cards,
-        palette(t), queries)
+        t.shortlist.withColumnRenamed("src_order", "rank"), geometry(t), t.text_scores, t.evidence, t.reference_rows, t.cards,
+        t.palette, queries)
     return rounded(decisions.select(
         "query_id", "slug", "reason", "score", "status", "mode", "visual_count", "rescue_count", "geometry_count", "text_count"))
 
@@ -347,7 +345,7 @@ FROM decided LEFT JOIN (SELECT query_id, count(*) AS n FROM visual_scores GROUP
 """, [*CONFIRMED, "decided"])
 def smoke_gate(t: Tables):
     decisions, _ = P.recognize_batch(
-        t.shortlist.withColumnRenamed("src_order", "rank"), geometry(t), t.text_scores, t.evidence, reference_rows(t), t.cards, palette(t))
+        t.shortlist.withColumnRenamed("src_order", "rank"), geometry(t), t.text_scores, t.evidence, t.reference_rows, t.cards, t.palette)
     done = F.when(F.col("vintage_state") == "mismatch", "failed").otherwise("done")
     gated = V.smoke_gate(decisions.withColumns({"state": done, "expected_slug": F.col("slug")}))
     return gated.select("query_id", "problem")

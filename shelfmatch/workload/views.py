@@ -61,7 +61,7 @@ SELECT vec_id AS query_id, 'text-a' AS model_name,
 FROM embeddings
 """)
 def text_queries(t: Tables):
-    return photo_queries(t).select("query_id", F.lit("text-a").alias("model_name"), "embedding")
+    return t.photo_queries.select("query_id", F.lit("text-a").alias("model_name"), "embedding")
 
 
 @view("""
@@ -99,7 +99,7 @@ def cards(t: Tables):
     from shelfmatch.operators.validate import explicit_vintage
     from shelfmatch.operators.windows import one_card_per_slug
 
-    one = one_card_per_slug(catalog(t))
+    one = one_card_per_slug(t.catalog)
     return one.select(
         "slug", "name", "winery", "web_photo", F.col("id").alias("card_id"),
         explicit_vintage(F.col("name"), F.col("slug")).alias("vintage"),
@@ -122,7 +122,7 @@ def branch_lines(t: Tables):
     )
     folder = F.when((F.col("l_tax") == 0) & (F.col("status") == "F"), "/data/reference/feedback/").otherwise(
         "/data/reference/catalog/")
-    return lines.join(catalog(t).select(F.col("id").alias("l_partkey"), "slug"), "l_partkey").select(
+    return lines.join(t.catalog.select(F.col("id").alias("l_partkey"), "slug"), "l_partkey").select(
         "query_id", F.col("l_partkey").cast("string").alias("item_id"), "slug", "image", "geometry", "text", "flag", "status",
         F.concat(folder, "l_partkey", F.lit(".png")).alias("uri"),
     )
@@ -137,7 +137,7 @@ SELECT * FROM (
 def shortlist(t: Tables):
     from shelfmatch.skew import top_per_key
 
-    best = branch_lines(t).where("flag <> 'N'").groupBy("query_id", "slug").agg(
+    best = t.branch_lines.where("flag <> 'N'").groupBy("query_id", "slug").agg(
         F.max("image").alias("score"), F.min("item_id").alias("item_id"), F.max("uri").alias("best_image_uri"),
     ).withColumn("model_name", F.lit("visual-a"))
     return top_per_key(best, ["query_id"], [F.desc("score"), F.col("slug")], 20, "src_order")
@@ -152,7 +152,7 @@ SELECT query_id, slug, score FROM (
 def visual_scores(t: Tables):
     from shelfmatch.operators.ranking import top_scores
 
-    rows = branch_lines(t).where("flag <> 'A' or status = 'F'").select("query_id", "slug", F.col("geometry").alias("score"))
+    rows = t.branch_lines.where("flag <> 'A' or status = 'F'").select("query_id", "slug", F.col("geometry").alias("score"))
     return top_scores(rows, key="slug").drop("rank")
 
 
@@ -165,7 +165,7 @@ SELECT query_id, slug, score FROM (
 def text_scores(t: Tables):
     from shelfmatch.operators.ranking import top_scores
 
-    rows = branch_lines(t).where("flag <> 'R'").select("query_id", "slug", F.col("text").alias("score"))
+    rows = t.branch_lines.where("flag <> 'R'").select("query_id", "slug", F.col("text").alias("score"))
     return top_scores(rows, key="slug").drop("rank")
 
 
