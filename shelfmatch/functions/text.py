@@ -123,16 +123,14 @@ def letters_in(words: Column) -> Column:
 
 def repair_lookalikes(c: Column) -> Column:
     """Words made only of Cyrillic letters and look-alikes are rewritten in Cyrillic."""
-    similar = f"^[а-яё{K.LOOKALIKE_FROM}]{{3,}}$"
+    letters = K.LOOKALIKE_FROM + K.LOOKALIKE_FROM.upper()
+    similar = rf"^(?!\p{{Nd}}+$)[а-яёА-ЯЁ{letters}]{{3,}}$"
     pieces = F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0))
-
-    def repair(p: Column) -> Column:
-        folded = _fold_plain(p)
-        change = folded.rlike(similar) & ~folded.rlike(r"^\p{Nd}+$")
-        word = F.when(change, F.translate(folded, K.LOOKALIKE_FROM, K.LOOKALIKE_TO)).otherwise(folded)
-        return F.when(p.rlike(r"^[\p{L}\p{N}_]"), word).otherwise(p)
-
-    return F.array_join(F.transform(pieces, repair), "")
+    repaired = F.transform(pieces, lambda p: (
+        F.when(p.rlike(similar), F.translate(F.lower(p), K.LOOKALIKE_FROM, K.LOOKALIKE_TO))
+        .when(p.rlike(r"^[\p{L}\p{N}_]"), _fold_plain(p)).otherwise(p)
+    ))
+    return F.array_join(repaired, "")
 
 
 def embedding_query_text(text: Column, name: Column) -> Column:
@@ -250,16 +248,17 @@ def words_of(c: Column) -> Column:
 
 def chunk_words(c: Column, max_tokens: int) -> Column:
     """Chunks of at most ``max_tokens`` whitespace words; a text within the budget stays whole."""
-    words = words_of(c)
-    count = F.size(words)
-    starts = F.sequence(F.lit(0), F.floor((count - 1) / max_tokens).cast("int"))
-    chunks = F.transform(
-        starts, lambda i: F.array_join(F.slice(words, i * max_tokens + 1, F.lit(max_tokens)), " ")
-    )
-    return (
-        F.when(count == 0, F.array().cast("array<string>"))
-        .when(count <= max_tokens, F.array(c)).otherwise(chunks)
-    )
+    def chunks(words: Column) -> Column:
+        count = F.size(words)
+        numbers = F.sequence(F.lit(0), F.floor((count - 1) / max_tokens).cast("int"))
+        return (
+            F.when(count == 0, F.array().cast("array<string>")).when(count <= max_tokens, F.array(c))
+            .otherwise(F.transform(
+                numbers, lambda i: F.array_join(F.slice(words, i * max_tokens + 1, F.lit(max_tokens)), " ")))
+        )
+
+    # Split once per text: the words are bound as the element of a one-element array.
+    return F.transform(F.array(words_of(c)), chunks)[0]
 
 
 def chunk_by_tokens(max_tokens: int, count_tokens: Callable[[str], int]) -> Callable[[Column], Column]:

@@ -185,7 +185,7 @@ def write_report_json(t: Tables):
 
 
 HEADING = "trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1(?:\\s[^>]*)?>(.*?)</h1\\s*>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
-UNESCAPE = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
+UNESCAPE = "regexp_replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;?', '&', 'g')"
 
 
 @query(f"SELECT page_id, nullif(trim({UNESCAPE.format(HEADING)}, ' :'), '') AS name FROM pages")
@@ -247,9 +247,9 @@ def rgb_to_hsv(t: Tables):
 WITH p AS (SELECT image_id, CASE WHEN s < 0.16 THEN CASE WHEN v > 0.7 THEN 13 ELSE 12 END ELSE least(11, CAST(floor(h * 12) AS INTEGER)) END AS bin FROM ({HSV}) WHERE a >= 128 AND v >= 0.18),
 n AS (SELECT image_id, count(*) AS n FROM p GROUP BY 1),
 w AS (SELECT image_id, bin AS i, CASE WHEN bin >= 12 THEN 1 ELSE 0.6 END AS x FROM p UNION ALL SELECT image_id, (bin + 1) % 12, 0.2 FROM p WHERE bin < 12 UNION ALL SELECT image_id, (bin + 11) % 12, 0.2 FROM p WHERE bin < 12)
-SELECT n.image_id, r.i AS bin, round(coalesce(sum(x), 0) / max(n.n), 6) AS share FROM n CROSS JOIN range(14) r(i) LEFT JOIN w ON w.image_id = n.image_id AND w.i = r.i
+SELECT n.image_id, r.i AS bin, round(coalesce(sum(x), 0) / max(n.n), 9) AS share FROM n CROSS JOIN range(14) r(i) LEFT JOIN w ON w.image_id = n.image_id AND w.i = r.i
 WHERE n.n >= 24 GROUP BY n.image_id, r.i
 """.replace("WITH p AS", "SELECT * FROM (WITH p AS", 1).replace("GROUP BY n.image_id, r.i", "GROUP BY n.image_id, r.i)"), ["pixels"])
 def palette_histogram(t: Tables):
     bins = A.palette_histogram(t.pixels).where("bins is not null")
-    return rounded(bins.select("image_id", F.posexplode("bins").alias("bin", "share")))
+    return rounded(bins.select("image_id", F.posexplode("bins").alias("bin", "share")), 9)
