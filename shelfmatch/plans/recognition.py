@@ -100,6 +100,7 @@ def _fuse_rows(rows: DataFrame, leads: Column, weight: Column) -> DataFrame:
     }).where(listed)
     w, v = F.col("text_weight"), F.lit(1.0) - F.col("text_weight")
     lead, geo, zero = F.col("__lead"), F.col("__geo"), F.lit(0.0)
+    # Mode names.
     mode = (
         F.when(lead & geo, "text_primary").when(lead, "text_primary_dino").when(geo & F.col("__shared"), "weighted_visual")
         .when(geo, "visual_fallback").otherwise("dino_fallback")

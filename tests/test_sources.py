@@ -11,9 +11,9 @@ from shelfmatch.sources import readers, reports, tables
 def test_manifest_csv_lines_and_problems(spark, tmp_path):
     path = tmp_path / "m.csv"
     path.write_text(
-        "﻿wine_id, slug,image_uri,note\n1,a,/data/1.jpg,x\n\n , ,,\n2,\"b\nc\",/data/2.jpg\n3,,/data/3.jpg,\n4,d,/data/4.jpg,y,z\n5,\"e\"\"q\",/data/5.jpg,\n",
+        "﻿item_id, slug,image_uri,note\n1,a,/data/1.jpg,x\n\n , ,,\n2,\"b\nc\",/data/2.jpg\n3,,/data/3.jpg,\n4,d,/data/4.jpg,y,z\n5,\"e\"\"q\",/data/5.jpg,\n",
         encoding="utf-8")
-    good, bad = readers.read_manifest_csv(spark, str(path), ["wine_id", "slug", "image_uri"])
+    good, bad = readers.read_manifest_csv(spark, str(path), ["item_id", "slug", "image_uri"])
     assert [tuple(r) for r in good.orderBy("line").collect()] == [
         (2, "1", "a", "/data/1.jpg"), (6, "2", "b\nc", "/data/2.jpg"), (9, "5", 'e"q', "/data/5.jpg")]
     assert [tuple(r) for r in bad.orderBy("line").collect()] == [(7, "empty slug"), (8, "5 values for 4 columns")]
