@@ -33,14 +33,22 @@ def build_session(app_name: str = "shelfmatch", cpus: str | int = "*", **conf: s
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a local master, whose executors share the driver's disk, gets a temporary
+    folder; a cluster gets an error, since a folder of one machine would lose the data.
+    """
     current = spark.sparkContext.getCheckpointDir()
-    if folder is None and current is None:
-        folder = tempfile.mkdtemp(prefix="spark-")
     if current is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir()
+        current = spark.sparkContext.getCheckpointDir()
+    return current
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
