@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from shelfmatch.llm import byte_pairs, exact_dedup, mixing, simhash
+from shelfmatch.llm import byte_pairs, exact_dedup, mixing, quality_rules, secrets, simhash
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op4_byte_bpe": byte_pairs.op4_byte_bpe,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_secrets": secrets.op7_secrets,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
 }
