@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfmatch.llm import byte_pairs, exact_dedup, mixing, quality_rules, secrets, simhash
+from shelfmatch.llm import byte_pairs, exact_dedup, mixing, ngram_scores, quality_rules, secrets, simhash
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
@@ -11,9 +11,11 @@ QUERIES = {
     "op7_secrets": secrets.op7_secrets,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
+    "op10_lm_scores": ngram_scores.op10_lm_scores,
 }
 
 ORACLE = {
     "op2_mixing": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op10_lm_scores": ngram_scores.SQL,
 }
