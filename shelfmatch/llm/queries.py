@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from shelfmatch.llm import byte_pairs, exact_dedup, mixing, ngram_scores, quality_rules, secrets, simhash
+from shelfmatch.llm import byte_pairs, exact_dedup, line_dedup, mixing, ngram_scores, quality_rules, secrets, simhash
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op4_byte_bpe": byte_pairs.op4_byte_bpe,
     "op6_quality_rules": quality_rules.op6_quality_rules,
