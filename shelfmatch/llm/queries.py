@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from shelfmatch.llm import byte_pairs, exact_dedup, line_dedup, mixing, ngram_scores, quality_model, quality_rules, secrets, simhash
+from shelfmatch.llm import (
+    byte_pairs, exact_dedup, line_dedup, mixing, ngram_scores, private_data, quality_model, quality_rules, secrets, simhash,
+)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality_model": quality_model.op3_quality_model,
     "op4_byte_bpe": byte_pairs.op4_byte_bpe,
+    "op5_private_data": private_data.op5_private_data,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_secrets": secrets.op7_secrets,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
