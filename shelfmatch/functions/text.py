@@ -226,22 +226,6 @@ def exact_fields(truth: dict[str, Column], prediction: dict[str, Column]) -> Col
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def _sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    from difflib import SequenceMatcher
-
-    for left, right in batches:
-        yield pd.Series([
-            None if a is None or b is None else round(SequenceMatcher(None, a, b).ratio(), 3)
-            for a, b in zip(left, right)
-        ], dtype="float64")
-
-
-def fragment_similarity(expected: Column, observed: Column) -> Column:
-    """Matching-block ratio of the normalized texts, three decimals."""
-    return _sequence_ratio(normalize_text(expected), normalize_text(observed))
-
-
 def words_of(c: Column) -> Column:
     return F.filter(F.split(c, SPACE_RUN), lambda w: w != "")
 
@@ -296,7 +280,7 @@ def normalize_slug(c: Column, card_url: str) -> Column:
     """Struct (slug, valid): a slug, or a card URL reduced to its last path segment."""
     value = clean_value(c)
     prefix = card_url.rstrip("/") + "/"
-    path = F.regexp_replace(F.substring(value, len(prefix) + 1, 2_000_000), "/+$", "")
+    path = F.regexp_replace(F.substr(value, F.lit(len(prefix) + 1)), "/+$", "")
     slug = F.when(value.contains("://"), F.when(value.startswith(prefix), path)).otherwise(value)
     valid = value.isNull() | F.coalesce(slug.rlike(K.SLUG_PATTERN), F.lit(False))
     return F.struct(F.when(valid, slug).alias("slug"), valid.alias("valid"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmatch import constants as K
@@ -22,23 +22,30 @@ def build_blocks(raw: DataFrame) -> DataFrame:
     return duplicate_blocks(reading_order(normal))
 
 
-SMALL_GROUP = 64
-
-
 def duplicate_blocks(blocks: DataFrame, iou: float = BLOCK_IOU) -> DataFrame:
     """Drop blocks of equal text that overlap, keeping the more confident one in the first place.
 
     The rule depends on order, and a kept block may be replaced before the next one is compared. It
-    only ever compares equal texts, so (image, text) is the unit of work. Most texts occur a few
-    times and are folded directly; texts with many copies are reduced first (``_without_copies``).
+    only ever compares equal texts of one photo, so (image, text) is the unit of work. Before a
+    group is folded, rows that cannot change the outcome are set aside:
+
+    * A box without area overlaps nothing, not even its copies: it always stays. Only the first of
+      them matters to others, since a block without a box joins the first kept block.
+    * Blocks without a box come last and match the first kept block, so the most confident of them,
+      first on ties, stands for all.
     """
-    group = ["image_id", "normalized_text"]
     columns = blocks.columns
-    counts = blocks.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    counted = blocks.join(counts, group)
-    small = counted.where(F.col("__n") <= SMALL_GROUP).select(F.col("pos").alias("first_pos"), *columns)
-    large = _without_copies(counted.where(F.col("__n") > SMALL_GROUP).select(*columns))
-    return _fold(small, group, iou).unionByName(_fold(large, group, iou)).select(*columns)
+    group = ["image_id", "normalized_text"]
+    width, height = F.col("box.max_x") - F.col("box.min_x"), F.col("box.max_y") - F.col("box.min_y")
+    flat = F.col("box").isNotNull() & ~F.coalesce((width > 0) & (height > 0), F.lit(False))
+    first_flat = F.min(F.when(flat, F.col("pos"))).over(Window.partitionBy(*group))
+    marked = blocks.withColumn("__flat", flat).withColumn("__first_flat", first_flat)
+    aside = F.col("__flat") & (F.col("pos") != F.col("__first_flat"))
+    best = F.min_by(F.struct(*columns), F.struct(-F.coalesce("confidence", F.lit(-1.0)), F.col("pos")))
+    unboxed = blocks.where("box is null").groupBy(*group).agg(best.alias("row"), F.min("pos").alias("first_pos"))
+    work = marked.where(F.col("box").isNotNull() & ~aside).select(F.col("pos").alias("first_pos"), *columns)
+    folded = _fold(work.unionByName(unboxed.select("first_pos", "row.*")), group, iou).select(*columns)
+    return folded.unionByName(marked.where(aside).select(*columns))
 
 
 def _fold(work: DataFrame, group: list[str], iou: float) -> DataFrame:
@@ -49,30 +56,6 @@ def _fold(work: DataFrame, group: list[str], iou: float) -> DataFrame:
     return grouped.select(F.explode(folded).alias("r")).select("r.*")
 
 
-def _without_copies(blocks: DataFrame) -> DataFrame:
-    """Fewer rows with the same outcome, by pre-aggregation.
-
-    * Neighbouring copies with the very same box always meet the same kept block, so the most
-      confident of them, first on ties, stands for all. A box that shares its corner with a
-      different box may not be next to its copies and is left alone.
-    * Blocks without a box come last and match the first kept block of their text, so again the
-      most confident of them stands for all.
-    """
-    columns = blocks.columns
-    best = F.min_by(F.struct(*columns), F.struct(-F.coalesce("confidence", F.lit(-1.0)), F.col("pos")))
-    corner, far = ["image_id", "normalized_text", "__x", "__y"], ["__x2", "__y2"]
-    boxed = blocks.where("box is not null").select(
-        "*", F.col("box.min_x").alias("__x"), F.col("box.min_y").alias("__y"), F.col("box.max_x").alias("__x2"),
-        F.col("box.max_y").alias("__y2"))
-    shapes = boxed.groupBy(*corner, *far).agg(best.alias("row"), F.min("pos").alias("first_pos"))
-    mixed = shapes.groupBy(*corner).agg(F.count(F.lit(1)).alias("shapes")).where("shapes > 1").select(*corner)
-    collapsed = shapes.join(mixed, corner, "left_anti").select("first_pos", "row.*")
-    single = boxed.join(mixed, corner, "left_semi").select(F.col("pos").alias("first_pos"), *columns)
-    unboxed = blocks.where("box is null").groupBy("image_id", "normalized_text").agg(
-        best.alias("row"), F.min("pos").alias("first_pos")).select("first_pos", "row.*")
-    return collapsed.unionByName(single).unionByName(unboxed)
-
-
 def _place(kept: Column, row: Column, iou: float) -> Column:
     """The kept blocks after one more block of the same text."""
     matches = F.transform(kept, lambda k: k["box"].isNull() | row["box"].isNull() | (N.box_iou(k["box"], row["box"]) >= iou))

@@ -168,28 +168,22 @@ def _cell(value: Column, size: Column) -> Column:
     return F.floor(value / size).cast("long")
 
 
-SMALL_IMAGE = 64
-
-
 def joinable_blocks(blocks: DataFrame, carry: list[str] = []) -> DataFrame:
     """Block pairs that continue one line or stand above each other, ``pos_a`` before ``pos_b``.
 
     ``blocks``: image_id, variant, pos, box, confidence; ``carry`` names columns returned in the
-    structs ``first`` and ``second``, left before right and upper before lower. Blocks of a small
-    image are compared directly. In a larger one, only blocks whose facing edges fall in
-    neighbouring cells of a grid scaled by their size meet, each candidate pair in one cell; no large
-    image is joined with itself.
+    structs ``first`` and ``second``, left before right and upper before lower. Only blocks whose
+    facing edges fall in neighbouring cells of a grid scaled by their size meet, each candidate pair
+    in one cell of its kind; no image is joined with itself.
     """
     keys = ["image_id", "variant"]
     sized = _sized_boxes(blocks, carry)
-    counts = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    counted = sized.join(counts, keys)
     cells = [*keys, "__cell"]
-    left = _side(counted.withColumn("__cell", F.explode(_cells(_line_ends, _stack_bottoms))), "l", carry)
-    right = _side(counted.withColumn("__cell", F.explode(_cells(_line_starts, _stack_tops))), "r", carry)
+    left = _side(sized.withColumn("__cell", F.explode(_cells(_line_ends, _stack_bottoms))), "l", carry)
+    right = _side(sized.withColumn("__cell", F.explode(_cells(_line_starts, _stack_tops))), "r", carry)
     kind = F.col("__cell.kind")
     found = left.join(right, cells).where(
-        F.when(kind == "line", _line_test()).when(kind == "stack", _stack_test()).otherwise(_line_test() | _stack_test()))
+        F.when(kind == "line", _line_test()).otherwise(_stack_test()))
     structs = [F.struct(*[F.col(f"{t}_{c}").alias(c) for c in carry]).alias(n) for t, n in (("l", "first"), ("r", "second"))]
     return found.select(
         *keys, F.least("l_pos", "r_pos").alias("pos_a"), F.greatest("l_pos", "r_pos").alias("pos_b"),
@@ -225,11 +219,8 @@ def _cell_struct(kind: str, hk: Column, wk: Column, yk: Column, xk: Column) -> C
 
 
 def _cells(line, stack) -> Column:
-    """Cells of a block: one for a small image; grid cells, by scale, in a large one."""
-    zero = F.lit(0)
-    whole = F.array(_cell_struct("image", zero, zero, zero, zero))
-    grid = F.when(F.col("wc").isNull(), F.array(*line())).otherwise(F.array(*line(), *stack()))
-    return F.when(F.col("__n") <= SMALL_IMAGE, whole).otherwise(grid)
+    """Grid cells of a block, by scale; only confident blocks with a width can stand in a stack."""
+    return F.when(F.col("wc").isNull(), F.array(*line())).otherwise(F.array(*line(), *stack()))
 
 
 # The scale class ``hk`` belongs to the right or lower block: facing blocks are at most one class

@@ -109,6 +109,12 @@ def _blocks(queries: DataFrame, refs: DataFrame, vector: str, block_bytes: int)
     return q_blocks, max(1, -(-n_r * dim * 8 // block_bytes), by_work)
 
 
+def _usable(vector: str) -> Column:
+    """A vector without a direction, or with a missing or infinite component, is at no distance from anything."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
 def _search(
     queries: DataFrame, refs: DataFrame, k: int, *, tie: str, group: str | None, tie_on_group: bool,
     vector: str, model: str, query_id: str, block_bytes: int,
@@ -116,22 +122,22 @@ def _search(
     if k <= 0:
         raise ValueError("k must be positive")
     ref_cols = [c for c in refs.columns if c not in (vector, model)]
-    # A vector without a direction is at no distance from anything.
-    usable = F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
+    usable = _usable(vector)
     q = queries.where(usable).select(query_id, model, F.col(vector).cast("array<float>").alias("__vector"))
     r = refs.where(usable).select(
         *ref_cols, model, F.col(tie).alias("__tie"), F.col(vector).cast("array<float>").alias("__vector")
     )
     q_blocks, r_blocks = _blocks(queries, refs, vector, block_bytes)
-    cell = [model, "__rb", "__qb"]
+    cell = [model, "__width", "__rb", "__qb"]
     q = q.withColumn("__qb", F.pmod(F.xxhash64(query_id), F.lit(q_blocks))).withColumn(
         "__rb", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1)))
     )
     r = r.withColumn("__rb", F.pmod(F.xxhash64(tie), F.lit(r_blocks))).withColumn(
         "__qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
     )
-    q = q.withColumn("__rb", F.col("__rb").cast("long"))
-    r = r.withColumn("__qb", F.col("__qb").cast("long"))
+    # Vectors of different width never meet.
+    q = q.withColumn("__rb", F.col("__rb").cast("long")).withColumn("__width", F.size("__vector"))
+    r = r.withColumn("__qb", F.col("__qb").cast("long")).withColumn("__width", F.size("__vector"))
     schema = T.StructType([
         queries.schema[query_id], *[refs.schema[c] for c in ref_cols],
         T.StructField("distance", T.DoubleType()),
@@ -193,13 +199,15 @@ def gallery_rank(
     and counts are added up: nothing is sorted and no pair leaves its cell. Equal distances are in
     item order.
     """
+    queries, gallery = queries.where(_usable(vector)), gallery.where(_usable(vector))
     known = gallery.select(F.col(item).alias(expected), model, F.col(vector).cast("array<float>").alias("__target"))
     q = queries.select(query_id, model, expected, F.col(vector).cast("array<float>").alias("__vector"))
-    missing = q.join(known, [expected, model], "left_anti").select(query_id, expected)
-    q = q.join(known, [expected, model])
-    r = gallery.select(item, model, F.col(vector).cast("array<float>").alias("__vector"))
+    alike = F.size("__target") == F.size("__vector")
+    missing = q.join(known, [expected, model], "left").where(~F.coalesce(alike, F.lit(False))).select(query_id, expected)
+    q = q.join(known, [expected, model]).where(alike).withColumn("__width", F.size("__vector"))
+    r = gallery.select(item, model, F.col(vector).cast("array<float>").alias("__vector")).withColumn("__width", F.size("__vector"))
     q_blocks, r_blocks = _blocks(queries, gallery, vector, block_bytes)
-    cell = [model, "__rb", "__qb"]
+    cell = [model, "__width", "__rb", "__qb"]
     q = q.withColumn("__qb", F.pmod(F.xxhash64(query_id), F.lit(q_blocks)))
     q = q.withColumn("__rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(r_blocks - 1).cast("long"))))
     r = r.withColumn("__rb", F.pmod(F.xxhash64(item), F.lit(r_blocks)))

@@ -73,9 +73,14 @@ def trim_source_tail(current: DataFrame, source_id: str, last_row: int) -> DataF
 
 
 def apply_scrape_result(catalog: DataFrame, pages: DataFrame) -> DataFrame:
-    """Set the web photo on every row of a slug; its vector goes when photo or address changed."""
-    found = pages.select(
-        "slug", F.col("web_photo").alias("__photo"), F.col("web_photo_url").alias("__url"), F.lit(True).alias("__hit")
+    """Set the web photo on every row of a slug; its vector goes when photo or address changed.
+
+    A slug with several pages takes the one whose photo and address come first in order, so that no
+    catalog row is multiplied; nulls come last.
+    """
+    order = F.struct(*[f(F.col(c)) for c in ("web_photo", "web_photo_url") for f in (F.isnull, F.coalesce)])
+    found = pages.groupBy("slug").agg(F.min_by(F.struct("web_photo", "web_photo_url"), order).alias("p")).select(
+        "slug", F.col("p.web_photo").alias("__photo"), F.col("p.web_photo_url").alias("__url"), F.lit(True).alias("__hit")
     )
     joined = catalog.join(found, "slug", "left")
     hit = F.col("__hit").isNotNull()

@@ -87,11 +87,6 @@ def page_items(refs: DataFrame, model: str, limit: int, offset: int) -> DataFram
     return items.orderBy("item_id").offset(offset).limit(limit)
 
 
-def closest_fragments(fragments: DataFrame, n: int = 3) -> DataFrame:
-    """The ``n`` most similar fragments per image, earlier ones first on ties."""
-    return top_per_key(fragments, ["image_id"], [F.desc("similarity"), F.col("option_order")], n)
-
-
 def reading_order(blocks: DataFrame, band_height: float = 64.0) -> DataFrame:
     """Position from top to bottom, left to right, then text; blocks without a box come last.
 

@@ -186,10 +186,16 @@ def pending_scrapes(
     wines: DataFrame, jobs: DataFrame, slugs: DataFrame | None = None, retry_failed: bool = False,
     limit: int | None = None,
 ) -> DataFrame:
-    """Distinct catalog slugs without a finished page job, or only those that failed."""
+    """Distinct catalog slugs without a finished page job, or only those that failed.
+
+    A requested slug that the catalog lacks is an error, raised when its row is read.
+    """
     known = wines.where(X.clean_value(F.col("slug")).isNotNull()).select("slug").distinct()
     if slugs is not None:
-        known = known.join(slugs, "slug", "left_semi")
+        asked = slugs.select("slug").where(F.col("slug").isNotNull()).distinct()
+        marked = asked.join(known.withColumn("__known", F.lit(True)), "slug", "left")
+        missing = F.raise_error(F.concat(F.lit("The catalog has no slug "), "slug"))
+        known = marked.select(F.coalesce(F.when(F.col("__known"), F.col("slug")), missing.cast("string")).alias("slug"))
     if retry_failed:
         pending = known.join(jobs.where("status = 'failed'"), "slug", "left_semi")
     else:
@@ -240,7 +246,7 @@ def display_fields(ranked: DataFrame, card_url: str) -> DataFrame:
     """Percent, shown name and card address of every candidate."""
     words = F.trim(F.regexp_replace("slug", "[-_]+", " "))
     pretty = F.when(words == "", F.lit("Без названия")).otherwise(
-        F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 100_000))
+        F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2)))
     )
     percent = F.floor(F.col("score") * 100 + F.lit(0.5)).cast("int")
     return ranked.withColumns({

@@ -10,7 +10,6 @@ from shelfmatch.operators.aggregates import (
     degradation_report, latency_percentiles, mean_rank_recall, ocr_quality, quality_by_condition, review_summary,
     variant_status,
 )
-from shelfmatch.operators.ranking import closest_fragments
 from shelfmatch.operators.sets import missing_and_unexpected
 from shelfmatch.operators.validate import split_leakage
 from shelfmatch.operators.windows import adjacent_fragments
@@ -91,17 +90,3 @@ def _folded(c):
 def evaluate_review(review: DataFrame) -> tuple[DataFrame, DataFrame]:
     images = review_images(review)
     return images, review_summary(images)
-
-
-def diagnose_review(blocks: DataFrame, truth: DataFrame, n: int = 3) -> DataFrame:
-    """The ``n`` fragments of one or two neighbouring blocks most like the expected name.
-
-    ``blocks``: image_id, variant, pos, text, confidence; ``truth``: image_id, name.
-    """
-    options = adjacent_fragments(blocks).join(truth.select("image_id", "name"), "image_id")
-    order = F.struct(F.when(F.col("variant") == "full", 0).otherwise(1), F.col("positions")[0], F.size("positions"))
-    scored = options.withColumns({
-        "similarity": X.fragment_similarity(F.col("name"), F.col("text")), "option_order": order,
-        "exact_phrase": X.contains_phrase(F.col("text"), F.col("name")),
-    })
-    return closest_fragments(scored, n).drop("option_order")

@@ -334,7 +334,7 @@ def resolve_label(
     rows = facts.select(
         "query_id", "year", first.alias("urls"),
         X.informative_words(F.concat_ws("\n", *[X.clean_value(F.col(c).cast("string")) for c in fields])).alias("words"),
-    ).withColumn("url_slug", F.when(F.size("urls") == 1, F.substring(F.col("urls")[0], len(prefix) + 1, 1000)))
+    ).withColumn("url_slug", F.when(F.size("urls") == 1, F.substr(F.col("urls")[0], F.lit(len(prefix) + 1))))
     known = cards.select(F.col("slug").alias("url_slug"), F.lit(True).alias("url_known"))
     top = matches.where(F.col("rank") <= 2).groupBy("query_id").agg(
         F.min_by("slug", "rank").alias("top_slug"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("similarity"),

@@ -126,7 +126,7 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
 def scan_image_tree(spark: SparkSession, root: str, suffixes: list[str] = K.UPLOAD_SUFFIXES) -> DataFrame:
     """(item_id, slug, image_uri) of ``<root>/<item>/<photo>`` and ``<root>/<photo>``."""
     base = root.rstrip("/") + "/"
-    relative = F.substring(F.col("path"), len(base) + 1, 100_000)
+    relative = F.substr(F.col("path"), F.lit(len(base) + 1))
     parts = F.split("rel", "/")
     item = F.when(F.size(parts) == 2, parts[0]).otherwise(X.file_stem(F.col("rel")))
     return scan_files(spark, root).select("path", relative.alias("rel")).where(

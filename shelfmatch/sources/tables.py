@@ -90,7 +90,7 @@ def file_manifest(spark: SparkSession, root: str) -> DataFrame:
     base = root.rstrip("/") + "/"
     plain = F.regexp_replace("path", "^file:/+", "/")
     return files.select(
-        F.substring(plain, len(base) + 1, 100_000).alias("file"), F.col("length").alias("bytes"),
+        F.substr(plain, F.lit(len(base) + 1)).alias("file"), F.col("length").alias("bytes"),
         F.sha2("content", 256).alias("sha256"),
     )
 
@@ -127,6 +127,6 @@ def snapshot_manifest(
 def photo_files(files: DataFrame, root: str) -> DataFrame:
     """(relative_path, length) of files below ``root`` for ``match_photo_names``."""
     base = root.rstrip("/") + "/"
-    return files.select(F.substring("path", len(base) + 1, 100_000).alias("relative_path"), "length").where(
+    return files.select(F.substr("path", F.lit(len(base) + 1)).alias("relative_path"), "length").where(
         X.base_name(F.col("relative_path")) != ""
     )

@@ -287,12 +287,17 @@ def index_run(t: Tables):
     return M.index_run(refs, twice.drop("id", "copy"), "visual-a", F.lit("2024-06-01").cast("timestamp"), prune=True)[1]
 
 
-@query("SELECT l_partkey AS path, min(l_orderkey * 100000000 + l_suppkey * 10 + l_linenumber) AS position FROM lineitem GROUP BY 1")
+@query("""
+SELECT l_partkey AS path, l_orderkey * 100000000 + l_suppkey * 10 + l_linenumber AS position,
+  l_orderkey * 100000000 + l_suppkey * 10 + l_linenumber = min(l_orderkey * 100000000 + l_suppkey * 10 + l_linenumber) OVER (PARTITION BY l_partkey) AS kept
+FROM lineitem
+""")
 def first_occurrence(t: Tables):
     rows = t.lineitem.select(
         F.col("l_partkey").alias("path"),
         (F.col("l_orderkey") * 100_000_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("position"))
-    return W.first_occurrence(rows)[0].distinct()
+    kept, skipped = W.first_occurrence(rows)
+    return kept.withColumn("kept", F.lit(True)).unionByName(skipped.withColumn("kept", F.lit(False)))
 
 
 @query("SELECT 'file:a' AS source_id, count(*) AS rows, count(DISTINCT slug) AS unique_slugs, count(DISTINCT slug) - 600 AS difference FROM stored WHERE import_source = 'file:a'", ["stored"])

@@ -71,14 +71,18 @@ def match_text(t: Tables):
     return rounded(P.match_text(t.text_queries, t.passages))
 
 
+def _items(t: Tables) -> int:
+    """How many items there are, so that a search for so many leaves none out."""
+    return max(1, t.refs.select("item_id").distinct().count())
+
+
 @query(_with(DISTANCES, """
-SELECT query_id, item_id, image_uri, round(min(distance), 6) AS distance FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, image_uri) AS rn FROM d) x
-WHERE rn <= 40 AND image_uri = (SELECT b.image_uri FROM best b WHERE b.query_id = x.query_id AND b.item_id = x.item_id)
-GROUP BY ALL
+SELECT query_id, item_id, image_uri, round(distance, 6) AS distance FROM d
+QUALIFY row_number() OVER (PARTITION BY query_id, item_id ORDER BY distance, image_uri) = 1
 """), VECTORS)
 def best_per_item(t: Tables):
-    near = knn.knn_join(t.photo_queries, t.refs, 40).select("query_id", "item_id", "image_uri", "distance")
+    """The closest photo of every item, over all items."""
+    near = knn.knn_items(t.photo_queries, t.refs, _items(t)).select("query_id", "item_id", "image_uri", "distance")
     return rounded(R.best_per_item(near))
 
 
@@ -92,12 +96,10 @@ def top_items(t: Tables):
 
 @query(_with(DISTANCES, """
 SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY m, item_id) AS rank FROM (
-  SELECT query_id, item_id, min(distance) AS m FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, image_uri) AS rn FROM d)
-  WHERE rn <= 50 GROUP BY ALL) QUALIFY rank <= 3
+  SELECT query_id, item_id, min(distance) AS m FROM d GROUP BY ALL) QUALIFY rank <= 3
 """), VECTORS)
 def distinct_top_k(t: Tables):
-    near = knn.knn_join(t.photo_queries, t.refs, 50).select("query_id", "item_id", "image_uri", "distance")
+    near = knn.knn_items(t.photo_queries, t.refs, _items(t)).select("query_id", "item_id", "image_uri", "distance")
     return R.distinct_top_k(near, 3).select("query_id", "item_id", "rank")
 
 
@@ -240,24 +242,23 @@ def cosine_distance(t: Tables):
 
 
 @query("""
-SELECT id, round(u[1], 6) AS first, round(u[64], 6) AS last FROM (
+SELECT id, generate_subscripts(u, 1) - 1 AS pos, round(unnest(u), 6) AS x FROM (
   SELECT id, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS u FROM refs)
 """, ["refs"])
 def l2_normalize(t: Tables):
     unit = t.refs.select("id", N.l2_normalize(F.col("embedding")).alias("u"))
-    return rounded(unit.select("id", F.col("u")[0].alias("first"), F.col("u")[63].alias("last")))
+    return rounded(unit.select("id", F.posexplode("u").alias("pos", "x")))
 
 
 @query("""
 WITH s AS (SELECT label AS id, pos, sum(x * (vec_id % 5 + 1)) AS x FROM (
     SELECT label, vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL)
-SELECT id, round(max(x) FILTER (pos = 1) / sqrt(sum(x * x)), 6) AS first, round(max(x) FILTER (pos = 64) / sqrt(sum(x * x)), 6) AS last
-FROM s GROUP BY 1
+SELECT id, pos - 1 AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS x FROM s
 """, big=["id"])
 def weighted_pool(t: Tables):
     chunks = t.embeddings.select(F.col("label").alias("id"), (F.col("vec_id") % 5 + 1).alias("weight"), "embedding")
     out = knn.pooled(chunks)
-    return rounded(out.select("id", F.col("embedding")[0].alias("first"), F.col("embedding")[63].alias("last")))
+    return rounded(out.select("id", F.posexplode("embedding").alias("pos", "x")))
 
 
 @query("SELECT vec_id, round(greatest(0, least(1, 1 - (label / 4.0) / 2)), 6) AS score, label / 4.0 BETWEEN -0.000001 AND 2.000001 AS valid FROM embeddings".replace(
@@ -270,12 +271,12 @@ def rescale_similarity(t: Tables):
 
 @query("""
 SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.h, b.h), lambda z: least(z[1], z[2]))), 6) AS similarity
-FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[])[1:14], lambda x: abs(x) / 2) AS h FROM embeddings) a
-JOIN (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[])[15:28], lambda x: abs(x) / 2) AS h FROM embeddings) b USING (vec_id)
+FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[])[1:32], lambda x: abs(x) / 8) AS h FROM embeddings) a
+JOIN (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[])[33:64], lambda x: abs(x) / 8) AS h FROM embeddings) b USING (vec_id)
 """)
 def histogram_similarity(t: Tables):
-    part = lambda begin: F.transform(F.slice("embedding", begin, 14), lambda x: F.abs(x.cast("double")) / 2)
-    return rounded(t.embeddings.select("vec_id", N.histogram_similarity(part(1), part(15)).alias("similarity")))
+    part = lambda begin: F.transform(F.slice("embedding", begin, 32), lambda x: F.abs(x.cast("double")) / 8)
+    return rounded(t.embeddings.select("vec_id", N.histogram_similarity(part(1), part(33)).alias("similarity")))
 
 
 @query("""
@@ -291,13 +292,12 @@ def gallery_fingerprint(t: Tables):
 @query("""
 SELECT q.query_id, q.item_id, r.image_uri FROM
   (SELECT vec_id AS query_id, CAST((vec_id * 3) % 14 AS VARCHAR) AS item_id FROM embeddings) q LEFT JOIN
-  (SELECT item_id, min(image_uri) AS image_uri FROM refs GROUP BY 1) r USING (item_id)
+  refs r USING (item_id)
 """, ["refs"])
 def references_by_item(t: Tables):
-    """Every query asks for one item; its canonical photo, or nothing for an unknown item."""
+    """Every query asks for one item; all its photos, or nothing for an unknown item."""
     asked = t.embeddings.select(F.col("vec_id").alias("query_id"), ((F.col("vec_id") * 3) % 14).cast("string").alias("item_id"))
-    one = t.refs.groupBy("item_id").agg(F.min("image_uri").alias("image_uri"))
-    found, missing = J.references_by_item(asked, one)
+    found, missing = J.references_by_item(asked, t.refs)
     return found.select("query_id", "item_id", "image_uri").unionByName(
         missing.select("query_id", "item_id", F.lit(None).cast("string").alias("image_uri")))
 

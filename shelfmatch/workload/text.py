@@ -104,18 +104,17 @@ def chunk_words(t: Tables):
 @query(f"""
 SELECT doc_id, item_id FROM (WITH c AS MATERIALIZED (
   SELECT d.doc_id, b.item_id, d.n, b.p FROM (SELECT doc_id, {NORMAL.format('text')} AS n FROM documents) d, (
-    SELECT item_id, array_to_string(string_split({NORMAL.format('text')}, ' ')[1:6], ' ') AS p FROM benchmark) b WHERE contains(d.n, b.p))
+    SELECT item_id, {NORMAL.format('text')} AS p FROM benchmark) b WHERE contains(d.n, b.p))
   SELECT * FROM c WHERE regexp_matches(n, '(^|[^\\pL\\pN_])' || regexp_escape(p) || '($|[^\\pL\\pN_])'))
 """)
 def contains_phrase(t: Tables):
-    """Documents holding the first six words of a benchmark text as a phrase.
+    """Documents holding a whole benchmark text as a phrase.
 
     Documents and phrases meet on the longest word of the phrase; only documents that hold it are
     read again for the whole test.
     """
     words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    phrases = t.benchmark.select(
-        "item_id", F.array_join(F.slice(F.split(X.normalize_text(F.col("text")), " "), 1, 6), " ").alias("p"))
+    phrases = t.benchmark.select("item_id", X.normalize_text(F.col("text")).alias("p"))
     longest = F.array_max(F.transform(words(F.col("p")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     texts = t.documents.select("doc_id", X.normalize_text(F.col("text")).alias("n"))
     keyed = texts.select("doc_id", F.explode(F.array_distinct(words(F.col("n")))).alias("w"))
@@ -145,10 +144,10 @@ def exact_fields(t: Tables):
         "sample_id", "variant", "e.*")
 
 
-@query(f"SELECT item_id, nullif(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), '') AS value, nullif(trim(substr(text, 1, 1)), '') AS first FROM benchmark".replace(
-    "nullif(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), '') AS value, ", ""))
+@query(r"SELECT item_id, nullif(regexp_replace('  ' || text || chr(10), '^\s+|\s+$', '', 'g'), '') AS value FROM benchmark")
 def clean_value(t: Tables):
-    return t.benchmark.select("item_id", X.clean_value(F.substring("text", 1, 1)).alias("first"))
+    padded = F.concat(F.lit("  "), "text", F.lit("\n"))
+    return t.benchmark.select("item_id", X.clean_value(padded).alias("value"))
 
 
 @query("""
@@ -273,20 +272,6 @@ def adjacent_fragments(t: Tables):
         F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"), "confidence")
 
 
-@query()
-def closest_fragments(t: Tables):
-    """The three fragments of each order label most like the name that the order's largest part has."""
-    blocks = t.label_blocks.withColumn("variant", F.lit("full"))
-    truth = t.label_blocks.groupBy("image_id").agg(F.max("text").alias("name"))
-    return E.diagnose_review(blocks, truth).select("image_id", "rank", "text", "similarity", "exact_phrase", "confidence")
-
-
-@query()
-def fragment_similarity(t: Tables):
-    return t.variant_rows.select("sample_id", "variant", X.fragment_similarity(
-        F.col("truth.full_text"), F.col("prediction.full_text")).alias("similarity"))
-
-
 @query("""
 SELECT a.image_id, a.pos, round(CASE WHEN w > 0 AND h > 0 THEN w * h / (aa + ab - w * h) ELSE 0 END, 6) AS iou FROM (
   SELECT image_id, pos, least(max_x, 260) - greatest(min_x, 120) AS w, least(max_y, 100) - greatest(min_y, 20) AS h,

@@ -32,12 +32,13 @@ def refs(t: Tables):
 @view("""
 SELECT vec_id AS query_id, CAST(label AS VARCHAR) AS expected,
   CASE WHEN label < 7 THEN 'visual-a' ELSE 'visual-b' END AS model_name,
-  list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: CASE WHEN i <= 52 THEN 0.0 ELSE x END) AS embedding
+  list_transform(embedding, lambda x, i: CAST(CAST(CAST(x AS DOUBLE) + CAST(embedding[(i + 31) % len(embedding) + 1] AS DOUBLE) * 0.9 AS FLOAT) AS DOUBLE)) AS embedding
 FROM embeddings
 """)
 def photo_queries(t: Tables):
-    """Every vector with its first 52 components lost, as a damaged photo of its item."""
-    damaged = F.transform("embedding", lambda x, i: F.when(i < 52, F.lit(0.0).cast("float")).otherwise(x))
+    """Every vector overlaid with itself turned by 32 components, as a damaged photo of its item."""
+    turned = lambda i: F.element_at("embedding", (i + 32) % F.size("embedding") + 1).cast("double")
+    damaged = F.transform("embedding", lambda x, i: (x.cast("double") + turned(i) * 0.9).cast("float"))
     return t.embeddings.select(
         F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("expected"), _model().alias("model_name"),
         damaged.alias("embedding"),
@@ -57,7 +58,7 @@ def passages(t: Tables):
 
 @view("""
 SELECT vec_id AS query_id, 'text-a' AS model_name,
-  list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: CASE WHEN i <= 52 THEN 0.0 ELSE x END) AS embedding
+  list_transform(embedding, lambda x, i: CAST(CAST(CAST(x AS DOUBLE) + CAST(embedding[(i + 31) % len(embedding) + 1] AS DOUBLE) * 0.9 AS FLOAT) AS DOUBLE)) AS embedding
 FROM embeddings
 """)
 def text_queries(t: Tables):

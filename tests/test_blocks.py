@@ -50,7 +50,18 @@ def test_duplicate_blocks_matches_sequential_rule(spark):
     assert got == want
 
 
-def test_grid_pairs_equal_direct_pairs(spark, monkeypatch):
+def test_boxes_without_area_all_stay_whatever_their_number(spark):
+    for n in (64, 65, 1000):
+        flat = [(1, "a", 0.5, (3.0, 3.0, 3.0, 9.0), i) for i in range(1, n + 1)]
+        more = [(1, "a", 0.9, None, n + 1), (2, "a", 0.4, (0.0, 0.0, 9.0, 9.0), 1), (2, "a", 0.8, None, 2), (2, "a", 0.8, None, 3)]
+        df = spark.createDataFrame(flat + more, f"image_id int, normalized_text string, confidence double, {BOX}, pos long")
+        rows = B.duplicate_blocks(df).collect()
+        assert sum(r["image_id"] == 1 for r in rows) == n
+        assert [(r["pos"], r["confidence"]) for r in rows if r["image_id"] == 2] == [(2, 0.8)]
+        assert sorted(r["pos"] for r in rows if r["image_id"] == 1) == [*range(2, n + 1), n + 1]
+
+
+def test_grid_pairs_equal_direct_pairs(spark):
     rng = random.Random(11)
     rows = []
     for n in range(300):
@@ -58,10 +69,12 @@ def test_grid_pairs_equal_direct_pairs(spark, monkeypatch):
         w, h = rng.uniform(10, 150), rng.uniform(4, 60)
         rows.append((1, "full", n, rng.choice([None, 0.6, 0.8, 0.9]), (x, y, x + w, y + h)))
     df = spark.createDataFrame(rows, f"image_id int, variant string, pos long, confidence double, {BOX}")
-    pairs = lambda: sorted(tuple(r) for r in J.joinable_blocks(df).collect())
-    grid = pairs()
-    monkeypatch.setattr(J, "SMALL_IMAGE", 1000)
-    assert grid == pairs()
+    grid = sorted(tuple(r) for r in J.joinable_blocks(df).collect())
+    sized = J._sized_boxes(df, []).withColumn("__cell", F.lit(0))
+    every = J._side(sized, "l", []).join(J._side(sized, "r", []), ["image_id", "variant"]).where(J._line_test() | J._stack_test())
+    direct = every.select(
+        "image_id", "variant", F.least("l_pos", "r_pos"), F.greatest("l_pos", "r_pos"), F.when(J._line_test(), "line").otherwise("stack"))
+    assert grid == sorted(tuple(r) for r in direct.collect())
     assert {p[4] for p in grid} == {"line", "stack"}
 
 

@@ -88,3 +88,13 @@ def test_evaluation_report(fixture):
     none = evaluate_retrieval(bad.where("query_id < 5"), r, 2)
     assert none["report"].first()["status"] == "failed"
     assert all(x["recall"] is None for x in none["recall"].collect())
+
+
+def test_odd_vectors_meet_nothing_and_hide_nothing(spark):
+    nan, inf = float("nan"), float("inf")
+    refs = [("A", "a0", [nan, 1.0]), ("A", "a1", [1.0, 0.0]), ("B", "b0", [0.0, 1.0]), ("C", "c0", [1.0, 0.0, 0.0]), ("D", "d0", [inf, 0.0]), ("E", "e0", None), ("F", "f0", [None, 1.0])]
+    refs = spark.createDataFrame([(i, "m", u, v) for i, u, v in refs], "item_id string, model_name string, image_uri string, embedding array<double>")
+    asked = spark.createDataFrame([(1, "m", [1.0, 0.1]), (2, "m", [nan, 1.0]), (3, "m", [1.0, 0.0, 0.1]), (4, "m", None)], "query_id int, model_name string, embedding array<double>")
+    rows = lambda df, c: sorted((r["query_id"], r["rank"], r[c]) for r in df.collect())
+    assert rows(knn.knn_items(asked, refs, 5), "item_id") == [(1, 1, "A"), (1, 2, "B"), (3, 1, "C")]
+    assert rows(knn.knn_join(asked, refs, 2), "image_uri") == [(1, 1, "a1"), (1, 2, "b0"), (3, 1, "c0")]

@@ -74,11 +74,6 @@ def test_chunks(spark):
     assert one(spark, "ab toolong1", chunker)["error"] is not None
 
 
-def test_fragment_similarity(spark):
-    df = spark.createDataFrame([("Красная горка", "красная гора")], "a string, b string")
-    assert df.select(X.fragment_similarity(F.col("a"), F.col("b"))).first()[0] == 0.96
-
-
 def test_normalize_slug(spark):
     url = "https://catalog.example.org/items"
     cases = {
