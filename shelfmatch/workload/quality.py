@@ -204,6 +204,53 @@ def challenge_page(t: Tables):
     return G.challenge_page(t.pages.withColumn("status", status), "status")
 
 
+# A card page per part, of eight kinds: each picture rule, scripts and comments with headings, blank headings, challenges.
+VIEWS["cards"] = """
+SELECT p_partkey AS page_id, p_partkey % 8 AS kind, p_name AS title FROM part
+"""
+
+
+def cards(t: Tables):
+    key, title = F.col("p_partkey").cast("string"), F.col("p_name")
+    page = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    head = page('<html><!-- <h1>Old</h1> --><script>var x = "<h1>Wrong</h1>";</script><h1> : </h1><h1 class="a>b">', title, "</h1>")
+    shop = '<meta property="og:image" content="/og/'
+    kinds = [
+        page(head, shop, key, '.jpg"><img alt="wine" src="/g.jpg"><img class="x card__bottle" data-src="/img/', key, '.png" src="/s.png">'),
+        page('<script type="application/ld+json">{"@graph": [{"@type": "Site"}, {"@type": "Product", "name": "', title, '", "image": [{"x": 1}, "https://img.example.org/', key, '.jpg"]}]}</script>', "<h1>Other</h1>", shop, key, '.jpg">'),
+        page(head, shop, key, """.jpg"><img alt='Photo of """, title, """' src='../a/./b""", key, ".png'>"),
+        page(head, '<meta content="//cdn.example.org/', key, '.jpg" property="OG:image"><img alt="wine" src="/g.jpg"><meta name="twitter:image" content="/t.jpg">'),
+        page(head, '<meta name=twitter:image content="/t/', key, '.jpg?a=1&amp;b=2"><img alt="some wine" src="/g.jpg">'),
+        page(head, '<img alt="other" src="/o.jpg"><source alt="red Wine" srcset="https://c.example.org/', key, '-1.jpg 1x, https://c.example.org/2.jpg 2x">'),
+        page(head, '<img alt="wine" src="data:abc"><noscript>captcha</noscript><style>.captcha { }</style>'),
+        page(head, "<p>Please solve the <b>CAPTCHA</b></p>", shop, key, '.jpg">'),
+    ]
+    html = F.lit(None).cast("string")
+    for kind, text in enumerate(kinds):
+        html = F.when(F.col("p_partkey") % 8 == kind, text).otherwise(html)
+    return t.part.select(
+        F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://shop.example.org/items/"), key, F.lit("?page=1")).alias("url"), html.alias("html"))
+
+
+DERIVED["cards"] = cards
+
+
+@query("""
+SELECT page_id, CASE kind WHEN 0 THEN 'https://shop.example.org/img/' || page_id || '.png' WHEN 1 THEN 'https://img.example.org/' || page_id || '.jpg'
+    WHEN 2 THEN 'https://shop.example.org/a/b' || page_id || '.png' WHEN 3 THEN 'https://cdn.example.org/' || page_id || '.jpg'
+    WHEN 4 THEN 'https://shop.example.org/t/' || page_id || '.jpg?a=1&b=2' WHEN 5 THEN 'https://c.example.org/' || page_id || '-1.jpg' END AS image_url,
+  CASE kind WHEN 6 THEN 'no_product_image' WHEN 7 THEN 'challenge_page' END AS reason
+FROM cards
+""", ["cards"])
+def card_image(t: Tables):
+    return G.page_image(t.cards)
+
+
+@query("SELECT page_id, title AS name FROM cards", ["cards"])
+def card_name(t: Tables):
+    return G.page_name(t.cards)
+
+
 @query(f"SELECT doc_id, md5(trim(regexp_replace({UNESCAPE.format('text')}, '\\s+', ' ', 'g'), ' :')) AS digest FROM documents")
 def collapse_html_text(t: Tables):
     return t.documents.select("doc_id", F.md5(G.collapse_html_text(F.col("text"))).alias("digest"))
