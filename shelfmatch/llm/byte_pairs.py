@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -24,6 +24,21 @@ CACHE = 200_000
 BATCH_CHARS = 1_000_000
 
 
+class _Known(dict):
+    """Identifiers of matches, worked out once; a bounded number of short ones are kept."""
+
+    def __init__(self, ids_of: Callable[[str], bytes]) -> None:
+        self.ids_of = ids_of
+
+    def __missing__(self, match: str) -> bytes:
+        found = self.ids_of(match)
+        if len(match) <= 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[match] = found
+        return found
+
+
 class Codec:
     """Encoder and decoder for one rank file and one splitting pattern."""
 
@@ -32,7 +47,7 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.split_leaf = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self.ids_of)
 
     # Splitting: a node of the tree is the list of matches of its span of text.
 
@@ -84,13 +99,21 @@ class Codec:
     # Merging inside one match: a node is the list of tokens of its span of bytes.
 
     def merge_leaf(self, piece: bytes) -> list[bytes]:
-        parts, ranks = [piece[i : i + 1] for i in range(len(piece))], self.ranks
-        while len(parts) > 1:
-            best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 62), i) for i in range(len(parts) - 1))
-            if best == 1 << 62:
+        """Merge the pair with the lowest rank, the first on ties, until no pair has one."""
+        rank, none = self.ranks.get, 1 << 62
+        ends = list(range(len(piece) + 1))
+        pairs = [rank(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            at = pairs.index(best)
+            del pairs[at], ends[at + 1]
+            if at:
+                pairs[at - 1] = rank(piece[ends[at - 1] : ends[at + 1]], none)
+            if at < len(pairs):
+                pairs[at] = rank(piece[ends[at] : ends[at + 2]], none)
+        return [piece[i:j] for i, j in zip(ends, ends[1:])]
 
     def merge(self, piece: bytes) -> list[bytes]:
         if piece in self.ranks:
@@ -152,20 +175,11 @@ class Codec:
         return out
 
     def ids_of(self, match: str) -> bytes:
-        found = self.known.get(match)
-        if found is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            ranks = self.ranks
-            found = np.array([ranks[t] for t in self.merge(match.encode())], np.int32).tobytes()
-            if len(match) <= 64:
-                self.known[match] = found
-        return found
+        return np.array([self.ranks[t] for t in self.merge(match.encode())], np.int32).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Identifiers of the whole text as 32-bit numbers, one after the other."""
-        known, ids_of = self.known, self.ids_of
-        return b"".join([known.get(m) or ids_of(m) for m in self.split(text)])
+        return b"".join(map(self.known.__getitem__, self.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, np.int32).tolist()))
