@@ -119,8 +119,13 @@ def surrogate(kind: Column, value: Column, attempt: Column | int, key: str) -> C
     email = F.concat(_spell(local, seed), F.lit("@"), _spell(labels, _seed(key, "domain", domain, attempt)), F.lit("."), top)
     octets = F.split(value, r"\.")
     private = octets[0].isin("10", "127") | (octets[0] == "192") & (octets[1] == "168")
-    ip = F.concat_ws(".", F.when(private, octets[0]).otherwise((_draw(seed, 0, 222) + 1).cast("string")), F.when(
-        private, octets[1]).otherwise(_draw(seed, 1, 256).cast("string")), _draw(seed, 2, 256).cast("string"), (_draw(seed, 3, 254) + 1).cast("string"))
+    # Private addresses stay in their network, and if that is full, in the largest private one.
+    tries = F.lit(attempt)
+    ip = F.concat_ws(
+        ".", F.when(~private, (_draw(seed, 0, 222) + 1).cast("string")).when(tries < 8, octets[0]).otherwise("10"),
+        F.when(private & (tries < 4), octets[1]).otherwise(_draw(seed, 1, 256).cast("string")),
+        _draw(seed, 2, 256).cast("string"), (_draw(seed, 3, 254) + 1).cast("string"),
+    )
     phone = F.concat((_draw(seed, -1, 8) + 2).cast("string"), _spell(F.substr(value, F.lit(2)), seed))
     iban = F.concat(F.substring(value, 1, 2), _spell(F.substr(value, F.lit(3)), seed))
     gender, name = F.substring(value, 1, 1), F.substr(value, F.lit(3))
@@ -160,16 +165,17 @@ def rendered(match: Column, kind: Column, core: Column) -> Column:
     )
 
 
-def assigned(entities: DataFrame, key: str) -> DataFrame:
+def assigned(entities: DataFrame, key: str, most_rounds: int = 64) -> DataFrame:
     """Distinct ``kind, value`` with ``attempt`` and ``core``, no two of a kind alike.
 
     An entity whose surrogate another entity of the kind also has (all but the first in order), or
     that is itself an entity of the corpus, draws again until none is left. The driver reads one
-    count a round; each round is written to the shared folder.
+    count a round; each round is written to the shared folder. A kind whose forms are all taken after
+    ``most_rounds`` draws is an error.
     """
     kind, value = F.col("kind"), F.col("value")
     drawn = saved(entities.withColumn("attempt", F.lit(0)).withColumn("core", surrogate(kind, value, 0, key)))
-    while True:
+    for _ in range(most_rounds):
         first = drawn.groupBy("kind", "core").agg(F.min("value").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
         real = entities.select("kind", F.col("value").alias("core"), F.lit(True).alias("__real"))
         checked = drawn.join(first, ["kind", "core"], "left").join(real, ["kind", "core"], "left")
@@ -181,6 +187,7 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
         drawn = saved(checked.withColumn("attempt", next_attempt).withColumn(
             "core", F.when(F.col("__again"), surrogate(kind, value, F.col("attempt"), key)).otherwise(F.col("core"))
         ).drop("__again"))
+    raise ValueError("a kind has no surrogates left that differ from each other and from its entities")
 
 
 def with_surrogates(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
