@@ -1,8 +1,9 @@
 """CSV records with exact record and line numbers, read in parallel splits.
 
 Spark's own multi-line CSV mode reads a file in one task and gives no line numbers. Here lines are
-numbered from the splits they came in, and quoted cells that span lines are joined by a running
-count of quotes.
+numbered from the splits they came in. A quote opens a cell only at the cell's start, so what a line
+does to the quoting depends only on whether it starts inside a cell: each line is one of four maps of
+that state, and the maps are composed in bands of lines.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from shelfmatch.skew import banded_previous, banded_rank
 
 BAND = 100_000
-CELL = r',("[^"]*+(?:""[^"]*+)*+"|[^,]*)'
+#: A quoted cell with what may follow its closing quote, or a plain one, where quotes are literal.
+QUOTED = r'"(?:[^"]|"")*+"[^,]*+'
+CELL = rf'(?:{QUOTED}|(?!")[^,]*+)'
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -31,47 +34,70 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.join(offsets, ["file", "block"]).select("file", line.alias("line"), value.alias("value"))
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, start_line, line, value): ``line`` is the last physical line of the record."""
-    lines = numbered_lines(spark, path)
-    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2
-    if lines.where(odd == 1).isEmpty():
-        return lines.select("file", F.col("line").alias("start_line"), "line", "value")
-    marked = lines.withColumns({"odd": odd, "band": F.floor(F.col("line") / BAND)})
-    bands = marked.groupBy("file", "band").agg(F.sum("odd").alias("n"))
+def records(lines: DataFrame) -> DataFrame:
+    """(file, start_line, line, value, unclosed) of (file, line, value).
+
+    ``line`` is the last physical line of the record. A quote that is never closed leaves the rest of
+    its file without records: one row with ``unclosed`` stands for it, with its first line only, so
+    that no task gathers a file's rest.
+    """
+    from_outside = ~F.col("value").rlike(rf"(?s)^{CELL}(?:,{CELL})*$")
+    from_inside = ~F.col("value").rlike(rf'(?s)^(?:[^"]|"")*+"[^,]*+(?:,{CELL})*$')
+    # A line sets the state whatever it was, keeps it, or turns it.
+    fixed = F.when(from_outside == from_inside, from_outside.cast("int"))
+    turns = F.when(from_outside & ~from_inside, 1).otherwise(0)
+    marked = lines.withColumns({"fixed": fixed, "turns": turns, "band": F.floor(F.col("line") / BAND)})
+    bands = marked.groupBy("file", "band").agg(F.sum("turns").alias("n"))
     earlier = Window.partitionBy("file").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bands.select("file", "band", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("file", "band").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    opened = marked.withColumn("local", F.coalesce(F.sum("odd").over(inside), F.lit(0))).join(offsets, ["file", "band"])
-    starts = opened.select(
-        "file", "line", "value", F.when((F.col("local") + F.col("offset")) % 2 == 0, F.col("line")).alias("start")
-    )
-    tracked = banded_previous(
-        starts, ["file"], [F.col("line")], F.floor(F.col("line") / BAND), running_max={"start_line": "start"},
-        previous={}, first={},
-    )
+    upto = Window.partitionBy("file", "band").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    counted = marked.withColumn("local", F.sum("turns").over(upto)).join(offsets, ["file", "band"]).withColumn(
+        "turned", (F.col("local") + F.col("offset")) % 2)
+    # The last line that set the state, and which turn it cancelled.
+    base = F.when(F.col("fixed").isNotNull(), F.col("line") * 2 + F.col("fixed").bitwiseXOR(F.col("turned").cast("int")))
+    keyed = counted.select("file", "line", "value", "turned", base.alias("base"))
+    band = F.floor(F.col("line") / BAND)
+    state = banded_previous(keyed, ["file"], [F.col("line")], band, running_max={"set": "base"}, previous={}, first={})
+    ends = state.select("file", "line", "value", (
+        F.coalesce(F.col("set") % 2, F.lit(0)).cast("int").bitwiseXOR(F.col("turned").cast("int")) == 1).alias("inside"))
+    # The next line starts a record where this one ends outside: numbers of such lines rise with the lines.
+    ended = ends.withColumn("next", F.when(~F.col("inside"), F.col("line") + 1))
+    tracked = banded_previous(ended, ["file"], [F.col("line")], band, running_max={"after": "next"}, previous={}, first={})
+    starts = tracked.withColumn("start_line", F.when(
+        F.col("after") == F.col("line") + 1, F.lit(None)).otherwise(F.coalesce("after", F.lit(1))))
+    # A line that ends outside belongs to the record that the last ending before it began.
+    before = banded_previous(
+        starts, ["file"], [F.col("line")], band, running_max={}, previous={"start_before": "after"}, first={})
+    placed = before.withColumn("start_line", F.coalesce("start_line", "start_before", F.lit(1)))
+    closed = placed.groupBy("file").agg(F.max("after").alias("open_from"), F.max("line").alias("last"))
+    told = placed.join(closed, "file").withColumn("unclosed", F.coalesce(F.col("open_from"), F.lit(1)) <= F.col("line"))
+    kept = told.where(~F.col("unclosed") | (F.col("line") == F.col("start_line")))
     # One record's lines; records are as long as their cells.
     parts = F.sort_array(F.collect_list(F.struct("line", "value")))
-    return tracked.groupBy("file", "start_line").agg(F.max("line").alias("line"), parts.alias("p")).select(
-        "file", "start_line", "line", F.array_join(F.transform("p", lambda e: e["value"]), "\n").alias("value")
-    )
+    return kept.groupBy("file", "start_line").agg(
+        F.max("line").alias("line"), parts.alias("p"), F.bool_or("unclosed").alias("unclosed")
+    ).select("file", "start_line", "line", F.array_join(F.transform("p", lambda e: e["value"]), "\n").alias("value"), "unclosed")
 
 
 def cells(value: Column) -> Column:
-    """All cells of a record, unquoted."""
-    raw = F.regexp_extract_all(F.concat(F.lit(","), value), F.lit(CELL), F.lit(1))
-    return F.transform(raw, lambda c: F.when(
-        c.startswith('"') & (F.length(c) > 1), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
-    ).otherwise(c))
+    """All cells of a record, unquoted; what follows a closing quote is literal."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), value), F.lit(rf'(?s),({CELL}|".*)'), F.lit(1))
+    opened = r'(?s)^"((?:[^"]|"")*+)"?(.*)$'
+
+    def plain(c: Column) -> Column:
+        inner = F.replace(F.regexp_extract(c, opened, 1), F.lit('""'), F.lit('"'))
+        return F.when(c.startswith('"'), F.concat(inner, F.regexp_extract(c, opened, 2))).otherwise(c)
+
+    return F.transform(raw, plain)
 
 
 def header_and_rows(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
-    """Header cells, and the other records as (file, start_line, line, cells)."""
-    table = records(spark, path)
+    """Header cells, and the other records as (file, start_line, line, value, unclosed, cells)."""
+    table = records(numbered_lines(spark, path))
     first = table.where("start_line = 1").select(cells(F.col("value")).alias("c")).first()
     if first is None:
         raise ValueError(f"CSV has no header: {path}")
-    rows = table.where("start_line > 1").select("file", "start_line", "line", "value", cells(F.col("value")).alias("cells"))
+    rows = table.where("start_line > 1").select("file", "start_line", "line", "value", "unclosed", cells(F.col("value")).alias("cells"))
     return first["c"], rows
 
 

@@ -34,7 +34,11 @@ RUN_MANIFEST_SCHEMA = "images array<struct<image:string,source:string,elapsed_se
 
 def read_manifest_csv(spark: SparkSession, path: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows with every required cell filled, and problem rows; both carry physical line numbers."""
-    header, rows = header_and_rows(spark, path)
+    return manifest_rows(*header_and_rows(spark, path), required)
+
+
+def manifest_rows(header: list[str], rows: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """As ``read_manifest_csv`` over parsed records: line, unclosed, cells."""
     names = [h.strip() for h in header]
     missing = [c for c in required if c not in names]
     if missing:
@@ -46,10 +50,10 @@ def read_manifest_csv(spark: SparkSession, path: str, required: list[str]) -> tu
     width = len(header)
     filled = F.exists("cells", lambda c: X.clean_value(c).isNotNull())
     picked = rows.where(filled).select(
-        "line", F.size("cells").alias("n"), *[cell(names.index(c)).alias(c) for c in required]
+        "line", "unclosed", F.size("cells").alias("n"), *[cell(names.index(c)).alias(c) for c in required]
     )
     empty = F.concat_ws(", ", *[F.when(F.col(c) == "", F.lit(c)) for c in required])
-    problem = F.when(
+    problem = F.when(F.col("unclosed"), "unclosed quote").when(
         F.col("n") > width, F.concat(F.col("n").cast("string"), F.lit(f" values for {width} columns"))
     ).when(empty != "", F.concat(F.lit("empty "), empty))
     checked = picked.withColumn("problem", problem)
@@ -72,7 +76,11 @@ def resolve_aliases(headers: list[str], aliases: dict[str, list[str]] = K.FIELD_
 
 def read_catalog_csv(spark: SparkSession, path: str, source_id: str) -> DataFrame:
     """Catalog rows with aliased headers, the whole source row as a map, and record numbers from 2."""
-    header, rows = header_and_rows(spark, path)
+    return catalog_rows(*header_and_rows(spark, path), source_id)
+
+
+def catalog_rows(header: list[str], rows: DataFrame, source_id: str) -> DataFrame:
+    """As ``read_catalog_csv`` over parsed records: file, start_line, value, cells."""
     fields = resolve_aliases(header)
     last = {h: i for i, h in enumerate(header)}
     width = len(header)

@@ -38,6 +38,32 @@ def test_manifest_lines_over_many_splits(spark, tmp_path):
     assert got == want and bad.count() == 0
 
 
+def test_stray_and_unclosed_quotes_read_as_the_csv_module_reads_them(spark):
+    import csv
+    import random
+
+    from shelfmatch.sources.csv_records import cells, records
+
+    draw = random.Random(3)
+    files = {"pan": 'a,b\n1,12" pan\n2,"x"y,z\n3,"p""q"\n4,q"uo"te\n', "open": 'a,b\n1,x\n2,"never\nclosed\n3,y\n'}
+    for n in range(40):
+        files[f"r{n}"] = "".join(draw.choice(['"', '""', ",", "a", "b c", "\n"]) for _ in range(60))
+    lines = [(f, i, line) for f, text in files.items() for i, line in enumerate(text.split("\n")[: -1 if text.endswith("\n") else None], 1)]
+    found = records(spark.createDataFrame(lines, "file string, line long, value string")).withColumn("cells", cells(F.col("value"))).collect()
+    for name, text in files.items():
+        got = [r for r in sorted((r for r in found if r["file"] == name), key=lambda r: r["start_line"])]
+        state, want = csv.reader([line + "\n" for line in text.split("\n")[: -1 if text.endswith("\n") else None]]), []
+        for row in state:
+            want.append((state.line_num, row))
+        closed = [(r["line"], r["cells"]) for r in got if not r["unclosed"] and r["value"] != ""]
+        whole = [(n, row) for n, row in want if row]
+        if any(r["unclosed"] for r in got):
+            whole = whole[:-1]
+        assert closed == whole, (name, text)
+        assert sum(r["unclosed"] for r in got) <= 1
+    assert [r["start_line"] for r in found if r["file"] == "open" and r["unclosed"]] == [3]
+
+
 def test_catalog_csv(spark, tmp_path):
     path = tmp_path / "c.csv"
     path.write_text("Название вина,SLUG,Фото,Extra\n Мерло ,m,1.jpg,e,more,x\n\n,n,,\nТри,\"o\",3.jpg\n", encoding="utf-8")
