@@ -85,7 +85,8 @@ def _block_scores(docs: pa.Table, totals: pa.Table, order: int, all_words: int)
     n_words = np.bincount(of, minlength=size)
     rest = np.maximum(1, all_words - n_words)[of]
     parts: dict[int, dict[int, bytes]] = {}
-    for n, bucket, data in zip(*(totals.column(c).to_pylist() for c in ("n", "bucket", "totals"))):
+    # A block without words has no totals, and then an empty table without columns.
+    for n, bucket, data in zip(*(totals.column(c).to_pylist() for c in ("n", "bucket", "totals") if totals.num_rows)):
         parts.setdefault(n, {})[bucket] = data
     others = []  # per n and position: how often the n-gram occurs in other documents
     for n, hashes in enumerate(grams):
@@ -103,7 +104,7 @@ def _block_scores(docs: pa.Table, totals: pa.Table, order: int, all_words: int)
             context = np.concatenate([others[n - 1][:1], others[n - 1][:-1]])
             longer = np.where(others[n] > 0, np.log(others[n] / context), np.log(BACKOFF) + score)
             score = np.where(place >= n, longer, score)
-    return n_words, np.bincount(of, weights=score, minlength=size)
+    return n_words, np.bincount(of, weights=score, minlength=size).astype(np.float64)
 
 
 def backoff_scores(
