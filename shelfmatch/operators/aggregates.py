@@ -11,6 +11,7 @@ from shelfmatch import constants as K
 from shelfmatch.functions import text as X
 from shelfmatch.functions import vectors as N
 from shelfmatch.operators.joins import pair_variants
+from shelfmatch.skew import quantile_band
 
 
 def list_items(refs: DataFrame, model: str) -> DataFrame:
@@ -169,16 +170,17 @@ def variant_status(statuses: DataFrame) -> DataFrame:
 
 
 def exact_percentiles(
-    df: DataFrame, value: str, quantiles: dict[str, float], by: list[str] = [], band_width: float = 1.0
+    df: DataFrame, value: str, quantiles: dict[str, float], by: list[str] = [], bands: int = 64
 ) -> DataFrame:
     """Exact linearly interpolated percentiles without one task per group.
 
-    Equal values are counted before the shuffle, then numbered inside value bands of
-    ``band_width``; only the order statistics around each quantile are kept.
+    Equal values are counted before the shuffle, then numbered inside ``bands`` bands
+    of like size, cut at quantiles of the values; only the order statistics around each quantile are kept.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(
         F.count(F.lit(1)).alias("__n")
-    ).withColumn("__band", F.floor(F.col("__v") / band_width))
+    )
+    counts = counts.withColumn("__band", quantile_band(counts, F.col("__v"), bands))
     key = [*by, "__band"]
     across = Window.partitionBy(*by).orderBy("__band")
     bands = counts.groupBy(*key).agg(F.sum("__n").alias("__bn")).select(
@@ -205,8 +207,8 @@ def exact_percentiles(
     return stats.select(*by, "count", *interpolated)
 
 
-def latency_percentiles(timings: DataFrame, by: list[str] = [], value: str = "ms", band_width: float = 1.0) -> DataFrame:
-    return exact_percentiles(timings, value, {"p50": 0.5, "p95": 0.95}, by, band_width)
+def latency_percentiles(timings: DataFrame, by: list[str] = [], value: str = "ms", bands: int = 64) -> DataFrame:
+    return exact_percentiles(timings, value, {"p50": 0.5, "p95": 0.95}, by, bands)
 
 
 def review_summary(review: DataFrame) -> DataFrame:
@@ -226,7 +228,7 @@ def review_summary(review: DataFrame) -> DataFrame:
         F.min_by("elapsed_seconds", timed).alias("cold_seconds"), F.min(timed).alias("__cold"),
     )
     warm = review.where(F.col("position") > totals.select("__cold").scalar())
-    median = exact_percentiles(warm, "elapsed_seconds", {"warm_median_seconds": 0.5}, band_width=0.1)
+    median = exact_percentiles(warm, "elapsed_seconds", {"warm_median_seconds": 0.5})
     return totals.drop("__cold").withColumn("warm_median_seconds", median.select("warm_median_seconds").scalar())
 
 

@@ -15,7 +15,7 @@ from shelfmatch.operators.aggregates import indexing_stats
 from shelfmatch.operators.joins import prune_candidates
 from shelfmatch.operators.sets import photo_kinds_union
 from shelfmatch.operators.windows import canonical_id, first_occurrence
-from shelfmatch.skew import banded_rank, first_per_key
+from shelfmatch.skew import first_per_key, range_rank
 
 KEY = ["import_source", "source_row_number"]
 SOURCE_COLUMNS = [*K.CATALOG_FIELDS, "slug", "dataset_photo", "source_data"]
@@ -30,10 +30,10 @@ def _changed(columns: list[str]) -> Column:
     return ~same
 
 
-def _new_ids(new_rows: DataFrame, current: DataFrame, order: list[Column], band: Column) -> DataFrame:
+def _new_ids(new_rows: DataFrame, current: DataFrame, order: list[Column]) -> DataFrame:
     """Dense ids after the largest one in use."""
     largest = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
-    numbered = banded_rank(new_rows, [], order, band, "__n")
+    numbered = range_rank(new_rows, order, "__n")
     return numbered.withColumn("id", F.col("__n") + largest).drop("__n")
 
 
@@ -62,7 +62,6 @@ def upsert_catalog(current: DataFrame, incoming: DataFrame) -> DataFrame:
     known = merged.where("__known").drop("__known")
     fresh = _new_ids(
         merged.where("not __known").drop("__known"), current, [F.col("source_row_number"), F.col("import_source")],
-        F.floor(F.col("source_row_number") / 100_000),
     )
     return known.unionByName(fresh).select(*current.columns)
 

@@ -90,11 +90,12 @@ def page_items(refs: DataFrame, model: str, limit: int, offset: int) -> DataFram
 def reading_order(blocks: DataFrame, band_height: float = 64.0) -> DataFrame:
     """Position from top to bottom, left to right, then text; blocks without a box come last.
 
-    Bands of the page height keep an image of any number of blocks out of a single task. ``seq`` is
-    the order in which the engine returned the blocks.
+    Bands of the page height, and of the first letters for blocks without a box, keep an image of any
+    number of blocks out of a single task. ``seq`` is the order in which the engine returned the blocks.
     """
     top, left = F.col("box.min_y"), F.col("box.min_x")
-    band = F.coalesce(F.floor(top / band_height), F.lit(2**62)).cast("long")
+    letters = F.conv(F.rpad(F.hex(F.substring(F.encode("normalized_text", "utf-8"), 1, 3)), 6, "0"), 16, 10).cast("long")
+    band = F.coalesce(F.floor(top / band_height), F.lit(2**62) + F.coalesce(letters, F.lit(-1))).cast("long")
     order = [top.asc_nulls_last(), left.asc_nulls_last(), F.col("normalized_text"), F.col("seq")]
     return banded_rank(blocks, ["image_id"], order, band, "pos")
 

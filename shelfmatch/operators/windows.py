@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmatch import constants as K
-from shelfmatch.skew import banded_previous, banded_rank, first_per_key
+from shelfmatch.skew import banded_previous, banded_rank, first_per_key, range_rank
 
 
 def canonical_id(df: DataFrame, key: str = "slug", id_col: str = "id") -> DataFrame:
@@ -54,7 +54,7 @@ def stage_progress(events: DataFrame, segment: str = "hour") -> DataFrame:
 
 
 def retain_jobs(jobs: DataFrame, now, retention_s: int = K.JOB_RETENTION_SECONDS,
-                capacity: int = K.JOB_CAPACITY, segment: str = "hour") -> DataFrame:
+                capacity: int = K.JOB_CAPACITY) -> DataFrame:
     """Jobs kept in memory when the next one is admitted.
 
     Completed jobs beyond the retention go; then the oldest completed ones until fewer than
@@ -62,9 +62,7 @@ def retain_jobs(jobs: DataFrame, now, retention_s: int = K.JOB_RETENTION_SECONDS
     """
     done = F.col("completed_at")
     alive = jobs.where(done.isNull() | (F.lit(now).cast("timestamp") - done <= F.make_dt_interval(secs=F.lit(retention_s))))
-    ranked = banded_rank(
-        alive.where(done.isNotNull()), [], [done, F.col("job_id")], F.date_trunc(segment, done), "__oldest"
-    )
+    ranked = range_rank(alive.where(done.isNotNull()), [done, F.col("job_id")], "__oldest")
     excess = alive.agg((F.count(F.lit(1)) - (capacity - 1)).alias("__excess"))
     kept = ranked.where(F.col("__oldest") > excess.scalar()).select(*jobs.columns)
     return kept.unionByName(alive.where(done.isNull()))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmatch.session import cut_lineage
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Keep the row with the smallest ``order`` per key.
@@ -67,6 +69,31 @@ def banded_rank(
     )
 
 
+def range_rank(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
+    """Exact row number over the whole of ``df``, whose ``order`` must end in a unique column.
+
+    Rows are dealt into ranges of the whole order by sampled bounds, so no value, however common, puts
+    more than its share into one range. The dealing is written once, then ranges are numbered apart
+    and the counts of earlier ranges added.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    # One row per range: a bounded number.
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    local = dealt.withColumn("__local", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    return local.join(offsets, "__part").withColumn(rank, (F.col("__local") + F.col("__offset")).cast("long")).select(*df.columns, rank)
+
+
+def quantile_band(df: DataFrame, value: Column, bands: int = 64) -> Column:
+    """Number of the band of ``value`` by quantiles of ``df``: bands of like size that rise with the value."""
+    cuts = df.agg(F.percentile_approx(value, [i / bands for i in range(1, bands)], 10_000).alias("c")).first()["c"]
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < value))
+
+
 def banded_previous(
     df: DataFrame, keys: list[str], order: list[Column], band: Column,
     running_max: dict[str, str], previous: dict[str, str], first: dict[str, str],
