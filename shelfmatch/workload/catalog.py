@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfmatch.functions import paths
@@ -12,6 +13,7 @@ from shelfmatch.operators import maintain as M
 from shelfmatch.operators import sets as U
 from shelfmatch.operators import validate as V
 from shelfmatch.operators import windows as W
+from shelfmatch.sources import csv_records, readers
 from shelfmatch.sources import tables as S
 from shelfmatch.workload.base import CARD_URL, DERIVED, VIEWS, Tables, query
 
@@ -392,3 +394,53 @@ def path_functions(t: Tables):
         F.concat(F.lit("path "), "o_custkey")).alias("quoted"))
 
 
+
+
+# A CSV file per thousand order keys, a line per order: plain, quoted, stray quote, empty cell, too many cells, blank, two-line cell.
+VIEWS["csv_orders"] = """
+SELECT 'f' || (o_orderkey // 1000) AS file, o_orderkey AS k, o_orderkey % 7 AS kind, row_number() OVER w AS nth,
+  count(*) FILTER (o_orderkey % 7 = 6) OVER (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey) AS doubled,
+  count(*) FILTER (o_orderkey % 7 <> 5) OVER (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey) AS filled
+FROM orders WINDOW w AS (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey)
+"""
+
+
+def csv_orders(t: Tables):
+    k = F.col("o_orderkey").cast("string")
+    texts = [
+        F.concat(k, F.lit(",slug"), k, F.lit(",/data/"), k, F.lit(".jpg")), F.concat(k, F.lit(',"  slug'), k, F.lit('",/data/'), k, F.lit(".jpg,x")),
+        F.concat(k, F.lit(',12" pan,/data/'), k, F.lit(".jpg,x")), F.concat(k, F.lit(",,/data/"), k, F.lit(".jpg")),
+        F.concat(k, F.lit(',"a""b",/data/'), k, F.lit(".jpg,x,y")), F.lit(""), F.concat(k, F.lit(',"two\nlines",/data/'), k, F.lit(".jpg")),
+    ]
+    value = F.lit(None).cast("string")
+    for kind, text in enumerate(texts):
+        value = F.when(F.col("o_orderkey") % 7 == kind, text).otherwise(value)
+    file = F.concat(F.lit("f"), F.floor(F.col("o_orderkey") / 1000).cast("string"))
+    rows = t.orders.select(file.alias("file"), "o_orderkey", F.posexplode(F.split(value, "\n")).alias("part", "value"))
+    # A file has a thousand lines at most.
+    line = F.row_number().over(Window.partitionBy("file").orderBy("o_orderkey", "part")).cast("long")
+    lines = rows.select("file", line.alias("line"), "value")
+    return csv_records.records(lines).withColumn("cells", csv_records.cells(F.col("value")))
+
+
+DERIVED["csv_orders"] = csv_orders
+
+
+@query("""
+SELECT nth + doubled AS line, CAST(k AS VARCHAR) AS item_id, CASE kind WHEN 2 THEN '12" pan' WHEN 6 THEN 'two' || chr(10) || 'lines' WHEN 0 THEN 'slug' || k WHEN 1 THEN 'slug' || k END AS slug,
+  '/data/' || k || '.jpg' AS image_uri, CAST(NULL AS VARCHAR) AS problem FROM csv_orders WHERE kind IN (0, 1, 2, 6)
+UNION ALL SELECT nth + doubled, NULL, NULL, NULL, CASE kind WHEN 3 THEN 'empty slug' ELSE '5 values for 4 columns' END FROM csv_orders WHERE kind IN (3, 4)
+""", ["csv_orders"])
+def manifest_rows(t: Tables):
+    good, bad = readers.manifest_rows(["item_id", "slug", "image_uri", "note"], t.csv_orders, ["item_id", "slug", "image_uri"])
+    return good.withColumn("problem", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
+
+
+@query("""
+SELECT CASE kind WHEN 2 THEN '12" pan' WHEN 6 THEN 'two' || chr(10) || 'lines' WHEN 4 THEN 'a"b' WHEN 0 THEN 'slug' || k WHEN 1 THEN 'slug' || k END AS slug,
+  '/data/' || k || '.jpg' AS dataset_photo, CAST(k AS VARCHAR) AS name, filled + 1 AS source_row_number, CASE kind WHEN 4 THEN '["y"]' END AS extra
+FROM csv_orders WHERE kind <> 5
+""", ["csv_orders"])
+def catalog_rows(t: Tables):
+    rows = readers.catalog_rows(["Name", "SLUG", "dataset_photo", "note"], t.csv_orders, "file:orders")
+    return rows.select("slug", "dataset_photo", "name", "source_row_number", F.col("source_data")["_extra_columns"].alias("extra"))
