@@ -15,13 +15,13 @@ def slots(spark, parts):
 def test_every_block_in_its_window_and_deviation_below_one(spark, parts):
     found = slots(spark, parts)
     period = sum(n for _, n in parts)
-    assert sorted(t for r in found for t in r.__slots) == list(range(period))
+    assert sorted(t for r in found for t in r["__slots"]) == list(range(period))
     for r in found:
-        for i, t in enumerate(r.__slots):
-            assert i * period // r.__share <= t < -(-(i + 1) * period // r.__share)
+        for i, t in enumerate(r["__slots"]):
+            assert i * period // r["__share"] <= t < -(-(i + 1) * period // r["__share"])
         for t in range(period + 1):
-            done = sum(x < t for x in r.__slots)
-            assert abs(done - t * r.__share / period) < 1
+            done = sum(x < t for x in r["__slots"])
+            assert abs(done - t * r["__share"] / period) < 1
 
 
 def test_whole_and_in_place(spark):
