@@ -184,7 +184,6 @@ def upsert_references(refs: DataFrame, incoming: DataFrame, now: Column) -> tupl
     digest = F.md5("image_uri")
     fresh = _new_ids(
         merged.where("not __known").drop("__known"), refs, [digest, F.col("image_uri")],
-        F.conv(F.substring(digest, 1, 3), 16, 10).cast("long"),
     )
     table = merged.where("__known").drop("__known").unionByName(fresh).select(*refs.columns)
     known = refs.select("image_uri", F.lit(True).alias("__c"))

@@ -25,15 +25,25 @@ def current_version(spark: SparkSession, root: str, name: str) -> int:
     return row[0] or 0
 
 
+def _claimed(spark: SparkSession, root: str, name: str, version: int) -> bool:
+    """Create the version's claim file; false if another writer has it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}/_claims/{version}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(path)
+
+
 def write_table(df: DataFrame, root: str, name: str, partition_by: list[str] | None = None) -> int:
     """Write the next version and then publish it.
 
     Readers see the old version until the new one is whole, so a job may read the table it
-    replaces, and a job that dies half way leaves the old version in place.
+    replaces, and a job that dies half way leaves the old version in place. Every writer claims a number
+    of its own first, so two of them never write into one version; the last to finish is read.
     """
     spark = df.sparkSession
     version = current_version(spark, root, name) + 1
-    writer = df.write.mode("overwrite")
+    while not _claimed(spark, root, name, version):
+        version += 1
+    writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{root.rstrip('/')}/{name}/version={version}")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfmatch.constants import JOB_RETENTION_SECONDS
 from shelfmatch.operators.feedback import publish_feedback, recover_queue, take_queue
+from shelfmatch.session import cut_lineage
 from shelfmatch.sources.tables import read_table, write_table
 
 FEEDBACK_OUT = (
@@ -129,7 +130,8 @@ def index_feedback_stream(
         write_table(feedback, root, "feedback")
         feedback = read_table(spark, root, "feedback")
         queue = feedback.where("embedding_state = 'indexing'").select("job_id", "image_sha256", "label_revision")
-        results = embed(queue).withColumnRenamed("label_revision", "revision")
+        # Both tables are made from one set of results: the model sees every row once.
+        results = cut_lineage(embed(queue).withColumnRenamed("label_revision", "revision"))
         refs, catalog = read_table(spark, root, "references"), read_table(spark, root, "catalog")
         updated, table = publish_feedback(feedback, refs, catalog, results, model, dim, F.current_timestamp())
         # References first: a crash in between leaves the queue to be drained again.

@@ -63,13 +63,30 @@ def test_index_feedback_stream(spark, tmp_path):
     spark.createDataFrame([("a",)], "job_id string").write.parquet(wake)
     embed = lambda q: q.select("job_id", "label_revision", F.md5("image_sha256").alias("digest"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding"),
                                F.lit("m").alias("model_name"), F.lit(None).cast("string").alias("error"))
+    calls = tmp_path / "calls"
+
+    def noted(batches):
+        for batch in batches:
+            with calls.open("a") as log:
+                log.write("x" * len(batch))
+            yield batch
+
+    counting = lambda q: embed(q.mapInPandas(noted, q.schema))
     stream = spark.readStream.schema("job_id string").parquet(wake)
-    drain(S.index_feedback_stream(stream, root, str(tmp_path / "check"), embed, "m", 1))
+    drain(S.index_feedback_stream(stream, root, str(tmp_path / "check"), counting, "m", 1))
+    assert calls.read_text() == "xx"
     got = {r["job_id"]: r["embedding_state"] for r in tables.read_table(spark, root, "feedback").collect()}
     assert got == {"a": "ready", "b": "failed"}
     assert tables.read_table(spark, root, "references").first()["item_id"] == "3"
 
 
+def test_versions_are_claimed_by_one_writer(spark, tmp_path):
+    root = str(tmp_path / "t")
+    assert tables.write_table(spark.range(3), root, "n") == 1
+    assert tables._claimed(spark, root, "n", 2) and not tables._claimed(spark, root, "n", 2)
+    assert tables.write_table(spark.range(4), root, "n") == 3 and tables.read_table(spark, root, "n").count() == 4
+
+
 def test_incremental_catalog_sees_files_once(spark, tmp_path):
     path, check, seen = str(tmp_path / "in"), str(tmp_path / "check"), []
     for n in range(2):
