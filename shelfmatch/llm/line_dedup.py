@@ -283,3 +283,36 @@ def deduplicated(
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: DuckDB's distance counts bytes: letters of the tables' four languages become one byte each before they are compared.
+LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+SQL = rf"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, doc_id * 10000000 + generate_subscripts(string_split(text, chr(10)), 1) AS k
+  FROM documents
+),
+e AS (
+  SELECT line, min(k) AS first, length(line) AS n,
+    translate(line, '{LETTERS}', '{"".join(map(chr, [*range(1, 9), *range(14, 27)]))}') AS folded
+  FROM l WHERE length(line) >= 30 GROUP BY line
+),
+p AS (
+  SELECT a.line AS early, b.line AS late FROM e a JOIN e b ON a.n BETWEEN b.n - 2 AND b.n + 2
+  WHERE a.first < b.first AND levenshtein(a.folded, b.folded) <= 2
+),
+c AS (SELECT line, count(*) AS links FROM (SELECT early AS line FROM p UNION ALL SELECT late FROM p) GROUP BY line),
+j AS (
+  SELECT l.doc_id, l.k, l.line, e.line IS NOT NULL AND (e.first <> l.k OR l.line IN (SELECT late FROM p)) AS gone,
+    CASE WHEN e.first = l.k THEN coalesce(c.links, 0) ELSE 0 END AS links
+  FROM l LEFT JOIN e ON e.line = l.line LEFT JOIN c ON c.line = l.line
+),
+r AS (
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text, count(*) AS n_lines,
+    count(*) FILTER (gone) AS n_dropped, CAST(sum(links) AS BIGINT) AS n_links
+  FROM j GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(r.text, '') END AS text, coalesce(n_lines, 0) AS n_lines,
+  coalesce(n_dropped, 0) AS n_dropped, coalesce(n_links, 0) AS n_links
+FROM documents d LEFT JOIN r USING (doc_id)
+"""

@@ -20,6 +20,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_line_dedup": line_dedup.SQL,
     "op2_mixing": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op10_lm_scores": ngram_scores.SQL,
