@@ -36,7 +36,7 @@ def test_banded_previous_equals_window(spark):
 
 def test_exact_percentiles(spark):
     df = events(spark).select("k", F.round("v", 2).alias("v"))
-    got = aggregates.exact_percentiles(df, "v", {"a": 0.5, "b": 0.95}, ["k"], 0.1)
+    got = aggregates.exact_percentiles(df, "v", {"a": 0.5, "b": 0.95}, ["k"], 7)
     want = df.groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("x"), F.percentile("v", F.lit(0.95)).alias("y"))
     assert got.join(want, "k").where("abs(a - x) > 1e-9 or abs(b - y) > 1e-9").count() == 0
     assert got.count() == want.count()
@@ -57,3 +57,29 @@ def test_retain_jobs(spark):
     alive = [i for i in range(40) if i % 2 == 0 or i >= 9]
     drop = len(alive) - 29
     assert kept == set(alive) - set([i for i in alive if i % 2][:drop])
+
+
+def test_range_rank_numbers_everything_though_one_value_is_common(spark):
+    from shelfmatch.skew import quantile_band, range_rank
+
+    rows = [(5 if i % 3 else i, i) for i in range(900)]
+    df = spark.createDataFrame(rows, "v int, id int")
+    got = {r["id"]: r["n"] for r in range_rank(df, [F.col("v"), F.col("id")], "n").collect()}
+    assert got == {i: n for n, (_, i) in enumerate(sorted(rows), 1)}
+    assert range_rank(df.limit(0), [F.col("v"), F.col("id")], "n").count() == 0
+    tiny = spark.createDataFrame([(i / 1e6,) for i in range(500)], "v double")
+    bands = sorted((r["v"], r["b"]) for r in tiny.withColumn("b", quantile_band(tiny, F.col("v"), 10)).collect())
+    assert [b for _, b in bands] == sorted(b for _, b in bands) and len({b for _, b in bands}) == 10
+
+
+def test_percentiles_inside_one_unit(spark):
+    from shelfmatch.operators.aggregates import exact_percentiles
+
+    values = [i / 1000 for i in range(997)] + [0.5] * 300
+    df = spark.createDataFrame([(v,) for v in values], "ms double")
+    row = exact_percentiles(df, "ms", {"p50": 0.5, "p95": 0.95}).first()
+    ordered = sorted(values)
+    for name, q in (("p50", 0.5), ("p95", 0.95)):
+        at = q * (len(ordered) - 1)
+        low = int(at)
+        assert abs(row[name] - (ordered[low] + (ordered[low + 1] - ordered[low]) * (at - low))) < 1e-12
