@@ -22,6 +22,8 @@ MALE, FEMALE = r"Mr|Mister|Herr|Monsieur|Señor|Sir|Господин|г-н", r"M
 PERSON = rf"{EDGE}(?:{MALE}|{FEMALE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
 KINDS = {"email": EMAIL, "ipv4": IPV4, "iban": IBAN, "card": CARD, "ssn": SSN, "phone": PHONE, "person": PERSON}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: What every match has: a sign or digit, or a title. Tried first, as most texts have none.
+HINTS = r"[@0-9]", rf"(?=[MHSFГг])(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
 
 #: Letters by script, given names by gender and script, and syllables of surnames by script.
 LATIN, ACCENTED, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "àáâäçèéêëíîïñóôöúûü", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
@@ -212,7 +214,8 @@ def with_surrogates(df: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     keyed = df.select(*own).withColumns({
         "__null": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col), F.lit(0).cast(id_kind)), "__hash": F.xxhash64(text_col),
     })
-    some = keyed.where(text.rlike(ANY))
+    found = (text.rlike(HINTS[0]) | text.rlike(HINTS[1])) & text.rlike(ANY)
+    some = keyed.where(found)
     match, kind, value = F.col("match"), F.col("kind"), F.col("value")
     mentions = saved(
         some.select(*keys, F.posexplode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("at", "match"))
@@ -230,7 +233,7 @@ def with_surrogates(df: DataFrame, key: str, id_col: str = "doc_id", text_col: s
         *[F.array_join(pieces, "").alias(c) if c == text_col else F.col(c) for c in own],
         F.size("__new").cast("long").alias("n_private"), F.array_join(F.col("__new.kind"), ",").alias("private_kinds"),
     )
-    same = keyed.where(~text.rlike(ANY)).select(*own, F.lit(0).cast("long").alias("n_private"), F.lit("").alias("private_kinds"))
+    same = keyed.where(~found).select(*own, F.lit(0).cast("long").alias("n_private"), F.lit("").alias("private_kinds"))
     return same.unionByName(changed)
 
 
