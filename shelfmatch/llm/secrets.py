@@ -13,17 +13,22 @@ ASSIGN = (
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
 BASE = {"assign": (ASSIGN, 2, 6), "access": (r"AKIA[A-Z0-9]{16,}", 0, 20), "hex": (r"[0-9a-f]{24,}", 0, 24)}
-#: Weak parts: an identifier or an endpoint alone is no secret, a long mixed string may be anything.
+#: Weak parts: an identifier or an endpoint alone is no secret, a long mixed string may be anything. Names may
+#: follow an underscore (``DB_HOST=``), the user of an address is an identifier, a value may follow ``=``.
 WEAK = {
     "identifier": (
-        r"(?i)\b(?:access_?key_?id|key_?id|client_?id|account_?id|tenant_?id|user_?name|login)"
+        r"(?i)(?<![A-Za-z0-9])(?:access_?key_?id|key_?id|client_?id|account_?id|tenant_?id|user_?name|login)"
         r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}"""
+        r"""|(?<=://)[^\s"'<>:/@?#]+(?=:(?!\d{1,5}[/?#])[^\s"'<>@]+@)"""
     ),
     "endpoint": (
-        r"""(?i)\b(?:(?:https?|ftp|jdbc:\w+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+"""
+        r"""(?i)(?<![A-Za-z0-9])(?:(?:https?|ftp|jdbc:\w+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+"""
         r"""|(?:host|endpoint|server|base_?url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::\d+)?)"""
     ),
-    "candidate": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])",
+    "candidate": (
+        r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])"
+        r"[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"
+    ),
 }
 KINDS = [*BASE, *WEAK]
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -55,8 +60,8 @@ def linked(parts: DataFrame, keys: list[str], scope: int) -> DataFrame:
 
     ``parts`` has keys, ``start``, ``kind``, ``end``. Two parts are in one scope if at most ``scope``
     code points lie between them. An identifier needs a secret, a candidate needs an identifier or
-    access key, an endpoint needs both. Each weak part meets the parts of its own bins and the next
-    on either side, whose number the width of a bin bounds.
+    access key, an endpoint needs both, beside it or inside it. Each weak part meets the parts of its
+    own bins and the next on either side, whose number the width of a bin bounds.
     """
     first, last = F.floor(F.col("start") / scope), F.floor((F.col("end") - 1) / scope)
     weak = parts.where(F.col("kind") >= len(BASE)).select(
@@ -67,7 +72,7 @@ def linked(parts: DataFrame, keys: list[str], scope: int) -> DataFrame:
         F.explode(F.sequence(first, last)).alias("__bin"),
     )
     near = (F.col("__s") <= F.col("end") + scope) & (F.col("__e") >= F.col("start") - scope)
-    apart = (F.col("__s") >= F.col("end")) | (F.col("__e") <= F.col("start"))
+    apart = (F.col("__s") >= F.col("end")) | (F.col("__e") <= F.col("start")) | (F.col("kind") == KINDS.index("endpoint"))
     is_id = F.col("__k").isin(KINDS.index("access"), KINDS.index("identifier"))
     is_secret = F.col("__k").isin(KINDS.index("assign"), KINDS.index("hex"), KINDS.index("candidate"))
     found = weak.join(others, [*keys, "__bin"]).where(near & apart).groupBy(*keys, "start", "kind", "end").agg(
@@ -86,8 +91,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: i
     """Secrets of every whole text: ``doc_id``, ``base`` and ``spans``, sorted arrays of (start, kind, end).
 
     ``base`` holds the three base kinds; ``spans`` adds the weak parts that their complement backs
-    (``linked``). Weak parts that overlap a base span are left out, as are candidates that overlap a
-    weak part. ``kind`` is a place in KINDS. Null texts count as empty; identifiers may be null; rows that
+    (``linked``). Weak parts that overlap a base span are left out, but for endpoints around it, as are
+    candidates that overlap an identifier. Parts inside an endpoint count beside it, so their spans
+    lie inside its span. ``kind`` is a place in KINDS. Null texts count as empty; identifiers may be null; rows that
     repeat identifier and text get the same answer each. Other columns are not read.
     """
     keys = ["__null", "__id", "__hash"]
@@ -103,9 +109,13 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: i
         spans(text, WEAK["candidate"], KINDS.index("candidate")).alias("__mixed"),
     )
 
+    endpoint = KINDS.index("endpoint")
+
     def clear(some: str, of: list[str]) -> Column:
         hit = lambda x, y: (y["start"] < x["end"]) & (y["end"] > x["start"])
-        return F.filter(some, lambda x: ~F.exists(F.concat(*of), lambda y: hit(x, y)))
+        around = lambda x, y: (x["kind"] == endpoint) & (y["start"] >= x["start"]) & (y["end"] <= x["end"])
+        own = lambda x, y: (y["kind"] == endpoint) | around(x, y)
+        return F.filter(some, lambda x: ~F.exists(F.concat(*of), lambda y: hit(x, y) & ~own(x, y)))
 
     rows = saved(
         rows.withColumn("__mixed", clear("__mixed", ["__base", "__named"]))
