@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmatch.llm.common import let, table
@@ -120,6 +120,23 @@ def in_order(df: DataFrame, **options: object) -> DataFrame:
     return mixed(df, **options).repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*df.columns)
 
 
+def places(laid: DataFrame) -> DataFrame:
+    """All columns and ``mix_place``: the number (from 0) of a row of ``in_order`` read back from Parquet.
+
+    A reader may deal files to tasks in any order; the number of the part and the row's place in its
+    file say where it was written. Only row counts of files are added up.
+    """
+    file = F.col("__file")
+    read = laid.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__index"))
+    sizes = read.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
+    part = F.regexp_extract(file, r"^part-(\d+)", 1).cast("long")
+    before = Window.orderBy(part, file).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return read.join(F.broadcast(starts), "__file").select(
+        *laid.columns, (F.col("__before") + F.col("__index")).alias("mix_place")
+    )
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
 

@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from shelfmatch.llm import queries
 from shelfmatch.llm.byte_pairs import Codec, public_ranks
+from shelfmatch.llm.mixing import in_order, mixed
 from shelfmatch.session import checkpoint_dir
 from tests.llm.helpers import LONG, documents
 
@@ -48,6 +49,22 @@ def test_run_matches_its_texts(spark, folder):
     assert first.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and first.n_tokens == len(coder.encode(text)) // 4
 
 
+def test_run_shows_the_mix(spark, tmp_path):
+    letters = [" ".join(f"w{(i * 7919 + k * k * 31) % 4001}" for k in range(60)) for i in range(90)]
+    documents(spark, list(enumerate(letters))).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = [r.doc_id for r in sorted(mixed(docs, block_rows=4).select("doc_id", "mix_position").collect(), key=lambda r: r.mix_position)]
+    in_order(docs, block_rows=4).repartitionByRange(5, "doc_id").write.parquet(f"{tmp_path}/other")
+    in_order(docs, block_rows=4).write.option("maxRecordsPerFile", 7).parquet(f"{tmp_path}/mix")
+
+    def order(path):
+        rows = corpus_pipeline.encode(spark, spark.read.parquet(path), str(tmp_path)).collect()
+        assert sorted(r.mix_place for r in rows) == list(range(90))
+        return [r.doc_id for r in sorted(rows, key=lambda r: r.mix_place)]
+
+    assert order(f"{tmp_path}/mix") == want != order(f"{tmp_path}/other")
+
+
 def test_all_are_registered():
     names = entry.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(names)
