@@ -56,11 +56,11 @@ def within(a: str, b: str, most: int) -> bool:
     return bool(reach[most] >> (len(b) - len(a) + most) & 1)
 
 
-def _lines(text: bytes | None, least: int) -> Iterator[tuple[int, str]]:
-    """Places and lines of a text that have ``least`` characters."""
+def _lines(text: bytes | None, least: int, short: bool = False) -> Iterator[tuple[int, str]]:
+    """Places and lines of a text that have ``least`` characters, or with ``short`` are not blank."""
     if text:
         for at, line in enumerate(text.decode("utf-8", "replace").split("\n")):
-            if len(line) >= least:
+            if len(line) >= least or short and line.strip():
                 yield at, line
 
 
@@ -69,15 +69,15 @@ def _identify(line: str) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def occurrences(rows: DataFrame, least: int) -> DataFrame:
-    """Every line of ``least`` characters: the row's keys, ``pos`` and a 128-bit identifier."""
+def occurrences(rows: DataFrame, least: int, short: bool = False) -> DataFrame:
+    """Every line of ``least`` characters (with ``short``, every shorter one that is not blank too): the row's keys, ``pos`` and a 128-bit identifier."""
     keys = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
                 (i, at, *_identify(line))
-                for i, text in enumerate(batch.column(len(keys))) for at, line in _lines(text.as_py(), least)
+                for i, text in enumerate(batch.column(len(keys))) for at, line in _lines(text.as_py(), least, short)
             ]
             of, pos, l1, l2 = ([x[k] for x in found] for k in range(4))
             yield pa.RecordBatch.from_arrays(
@@ -204,13 +204,14 @@ def _verified(pairs: DataFrame, most: int) -> DataFrame:
 
 
 def deduplicated(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 30, most_edits: int = 2
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 30, most_edits: int = 2,
+    short_repeats: bool = False,
 ) -> DataFrame:
     """Drop every line that an earlier line of the corpus repeats, exactly or within ``most_edits``.
 
     Lines are what newlines separate, in the order of identifier (null last, then by the text's
-    hash) and place. Lines under ``least_chars`` characters, so blank ones too, are never dropped. A
-    line is dropped if an earlier place has the same line, or if a line within ``most_edits`` edits
+    hash) and place. Lines under ``least_chars`` characters are never dropped, unless ``short_repeats``:
+    then exact repeats of those that are not blank are, and ``least_chars`` holds for edits only. A line is dropped if an earlier place has the same line, or if a line within ``most_edits`` edits
     of it occurs first at an earlier place. Returns all columns with the text that is left, and
     ``n_lines``, ``n_dropped`` and ``n_links`` (different lines within ``most_edits`` of lines that occur
     first in this document). A document may be left empty; no row is dropped. Null texts stay null
@@ -228,7 +229,7 @@ def deduplicated(
         "__null": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col), F.lit(0).cast(kind)), "__hash": F.xxhash64(text_col),
     })
     rows = keyed.select(*keys, F.col(text_col).cast("binary").alias("__text"))
-    places = saved(occurrences(rows, least_chars))
+    places = saved(occurrences(rows, least_chars, short_repeats))
     first = F.min(F.struct(*keys, "pos")).alias("first")
     lines = saved(places.groupBy("l1", "l2").agg(first))
     pairs = saved(candidates(rows, least_chars, most_edits))

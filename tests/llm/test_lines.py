@@ -84,3 +84,10 @@ def test_repeated_rows_stay_and_empty_table(spark):
     rows = deduplicated(documents(spark, [(1, line), (1, line), (2, line)])).collect()
     assert sorted((r.doc_id, r.text) for r in rows) == [(1, line), (1, line), (2, "")]
     assert deduplicated(documents(spark, [])).count() == 0
+
+
+def test_short_repeats_are_dropped_exactly(spark):
+    long = "this line is long enough to be compared by edits"
+    rows = [(1, f"Menu\n\n{long}\nmenu"), (2, f"\n Menu\nMenu\n{long}!\nmenus\n  \nMenu"), (3, "menu"), (4, None), (None, "Menu\nnew")]
+    found = {r.doc_id: (r.text, r.n_dropped) for r in deduplicated(documents(spark, rows), short_repeats=True).collect()}
+    assert found == {1: (rows[0][1], 0), 2: ("\n Menu\nmenus\n  ", 3), 3: ("", 1), 4: (None, 0), None: ("new", 1)}
