@@ -122,7 +122,7 @@ def surrogate(kind: Column, value: Column, attempt: Column | int, key: str) -> C
     octets = F.split(value, r"\.")
     private = octets[0].isin("10", "127") | (octets[0] == "192") & (octets[1] == "168")
     # Private addresses stay in their network, and if that is full, in the largest private one.
-    tries = F.lit(attempt)
+    tries = F.lit(attempt) if isinstance(attempt, int) else attempt
     ip = F.concat_ws(
         ".", F.when(~private, (_draw(seed, 0, 222) + 1).cast("string")).when(tries < 8, octets[0]).otherwise("10"),
         F.when(private & (tries < 4), octets[1]).otherwise(_draw(seed, 1, 256).cast("string")),
@@ -138,7 +138,9 @@ def surrogate(kind: Column, value: Column, attempt: Column | int, key: str) -> C
     given = family = F.lit(None).cast("string")
     for (g, s), options in GIVEN.items():
         here = (gender == g) & (script == s)
-        drawn = F.concat(*[_pick(family_seed, i, SYLLABLES[s]) for i in range(4)], F.lit(ENDINGS[g, s]))
+        # Every attempt has one syllable more, so names do not run out.
+        more = F.transform(F.sequence(F.lit(0), 3 + tries), lambda i: _pick(family_seed, i, SYLLABLES[s]))
+        drawn = F.concat(F.array_join(more, ""), F.lit(ENDINGS[g, s]))
         given, family = F.when(here, _pick(given_seed, 0, [o.lower() for o in options])).otherwise(given), F.when(here, drawn).otherwise(family)
     person = F.concat(gender, F.lit(":"), F.when(F.size(words) > 1, F.concat(given, F.lit(" "))).otherwise(""), family)
     return (

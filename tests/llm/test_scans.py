@@ -122,6 +122,12 @@ def test_different_entities_stay_different(spark):
     assert not {(r.kind, r.core) for r in found} & set(ips + ssn) and max(r.attempt for r in found) > 0
 
 
+def test_more_surnames_than_four_syllables_give(spark):
+    entities = spark.range(70_000).selectExpr("'person' AS kind", "concat('m:x', translate(cast(id AS string), '0123456789', 'abcdefghij')) AS value")
+    found = assigned(entities, "k")
+    assert found.select("core").distinct().count() == found.count() == 70_000
+
+
 def test_exhausted_kinds_are_an_error(spark):
     with pytest.raises(ValueError, match="no surrogates left"):
         assigned(spark.createDataFrame([("ssn", str(i)) for i in range(10)], "kind string, value string"), "k", most_rounds=2)
