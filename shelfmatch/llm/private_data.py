@@ -10,13 +10,16 @@ from shelfmatch.llm.common import let, saved, table, text_or_empty
 #: Patterns of what counts as personal data, tried in this order at each place.
 EDGE, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_][\p{L}\p{N}._%+-]*@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}"
+EMAIL = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}"
 IPV4 = rf"(?<![\p{{L}}\p{{N}}_.]){OCTET}(?:\.{OCTET}){{3}}(?![\p{{L}}\p{{N}}_]|\.\d)"
 IBAN = rf"{EDGE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{END}"
 CARD = rf"{EDGE}(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}}){END}"
 SSN = r"(?<![\p{L}\p{N}_-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}_-])"
 PHONE = (
     r"(?<![\p{L}\p{N}_+-])(?:(?:\+\d{1,3}[ -]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ -])\d{3,4}[ -]\d{3,4}|\+\d{1,3}(?:[ -]?\d{2,4}){2,5})(?![\p{L}\p{N}_-])"
+    # With dots, or a national number in one piece; versions, decimals and amounts are none.
+    r"|(?<![\p{L}\p{N}_.,#$€£/-])(?:(?:\+?\d{1,3}\.)?\d{3}\.\d{3}\.\d{4}|\+\d{1,3}(?:\.\d{2,4}){2,5}|(?<!\+)(?:1?[2-9]\d{9}|0[1-9]\d{8,9}))"
+    r"(?![\p{L}\p{N}_%-]|[.,]\d)"
 )
 MALE, FEMALE = r"Mr|Mister|Herr|Monsieur|Señor|Sir|Господин|г-н", r"Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Госпожа|г-жа"
 PERSON = rf"{EDGE}(?:{MALE}|{FEMALE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"

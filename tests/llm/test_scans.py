@@ -122,6 +122,14 @@ def test_different_entities_stay_different(spark):
     assert not {(r.kind, r.core) for r in found} & set(ips + ssn) and max(r.attempt for r in found) > 0
 
 
+def test_forms_of_addresses_and_numbers(spark):
+    forms = ["-john@x.com", "...john@x.com", "+bob@x.com", "555.123.4567", "+1.555.123.4567", "5551234567", "tel:02079460958"]
+    plain = ["v555.123.4567", "1.2.3", "0.5551234567", "1700000000", "#5551234567", "10.20.300.4000.5", "123456789", "+12.5000"]
+    found = {r.doc_id: (r.text, r.n_private) for r in with_surrogates(documents(spark, list(enumerate(forms + plain))), "k").collect()}
+    assert [found[i][1] for i in range(len(forms + plain))] == [1] * len(forms) + [0] * len(plain)
+    assert all(found[i][0] != f and len(found[i][0]) == len(f) for i, f in enumerate(forms))
+
+
 def test_more_surnames_than_four_syllables_give(spark):
     entities = spark.range(70_000).selectExpr("'person' AS kind", "concat('m:x', translate(cast(id AS string), '0123456789', 'abcdefghij')) AS value")
     found = assigned(entities, "k")
