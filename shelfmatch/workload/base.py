@@ -12,8 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+
+class Names(dict):
+    """A registry; a name can be given once."""
+
+    def __setitem__(self, name: str, value) -> None:
+        if name in self:
+            raise ValueError(f"{name} is registered already")
+        super().__setitem__(name, value)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = Names()
+ORACLE: dict[str, str] = Names()
 
 CARD_URL = "https://catalog.example.org/items"
 
@@ -42,8 +52,8 @@ def _with_utc(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.timestamp_micros(micros))
 
 
-DERIVED: dict[str, Callable[[Tables], DataFrame]] = {}
-VIEWS: dict[str, str] = {}
+DERIVED: dict[str, Callable[[Tables], DataFrame]] = Names()
+VIEWS: dict[str, str] = Names()
 
 
 def view(sql: str):

@@ -205,12 +205,12 @@ def challenge_page(t: Tables):
 
 
 # A card page per part, of eight kinds: each picture rule, scripts and comments with headings, blank headings, challenges.
-VIEWS["cards"] = """
+VIEWS["card_pages"] = """
 SELECT p_partkey AS page_id, p_partkey % 8 AS kind, p_name AS title FROM part
 """
 
 
-def cards(t: Tables):
+def card_pages(t: Tables):
     key, title = F.col("p_partkey").cast("string"), F.col("p_name")
     page = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     head = page('<html><!-- <h1>Old</h1> --><script>var x = "<h1>Wrong</h1>";</script><h1> : </h1><h1 class="a>b">', title, "</h1>")
@@ -232,7 +232,7 @@ def cards(t: Tables):
         F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://shop.example.org/items/"), key, F.lit("?page=1")).alias("url"), html.alias("html"))
 
 
-DERIVED["cards"] = cards
+DERIVED["card_pages"] = card_pages
 
 
 @query("""
@@ -240,15 +240,15 @@ SELECT page_id, CASE kind WHEN 0 THEN 'https://shop.example.org/img/' || page_id
     WHEN 2 THEN 'https://shop.example.org/a/b' || page_id || '.png' WHEN 3 THEN 'https://cdn.example.org/' || page_id || '.jpg'
     WHEN 4 THEN 'https://shop.example.org/t/' || page_id || '.jpg?a=1&b=2' WHEN 5 THEN 'https://c.example.org/' || page_id || '-1.jpg' END AS image_url,
   CASE kind WHEN 6 THEN 'no_product_image' WHEN 7 THEN 'challenge_page' END AS reason
-FROM cards
-""", ["cards"])
+FROM card_pages
+""", ["card_pages"])
 def card_image(t: Tables):
-    return G.page_image(t.cards)
+    return G.page_image(t.card_pages)
 
 
-@query("SELECT page_id, title AS name FROM cards", ["cards"])
+@query("SELECT page_id, title AS name FROM card_pages", ["card_pages"])
 def card_name(t: Tables):
-    return G.page_name(t.cards)
+    return G.page_name(t.card_pages)
 
 
 @query(f"SELECT doc_id, md5(trim(regexp_replace({UNESCAPE.format('text')}, '\\s+', ' ', 'g'), ' :')) AS digest FROM documents")
