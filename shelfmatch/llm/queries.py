@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from shelfmatch.llm import (
     byte_pairs, exact_dedup, line_dedup, mixing, ngram_scores, piecewise, private_data, quality_model, quality_rules, secrets, simhash,
-    whitening,
+    turn_repair, whitening,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_lm_scores": ngram_scores.op10_lm_scores,
+    "op11_turn_repair": turn_repair.op11_turn_repair,
     "op12_whitening": whitening.op12_whitening,
     "op13_fingerprints": piecewise.op13_fingerprints,
 }
