@@ -98,6 +98,30 @@ def upsert_feedback(feedback: DataFrame, votes: DataFrame) -> tuple[DataFrame, D
     return merged.drop("__retired"), retired
 
 
+def fold_votes(votes: DataFrame) -> DataFrame:
+    """The feedback row that each job's votes make from nothing, and the last label they took back.
+
+    The whole-table form of ``streaming.state.feedback_stream``: votes apply in ``seq`` order, a vote that
+    is there more than once counts once, a new label queues the photo again.
+    """
+    once = votes.select(*VOTE_COLUMNS).dropDuplicates(["job_id", "seq"])
+    ranked = banded_rank(once, ["job_id"], [F.col("seq")], F.floor(F.col("seq") / 4096), "__n")
+    before = ranked.select("job_id", F.col("correct_slug").alias("__p"), (F.col("__n") + 1).alias("__n"), F.lit(True).alias("__has"))
+    compared = ranked.join(before, ["job_id", "__n"], "left")
+    changed = F.col("__has").isNotNull() & ~F.col("correct_slug").eqNullSafe(F.col("__p"))
+    per_job = compared.groupBy("job_id").agg(
+        F.min_by(F.struct("image_sha256", "predicted_slug", "correct_slug", "ts"), "seq").alias("first"),
+        F.max_by(F.struct("is_correct", "correct_slug", "ts", "seq"), "seq").alias("last"), F.count_if(changed).alias("changes"),
+        F.max_by("__p", F.when(changed & F.col("__p").isNotNull(), F.col("seq"))).alias("retired_label"),
+    )
+    queued = (F.col("changes") > 0) | F.col("first.correct_slug").isNotNull()
+    return per_job.select(
+        "job_id", "first.image_sha256", "first.predicted_slug", "last.is_correct", "last.correct_slug", F.lit("pending").alias("review_status"),
+        F.when(queued, "queued").otherwise("unlabeled").alias("embedding_state"), F.col("changes").cast("int").alias("label_revision"),
+        "retired_label", "last.seq", F.col("first.ts").alias("created_at"), F.col("last.ts").alias("updated_at"),
+    )
+
+
 def _all_equal(columns: list[str]) -> Column:
     same = F.lit(True)
     for c in columns:

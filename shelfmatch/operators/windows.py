@@ -53,6 +53,28 @@ def stage_progress(events: DataFrame, segment: str = "hour") -> DataFrame:
     )
 
 
+def job_states(events: DataFrame, segment: str = "hour") -> DataFrame:
+    """State, progress and time since the beginning after every event of every job.
+
+    The whole-table form of ``streaming.state.job_state_stream``. ``events``: job_id, seq, ts, stage,
+    progress, taken by (ts, seq). The first event that finishes a job settles its state; it is found by
+    an aggregate, and running values by time segments, so one job with very many events is no task.
+    """
+    order = F.struct("ts", "seq")
+    ends = events.where(F.col("stage").isin("done", "failed")).groupBy("job_id").agg(
+        F.min_by("stage", order).alias("__end"), F.min(order).alias("__at"))
+    running = banded_previous(
+        events, ["job_id"], [F.col("ts"), F.col("seq")], F.date_trunc(segment, "ts"),
+        running_max={"__progress": "progress"}, previous={}, first={"__created": "ts"},
+    )
+    state = F.when(order >= F.col("__at"), F.col("__end")).when(F.col("stage") == "queued", "queued").otherwise("processing")
+    elapsed = (F.unix_micros("ts") - F.unix_micros("__created")) / 1000
+    return running.join(ends, "job_id", "left").select(
+        "job_id", "seq", state.alias("state"), "stage", F.greatest("__progress", F.lit(0.0)).alias("progress"),
+        F.floor(elapsed + 0.5).cast("long").alias("elapsed_ms"), F.col("ts").alias("updated_at"),
+    )
+
+
 def retain_jobs(jobs: DataFrame, now, retention_s: int = K.JOB_RETENTION_SECONDS,
                 capacity: int = K.JOB_CAPACITY) -> DataFrame:
     """Jobs kept in memory when the next one is admitted.

@@ -220,6 +220,46 @@ def stage_progress(t: Tables):
     return W.stage_progress(events)
 
 
+STAGES = """
+SELECT CAST(user_id AS VARCHAR) AS job_id, event_id AS seq, ts, value / 100 AS progress,
+  CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'queued' ELSE event_type END AS stage FROM events
+"""
+
+
+@query(f"""
+SELECT e.job_id, e.seq, e.stage, epoch_us(e.ts) AS updated_us, greatest(0.0, max(e.progress) OVER w) AS progress,
+  CASE WHEN (e.ts, e.seq) >= (f.ts, f.seq) THEN f.stage WHEN e.stage = 'queued' THEN 'queued' ELSE 'processing' END AS state,
+  CAST(floor((epoch_us(e.ts) - min(epoch_us(e.ts)) OVER (PARTITION BY e.job_id)) / 1000 + 0.5) AS BIGINT) AS elapsed_ms
+FROM ({STAGES}) e LEFT JOIN (
+  SELECT * FROM ({STAGES}) WHERE stage IN ('done', 'failed') QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) = 1) f ON f.job_id = e.job_id
+WINDOW w AS (PARTITION BY e.job_id ORDER BY e.ts, e.seq)
+""")
+def job_states(t: Tables):
+    states = W.job_states(stage_events(t.events))
+    return states.select("job_id", "seq", "stage", F.unix_micros("updated_at").alias("updated_us"), "progress", "state", "elapsed_ms")
+
+
+def stage_events(events):
+    """Events as stages of jobs: purchases finish a job, errors fail it."""
+    kind = F.col("event_type")
+    stage = F.when(kind == "purchase", "done").when(kind == "error", "failed").when(kind == "signup", "queued").otherwise(kind)
+    return events.select(
+        F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), "ts", stage.alias("stage"), (F.col("value") / 100).alias("progress"))
+
+
+@query("""
+SELECT job_id, min_by(struct_pack(l := correct_slug), seq).l IS NOT NULL OR count(*) FILTER (changed) > 0 AS queued, arg_max(is_correct, seq) AS is_correct,
+  max_by(struct_pack(l := correct_slug), seq).l AS correct_slug, count(*) FILTER (changed) AS label_revision,
+  max_by(before, seq) FILTER (changed AND before IS NOT NULL) AS retired_label, max(seq) AS seq
+FROM (SELECT *, lag(seq) OVER w IS NOT NULL AND correct_slug IS DISTINCT FROM lag(correct_slug) OVER w AS changed, lag(correct_slug) OVER w AS before
+  FROM votes WINDOW w AS (PARTITION BY job_id ORDER BY seq)) GROUP BY job_id
+""", ["votes"])
+def fold_votes(t: Tables):
+    # Replayed votes change nothing.
+    rows = O.fold_votes(t.votes.unionByName(t.votes))
+    return rows.select("job_id", (F.col("embedding_state") == "queued").alias("queued"), "is_correct", "correct_slug", "label_revision", "retired_label", "seq")
+
+
 @query("""
 SELECT job_id FROM (
   SELECT *, row_number() OVER (PARTITION BY done ORDER BY ts, job_id) AS oldest, count(*) OVER () AS n FROM (

@@ -1,47 +1,162 @@
+import random
+import time
+
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmatch.operators import feedback as O
+from shelfmatch.operators import windows as W
 from shelfmatch.sources import tables
 from shelfmatch.streaming import jobs as S
+from shelfmatch.streaming import state as K
 from tests.test_maintain import CATALOG, REFS, state, votes
 
 ROWS = [("a", True, "p", 1), ("b", False, None, 2), ("a", True, "p", 3), ("b", False, "x", 4), ("b", False, "y", 5), ("a", False, "z", 6)]
 
 
 def drain(query):
-    query.awaitTermination(120)
+    assert query.awaitTermination(120)
     assert query.exception() is None
 
 
-def test_vote_stream_agrees_with_batch_and_ignores_replays(spark, tmp_path):
-    source, out = str(tmp_path / "votes"), str(tmp_path / "check")
-    schema = votes(spark, ROWS[:1]).schema
-    seen = []
+@pytest.fixture(autouse=True)
+def one_partition(spark):
+    """Each state partition starts workers of its own; small streams need one."""
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def run_over(spark, folder, schema, work, mode, check, seen):
+    """One start of a stream over files, which ends when no file is left.
+
+    Timers of the clock ask for one more batch again and again, so a stream with them runs one.
+    """
+    ends = {"once": True} if mode == "append" else {"availableNow": True}
+    stream = work(spark.readStream.schema(schema).parquet(folder))
+    drain(stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: seen.extend(df.collect())).option(
+        "checkpointLocation", check).trigger(**ends).start())
+
+
+def test_vote_stream_agrees_with_batch_after_restarts_shuffles_and_replays(spark, tmp_path):
+    source, seen = str(tmp_path / "votes"), []
+    draw = random.Random(3)
+    rows = [(f"j{draw.randrange(4)}", draw.random() < 0.5, draw.choice(["p", "q", None]), n) for n in range(1, 61)]
+    parts = [rows[at : at + 20] for at in (0, 20, 40)]
+    for part in parts:
+        # Each start reads files in which votes are out of order, repeated, or came before.
+        mixed = part + draw.choices(rows[: part[-1][3]], k=15)
+        draw.shuffle(mixed)
+        votes(spark, mixed).coalesce(1).write.mode("append").parquet(source)
+        run_over(spark, source, votes(spark, ROWS[:1]).schema, K.feedback_stream, "update", str(tmp_path / "check"), seen)
+    last = {r.job_id: r for r in seen}
+    batch = {r.job_id: r for r in O.fold_votes(votes(spark, rows)).collect()}
+    assert {k: v.asDict() for k, v in last.items()} == {k: v.asDict() for k, v in batch.items()}
+    stored, _ = O.upsert_feedback(spark.createDataFrame([], O.FEEDBACK_SCHEMA), votes(spark, rows))
+    assert state(stored) == {k: (r.is_correct, r.correct_slug, r.review_status, r.embedding_state, r.label_revision) for k, r in last.items()}
+
+
+def test_settled_votes_leave_the_waiting_list(spark, tmp_path):
+    """With no lateness only the newest votes wait; late ones that were folded change nothing."""
+    source, seen = str(tmp_path / "votes"), []
+    for part in (ROWS[:2], ROWS[2:4], ROWS[:1] + ROWS[4:]):
+        votes(spark, part).coalesce(1).write.mode("append").parquet(source)
+        run_over(spark, source, votes(spark, ROWS[:1]).schema, lambda df: K.feedback_stream(df, "0 seconds"), "update", str(tmp_path / "check"), seen)
+    last = {r.job_id: (r.is_correct, r.correct_slug, r.label_revision, r.seq) for r in seen}
+    want = {r.job_id: (r.is_correct, r.correct_slug, r.label_revision, r.seq) for r in O.fold_votes(votes(spark, ROWS)).collect()}
+    assert last == want
+    state_rows = spark.read.format("statestore").option("stateVarName", "waiting").load(str(tmp_path / "check"))
+    assert state_rows.count() <= 2
+
 
-    def run():
-        stream = S.feedback_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source))
-        drain(stream.writeStream.outputMode("update").foreachBatch(
-            lambda df, _: seen.extend(df.collect())).option("checkpointLocation", out).trigger(availableNow=True).start())
+EVENTS = "job_id string, seq long, t long, stage string, progress double"
 
-    for part in (ROWS[:3], ROWS[3:5], ROWS[2:6]):
-        votes(spark, part).coalesce(1).write.mode("append").parquet(source)
-        run()
-    last = {r["job_id"]: (r["is_correct"], r["correct_slug"], r["review_status"], r["embedding_state"], r["label_revision"]) for r in seen}
-    batch, _ = O.upsert_feedback(spark.createDataFrame([], O.FEEDBACK_SCHEMA), votes(spark, ROWS))
-    assert last == state(batch)
-
-
-def test_job_states_and_sample_dedupe(spark, tmp_path):
-    rows = [("a", 1, 0, "prepare", 0.1), ("a", 2, 2, "search", 0.2), ("a", 3, 3, "early", 0.1), ("a", 4, 5, "done", 1.0), ("b", 5, 1, "failed", 0.0)]
-    df = spark.createDataFrame(rows, "job_id string, seq long, t long, stage string, progress double").withColumn("ts", F.timestamp_seconds("t")).drop("t")
-    source = str(tmp_path / "events")
-    df.coalesce(1).write.parquet(source)
-    seen = []
-    stream = S.job_state_stream(spark.readStream.schema(df.schema).parquet(source))
-    drain(stream.writeStream.outputMode("append").foreachBatch(lambda d, _: seen.extend(d.collect())).option(
-        "checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start())
-    a = [(r["state"], r["progress"], r["elapsed_ms"]) for r in seen if r["job_id"] == "a"]
-    assert a == [("processing", 0.1, 0), ("processing", 0.2, 2000), ("processing", 0.2, 3000), ("done", 1.0, 5000)]
+
+def job_events(spark, rows):
+    return spark.createDataFrame(rows, EVENTS).withColumn("ts", F.timestamp_seconds("t")).drop("t")
+
+
+def test_job_stream_agrees_with_batch_after_a_restart(spark, tmp_path):
+    draw = random.Random(5)
+    stages = ["queued", "prepare", "search", "rerank", "done", "failed"]
+    rows = [(f"j{draw.randrange(5)}", n, n // 2, draw.choices(stages, [1, 9, 9, 9, 1, 1])[0], draw.random()) for n in range(120)]
+    source, seen = str(tmp_path / "events"), []
+    for at in (0, 40, 80):
+        part = rows[at : at + 40]
+        draw.shuffle(part)
+        job_events(spark, part + part[:5]).coalesce(1).write.mode("append").parquet(source)
+        run_over(spark, source, job_events(spark, rows[:1]).schema, K.job_state_stream, "append", str(tmp_path / "check"), seen)
+    want = W.job_states(job_events(spark, rows)).collect()
+    assert sorted((r.asDict() for r in seen), key=str) == sorted((r.asDict() for r in want), key=str)
+
+
+def test_finished_jobs_expire_by_the_clock(spark, tmp_path):
+    source, seen = str(tmp_path / "events"), []
+    job_events(spark, [("a", 1, 0, "prepare", 0.1), ("a", 2, 2, "done", 1.0), ("b", 3, 1, "search", 0.4)]).coalesce(1).write.parquet(source)
+    schema = spark.read.parquet(source).schema
+    for again in (False, True):
+        if again:
+            time.sleep(2)
+            job_events(spark, [("b", 4, 9, "rerank", 0.6)]).coalesce(1).write.mode("append").parquet(source)
+        run_over(spark, source, schema, lambda df: K.job_state_stream(df, 1), "append", str(tmp_path / "check"), seen)
+    assert [(r.state, r.progress) for r in seen if r.job_id == "a"] == [("processing", 0.1), ("done", 1.0), ("expired", 1.0)]
+    assert [r.state for r in seen if r.job_id == "b"] == ["processing", "processing"]
+
+
+class Clock:
+    """State and clock of one key, as the state store gives them."""
+
+    def __init__(self):
+        self.values, self.now, self.timers = {}, 0, []
+
+    def getValueState(self, name, schema, ttl=None):
+        return Cell(self, name, ttl)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+class Cell:
+    def __init__(self, clock, name, ttl):
+        self.clock, self.name, self.ttl = clock, name, ttl
+
+    def exists(self):
+        found = self.clock.values.get(self.name)
+        return found is not None and (self.ttl is None or self.clock.now < found[1] + self.ttl)
+
+    def get(self):
+        return self.clock.values[self.name][0]
+
+    def update(self, value):
+        self.clock.values[self.name] = value, self.clock.now
+
+    def clear(self):
+        self.clock.values.pop(self.name, None)
+
+
+def test_a_mark_stays_behind_an_expired_job():
+    clock, job = Clock(), K.JobStates(1000)
+    job.init(clock)
+
+    def events(*rows):
+        frame = pd.DataFrame(rows, columns=["seq", "ts", "stage", "progress"]).assign(ts=lambda d: pd.to_datetime(d.ts, unit="s"))
+        return [r for part in job.handleInputRows(("a",), iter([frame]), clock) for r in part.to_dict("records")]
+
+    rows = [(1, 5, "prepare", 0.3), (2, 6, "done", 0.2), (3, 7, "search", 0.1)]
+    assert [(r["state"], r["progress"], r["elapsed_ms"]) for r in events(*rows)] == [("processing", 0.3, 0), ("done", 0.3, 1000), ("done", 0.3, 2000)]
+    assert clock.timers == [1000] and events(*rows) == []
+    clock.now = 1500
+    assert [r["state"] for part in job.handleExpiredTimer(("a",), clock, None) for r in part.to_dict("records")] == ["expired"]
+    assert events(*rows) == []  # replayed inside the time to live of the mark
+    clock.now = 2600
+    assert len(events(*rows)) == 3  # forgotten altogether
+
+
+def test_sample_dedupe(spark, tmp_path):
     photos = spark.createDataFrame([("h1", 1), ("h2", 2), ("h1", 3)], "image_sha256 string, n int")
     photos.coalesce(1).write.parquet(str(tmp_path / "photos"))
     kept = []
