@@ -22,34 +22,88 @@ def build_blocks(raw: DataFrame) -> DataFrame:
     return duplicate_blocks(reading_order(normal))
 
 
+GROUP = ["image_id", "normalized_text"]
+
+
 def duplicate_blocks(blocks: DataFrame, iou: float = BLOCK_IOU) -> DataFrame:
     """Drop blocks of equal text that overlap, keeping the more confident one in the first place.
 
     The rule depends on order, and a kept block may be replaced before the next one is compared. It
-    only ever compares equal texts of one photo, so (image, text) is the unit of work. Before a
-    group is folded, rows that cannot change the outcome are set aside:
+    only ever compares blocks of equal text in one photo that overlap, so the unit of work is a
+    connected group of overlapping boxes, found by a sweep down and a sweep across (``connected_runs``):
 
-    * A box without area overlaps nothing, not even its copies: it always stays. Only the first of
-      them matters to others, since a block without a box joins the first kept block.
-    * Blocks without a box come last and match the first kept block, so the most confident of them,
-      first on ties, stands for all.
+    * Equal boxes that follow each other act as the most confident of them in the first one's place.
+    * A box without area overlaps nothing, not even its copies: it always stays.
+    * Blocks without a box come last and match the first block kept, so the most confident of them,
+      first on ties, stands for all and meets that block alone.
     """
     columns = blocks.columns
-    group = ["image_id", "normalized_text"]
     width, height = F.col("box.max_x") - F.col("box.min_x"), F.col("box.max_y") - F.col("box.min_y")
-    flat = F.col("box").isNotNull() & ~F.coalesce((width > 0) & (height > 0), F.lit(False))
-    first_flat = F.min(F.when(flat, F.col("pos"))).over(Window.partitionBy(*group))
-    marked = blocks.withColumn("__flat", flat).withColumn("__first_flat", first_flat)
-    aside = F.col("__flat") & (F.col("pos") != F.col("__first_flat"))
-    best = F.min_by(F.struct(*columns), F.struct(-F.coalesce("confidence", F.lit(-1.0)), F.col("pos")))
-    unboxed = blocks.where("box is null").groupBy(*group).agg(best.alias("row"), F.min("pos").alias("first_pos"))
-    work = marked.where(F.col("box").isNotNull() & ~aside).select(F.col("pos").alias("first_pos"), *columns)
-    folded = _fold(work.unionByName(unboxed.select("first_pos", "row.*")), group, iou).select(*columns)
-    return folded.unionByName(marked.where(aside).select(*columns))
-
-
-def _fold(work: DataFrame, group: list[str], iou: float) -> DataFrame:
-    rows = F.sort_array(F.collect_list(F.struct(*work.columns)))
+    area = F.coalesce((width > 0) & (height > 0), F.lit(False))
+    sure = -F.coalesce("confidence", F.lit(-1.0))
+    best = F.min_by(F.struct(*columns), F.struct(sure, F.col("pos")))
+
+    boxed = blocks.where(area)
+    corner = [*GROUP, "__x", "__y"]
+    cornered = boxed.withColumns({"__x": F.col("box.min_x"), "__y": F.col("box.min_y")})
+    corners = cornered.groupBy(*corner).agg(
+        best.alias("row"), F.min("pos").alias("first_pos"), (F.min("box") == F.max("box")).alias("__one"))
+    alike = corners.where("__one").select("first_pos", "row.*")
+    named = corners.where(~F.col("__one")).select(*[F.col(c).alias(f"{c}_c") for c in corner])
+    mixed = cornered.join(named, _same(corner, "_c"), "left_semi").select(F.col("pos").alias("first_pos"), *columns)
+    work = alike.unionByName(mixed)
+    down = connected_runs(work, GROUP, F.col("box.min_y"), F.col("box.max_y"), F.floor(F.col("box.min_y") / 256), "__down")
+    runs = connected_runs(down, [*GROUP, "__down"], F.col("box.min_x"), F.col("box.max_x"), F.floor(F.col("box.min_x") / 256), "__across")
+    folded = _fold(runs, [*GROUP, "__down", "__across"], ["first_pos", *columns], iou)
+
+    flat = blocks.where(F.col("box").isNotNull() & ~area).select(F.col("pos").alias("first_pos"), *columns)
+    kept = folded.unionByName(flat)
+    unboxed = blocks.where("box is null").groupBy(*GROUP).agg(best.alias("__row"), F.min("pos").alias("__pos"))
+    ahead = kept.groupBy(*[F.col(c).alias(f"{c}_k") for c in GROUP]).agg(F.min("first_pos").alias("__first"))
+    last = unboxed.join(ahead, _same(GROUP, "_k"), "left")
+    meets = last.where("__first is not null").select(*[F.col(c).alias(f"{c}_m") for c in GROUP], "__row", "__first")
+    better = F.coalesce(F.coalesce("__row.confidence", F.lit(-1.0)) > F.coalesce("confidence", F.lit(-1.0)), F.lit(False))
+    met = kept.join(meets, _same(GROUP, "_m") & (F.col("first_pos") == F.col("__first")), "left")
+    whole = met.select(F.when(F.col("__row").isNotNull() & better, F.col("__row")).otherwise(F.struct(*columns)).alias("r")).select("r.*")
+    return whole.unionByName(last.where("__first is null").select("__row.*").select(*columns))
+
+
+def _same(columns: list[str], suffix: str) -> Column:
+    both = F.lit(True)
+    for c in columns:
+        both = both & F.col(c).eqNullSafe(F.col(f"{c}{suffix}"))
+    return both
+
+
+def connected_runs(df: DataFrame, keys: list[str], low: Column, high: Column, band: Column, name: str) -> DataFrame:
+    """``df`` with the first (low, pos) of the run of touching intervals that each row belongs to.
+
+    A sweep by (low, pos) begins a new run where an interval starts at or after the end of all before
+    it. ``band`` never falls as ``low`` rises: a sweep is one window per band of a key, and what
+    earlier bands reach is carried over from one row a band.
+    """
+    given = df.columns
+    swept = df.withColumns({"__low": low, "__high": high, "__band": band, "__at": F.struct(low.alias("low"), F.col("pos").alias("pos"))})
+    within = Window.partitionBy(*keys, "__band").orderBy("__at")
+    swept = _with_carried(swept, keys, F.max("__high"), F.max("__high").over(within.rowsBetween(Window.unboundedPreceding, -1)), "__reach")
+    begins = F.when(F.col("__reach").isNull() | (F.col("__low") >= F.col("__reach")), F.col("__at"))
+    swept = swept.withColumn("__begins", begins)
+    swept = _with_carried(swept, keys, F.max("__begins"), F.max("__begins").over(within.rowsBetween(Window.unboundedPreceding, 0)), name)
+    return swept.select(*given, name)
+
+
+def _with_carried(df: DataFrame, keys: list[str], whole: Column, local: Column, name: str) -> DataFrame:
+    """The larger of a running value inside a band and the same of all bands before it."""
+    group = [*keys, "__band"]
+    before = Window.partitionBy(*keys).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = df.groupBy(*group).agg(whole.alias("__all")).withColumn("__carried", F.max("__all").over(before)).select(
+        *[F.col(k).alias(f"{k}_b") for k in group], "__carried")
+    joined = df.withColumn("__local", local).join(bands, _same(group, "_b"), "left")
+    return joined.select(*df.columns, F.greatest("__local", "__carried").alias(name))
+
+
+def _fold(work: DataFrame, group: list[str], columns: list[str], iou: float) -> DataFrame:
+    rows = F.sort_array(F.collect_list(F.struct(*columns)))
     grouped = work.groupBy(*group).agg(rows.alias("rows"))
     folded = F.when(F.size("rows") == 1, F.col("rows")).otherwise(
         F.aggregate(F.slice("rows", 2, F.size("rows")), F.slice("rows", 1, 1), lambda kept, row: _place(kept, row, iou)))
@@ -58,7 +112,7 @@ def _fold(work: DataFrame, group: list[str], iou: float) -> DataFrame:
 
 def _place(kept: Column, row: Column, iou: float) -> Column:
     """The kept blocks after one more block of the same text."""
-    matches = F.transform(kept, lambda k: k["box"].isNull() | row["box"].isNull() | (N.box_iou(k["box"], row["box"]) >= iou))
+    matches = F.transform(kept, lambda k: N.box_iou(k["box"], row["box"]) >= iou)
     place = F.array_position(matches, True)
     sure = lambda r: F.coalesce(r["confidence"], F.lit(-1.0))
     replaced = F.transform(kept, lambda k, i: F.when(

@@ -176,7 +176,23 @@ def reading_order(t: Tables):
     return R.reading_order(blocks).select("image_id", F.col("block").alias("pos"), F.col("pos").alias("place"))
 
 
-@query()
+# One list per text of a photo, folded in reading order; e is a kept block, r the next one.
+IOU = """
+CASE WHEN e.x1 IS NULL OR r.x1 IS NULL THEN 1 WHEN least(e.x2, r.x2) > greatest(e.x1, r.x1) AND least(e.y2, r.y2) > greatest(e.y1, r.y1) THEN
+  (least(e.x2, r.x2) - greatest(e.x1, r.x1)) * (least(e.y2, r.y2) - greatest(e.y1, r.y1)) / ((e.x2 - e.x1) * (e.y2 - e.y1) + (r.x2 - r.x1) * (r.y2 - r.y1)
+    - (least(e.x2, r.x2) - greatest(e.x1, r.x1)) * (least(e.y2, r.y2) - greatest(e.y1, r.y1))) ELSE 0 END
+"""
+
+
+@query(f"""
+SELECT image_id, normalized_text, k.pos AS pos, k.c AS confidence FROM (
+  SELECT image_id, normalized_text, unnest(list_reduce(list_transform(rows, lambda r: [r]), lambda kept, x:
+    CASE WHEN NOT list_bool_or(list_transform(kept, lambda e: list_transform(x, lambda r: {IOU} >= 0.6)[1])) THEN list_concat(kept, x)
+    ELSE list_transform(kept, lambda e, i: CASE WHEN i = list_position(list_transform(kept, lambda e: list_transform(x, lambda r: {IOU} >= 0.6)[1]), true)
+      AND coalesce(x[1].c, -1) > coalesce(e.c, -1) THEN x[1] ELSE e END) END)) AS k
+  FROM (SELECT image_id, normalized_text, list(struct_pack(pos := pos, c := confidence, x1 := min_x, y1 := min_y, x2 := max_x, y2 := max_y)
+      ORDER BY min_y NULLS LAST, min_x NULLS LAST, pos) AS rows FROM label_blocks GROUP BY ALL))
+""", ["label_blocks"])
 def duplicate_blocks(t: Tables):
     blocks = t.label_blocks.withColumn("block", F.col("pos")).drop("pos")
     kept = B.duplicate_blocks(R.reading_order(blocks))

@@ -43,7 +43,7 @@ def canonical(frame):
 
 def without_sql() -> set[str]:
     """Queries that SQL cannot state; other tests hold them against brute force."""
-    listed = {"duplicate_blocks", "publish_feedback_references"}
+    listed = {"publish_feedback_references"}
     try:
         from tests.llm.listed import WITHOUT_SQL
     except ModuleNotFoundError:

@@ -50,6 +50,25 @@ def test_duplicate_blocks_matches_sequential_rule(spark):
     assert got == want
 
 
+def test_a_hundred_thousand_equal_boxes_are_one(spark):
+    box = F.struct(*[F.lit(v).alias(n) for v, n in ((0.0, "min_x"), (0.0, "min_y"), (9.0, "max_x"), (9.0, "max_y"))])
+    rows = spark.range(1, 100_001).select(
+        F.lit(1).alias("image_id"), F.lit("a").alias("normalized_text"), (F.col("id") % 1000 / 1000).alias("confidence"), box.alias("box"), F.col("id").alias("pos"))
+    assert [(r.pos, r.confidence) for r in B.duplicate_blocks(rows).collect()] == [(999, 0.999)]
+
+
+def test_runs_cross_bands(spark):
+    """Touching rows chain over many bands; a gap begins a new run."""
+    rows = [(1, float(y), y + (300.0 if y < 2000 or y > 2400 else 50.0), y) for y in range(0, 4000, 200)]
+    df = spark.createDataFrame(rows, "k int, low double, high double, pos long")
+    runs = B.connected_runs(df, ["k"], F.col("low"), F.col("high"), F.floor(F.col("low") / 256), "run")
+    found, reach, want = {r.pos: r.run.pos for r in runs.collect()}, -1.0, {}
+    for _, low, high, pos in rows:
+        start = pos if low >= reach else start  # noqa: F821
+        reach, want[pos] = max(reach, high), start
+    assert found == want and len(set(want.values())) > 1
+
+
 def test_boxes_without_area_all_stay_whatever_their_number(spark):
     for n in (64, 65, 1000):
         flat = [(1, "a", 0.5, (3.0, 3.0, 3.0, 9.0), i) for i in range(1, n + 1)]
