@@ -51,13 +51,18 @@ def duplicate_blocks(blocks: DataFrame, iou: float = BLOCK_IOU) -> DataFrame:
     alike = corners.where("__one").select("first_pos", "row.*")
     named = corners.where(~F.col("__one")).select(*[F.col(c).alias(f"{c}_c") for c in corner])
     mixed = cornered.join(named, _same(corner, "_c"), "left_semi").select(F.col("pos").alias("first_pos"), *columns)
-    work = alike.unionByName(mixed)
+    every = alike.unionByName(mixed)
+    # A block alone with its text has nothing to meet.
+    counted = every.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct("first_pos", *columns)).alias("row"))
+    alone = counted.where("__n = 1").select("row.*")
+    several = counted.where("__n > 1").select(*[F.col(c).alias(f"{c}_n") for c in GROUP])
+    work = every.join(several, _same(GROUP, "_n"), "left_semi")
     down = connected_runs(work, GROUP, F.col("box.min_y"), F.col("box.max_y"), F.floor(F.col("box.min_y") / 256), "__down")
     runs = connected_runs(down, [*GROUP, "__down"], F.col("box.min_x"), F.col("box.max_x"), F.floor(F.col("box.min_x") / 256), "__across")
     folded = _fold(runs, [*GROUP, "__down", "__across"], ["first_pos", *columns], iou)
 
     flat = blocks.where(F.col("box").isNotNull() & ~area).select(F.col("pos").alias("first_pos"), *columns)
-    kept = folded.unionByName(flat)
+    kept = folded.unionByName(alone).unionByName(flat)
     unboxed = blocks.where("box is null").groupBy(*GROUP).agg(best.alias("__row"), F.min("pos").alias("__pos"))
     ahead = kept.groupBy(*[F.col(c).alias(f"{c}_k") for c in GROUP]).agg(F.min("first_pos").alias("__first"))
     last = unboxed.join(ahead, _same(GROUP, "_k"), "left")

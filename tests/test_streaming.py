@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from shelfmatch.operators import feedback as O
 from shelfmatch.operators import windows as W
 from shelfmatch.sources import tables
+from shelfmatch.sources.buckets import bucket_of, create_buckets, read_buckets, replace_buckets
 from shelfmatch.streaming import jobs as S
 from shelfmatch.streaming import state as K
-from tests.test_maintain import CATALOG, REFS, state, votes
+from tests.test_maintain import state, votes
 
 ROWS = [("a", True, "p", 1), ("b", False, None, 2), ("a", True, "p", 3), ("b", False, "x", 4), ("b", False, "y", 5), ("a", False, "z", 6)]
 
@@ -166,18 +167,20 @@ def test_sample_dedupe(spark, tmp_path):
     assert sorted(r["image_sha256"] for r in kept) == ["h1", "h2"]
 
 
-def test_index_feedback_stream(spark, tmp_path):
-    root = str(tmp_path / "tables")
-    feedback, _ = O.upsert_feedback(spark.createDataFrame([], O.FEEDBACK_SCHEMA), votes(spark, [("a", False, "x", 1), ("b", False, "nope", 2)]))
-    tables.write_table(feedback, root, "feedback")
-    tables.write_table(spark.createDataFrame([], REFS), root, "references")
-    catalog = spark.createDataFrame([], CATALOG)
-    row = spark.range(1).select(*[(F.lit(3).cast("long") if c.name == "id" else F.lit("x") if c.name == "slug" else F.lit(None).cast(c.dataType)).alias(c.name) for c in catalog.schema])
-    tables.write_table(row, root, "catalog")
-    wake = str(tmp_path / "wake")
-    spark.createDataFrame([("a",)], "job_id string").write.parquet(wake)
-    embed = lambda q: q.select("job_id", "label_revision", F.md5("image_sha256").alias("digest"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding"),
-                               F.lit("m").alias("model_name"), F.lit(None).cast("string").alias("error"))
+def test_index_feedback_stream_rewrites_only_touched_buckets(spark, tmp_path):
+    """Ten queued votes in passes of three: one model call a row, and other buckets keep their files."""
+    store = S.FeedbackTables(str(tmp_path / "tables"), 16)
+    rows = [(f"j{n}", False, "nope" if n == 4 else "x", n + 1) for n in range(10)]
+    queued, _ = O.upsert_feedback(spark.createDataFrame([], O.FEEDBACK_SCHEMA), votes(spark, rows))
+    idle = queued.limit(0).unionByName(votes(spark, [(f"old{n}", True, "p", 1) for n in range(40)]).select(
+        "job_id", "image_sha256", "predicted_slug", "is_correct", "correct_slug", F.lit("approved").alias("review_status"), F.lit("ready").alias("embedding_state"),
+        F.lit(None).cast("string").alias("embedding_error"), F.concat(F.lit("/data/reference/feedback/1/"), "job_id").alias("reference_uri"),
+        F.col("correct_slug").alias("indexed_slug"), F.lit(0).alias("label_revision"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at")))
+    old = idle.select(
+        F.expr("row_number() over (order by job_id)").cast("long").alias("id"), F.lit("1").alias("item_id"), F.lit("p").alias("slug"), F.col("reference_uri").alias("image_uri"),
+        F.lit("m").alias("model_name"), F.array(F.lit(2.0)).cast("array<float>").alias("embedding"), "created_at", "updated_at")
+    store.create(queued.unionByName(idle).coalesce(1), old.coalesce(1))
+    catalog = spark.createDataFrame([(3, "x"), (1, "p")], "id long, slug string")
     calls = tmp_path / "calls"
 
     def noted(batches):
@@ -186,13 +189,34 @@ def test_index_feedback_stream(spark, tmp_path):
                 log.write("x" * len(batch))
             yield batch
 
-    counting = lambda q: embed(q.mapInPandas(noted, q.schema))
-    stream = spark.readStream.schema("job_id string").parquet(wake)
-    drain(S.index_feedback_stream(stream, root, str(tmp_path / "check"), counting, "m", 1))
-    assert calls.read_text() == "xx"
-    got = {r["job_id"]: r["embedding_state"] for r in tables.read_table(spark, root, "feedback").collect()}
-    assert got == {"a": "ready", "b": "failed"}
-    assert tables.read_table(spark, root, "references").first()["item_id"] == "3"
+    embed = lambda q: q.mapInPandas(noted, q.schema).select(
+        "job_id", "label_revision", F.md5("image_sha256").alias("digest"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding"),
+        F.lit("m").alias("model_name"), F.lit(None).cast("string").alias("error"))
+    files = lambda name: {str(f) for f in (tmp_path / "tables" / name).rglob("*.parquet")}
+    before = {name: files(name) for name in ("feedback", "references")}
+    wake = str(tmp_path / "wake")
+    spark.createDataFrame([("j0",)], "job_id string").write.parquet(wake)
+    drain(S.index_feedback_stream(
+        spark.readStream.schema("job_id string").parquet(wake), store, lambda _: catalog, str(tmp_path / "check"), embed, "m", 1, rows=4, every=None))
+    assert calls.read_text() == "x" * 10
+    got = {r.job_id: r.embedding_state for r in store.feedback(spark).collect()}
+    assert got == {f"j{n}": "failed" if n == 4 else "ready" for n in range(10)} | {f"old{n}": "ready" for n in range(40)}
+    added = store.references(spark).where("slug = 'x'")
+    assert added.count() == 9 and {r.item_id for r in added.collect()} == {"3"} and store.references(spark).count() == 49
+    hit = {r[0] for r in spark.createDataFrame([(r[0],) for r in rows], "k string").select(bucket_of("k", 16)).collect()}
+    changed = {int(f.split("bucket=")[1].split("/")[0]) for f in before["feedback"] ^ files("feedback")}
+    assert changed == hit and before["feedback"] & files("feedback")
+    assert before["references"] & files("references")
+
+
+def test_emptied_buckets_lose_their_folder(spark, tmp_path):
+    root = str(tmp_path)
+    df = spark.range(20).select("id", F.col("id").cast("string").alias("k"))
+    create_buckets(df, root, "t", "k", 4)
+    gone = df.where(bucket_of("k", 4) != 2)
+    replace_buckets(gone, spark.createDataFrame([(2,)], "bucket int"), root, "t", "k", 4)
+    assert {r.id for r in read_buckets(spark, root, "t", "id long, k string").collect()} == {r.id for r in gone.collect()}
+    assert not list(tmp_path.glob("t/bucket=2"))
 
 
 def test_versions_are_claimed_by_one_writer(spark, tmp_path):
