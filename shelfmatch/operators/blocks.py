@@ -38,6 +38,8 @@ def duplicate_blocks(blocks: DataFrame, iou: float = BLOCK_IOU) -> DataFrame:
       first on ties, stands for all and meets that block alone.
     """
     columns = blocks.columns
+    # Several branches read the blocks, what is left of them, and every step of a sweep.
+    blocks = cut_lineage(blocks)
     width, height = F.col("box.max_x") - F.col("box.min_x"), F.col("box.max_y") - F.col("box.min_y")
     area = F.coalesce((width > 0) & (height > 0), F.lit(False))
     sure = -F.coalesce("confidence", F.lit(-1.0))
@@ -51,18 +53,18 @@ def duplicate_blocks(blocks: DataFrame, iou: float = BLOCK_IOU) -> DataFrame:
     alike = corners.where("__one").select("first_pos", "row.*")
     named = corners.where(~F.col("__one")).select(*[F.col(c).alias(f"{c}_c") for c in corner])
     mixed = cornered.join(named, _same(corner, "_c"), "left_semi").select(F.col("pos").alias("first_pos"), *columns)
-    every = alike.unionByName(mixed)
+    every = cut_lineage(alike.unionByName(mixed))
     # A block alone with its text has nothing to meet.
     counted = every.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct("first_pos", *columns)).alias("row"))
     alone = counted.where("__n = 1").select("row.*")
     several = counted.where("__n > 1").select(*[F.col(c).alias(f"{c}_n") for c in GROUP])
-    work = every.join(several, _same(GROUP, "_n"), "left_semi")
+    work = cut_lineage(every.join(several, _same(GROUP, "_n"), "left_semi"))
     down = connected_runs(work, GROUP, F.col("box.min_y"), F.col("box.max_y"), F.floor(F.col("box.min_y") / 256), "__down")
     runs = connected_runs(down, [*GROUP, "__down"], F.col("box.min_x"), F.col("box.max_x"), F.floor(F.col("box.min_x") / 256), "__across")
     folded = _fold(runs, [*GROUP, "__down", "__across"], ["first_pos", *columns], iou)
 
     flat = blocks.where(F.col("box").isNotNull() & ~area).select(F.col("pos").alias("first_pos"), *columns)
-    kept = folded.unionByName(alone).unionByName(flat)
+    kept = cut_lineage(folded.unionByName(alone).unionByName(flat))
     unboxed = blocks.where("box is null").groupBy(*GROUP).agg(best.alias("__row"), F.min("pos").alias("__pos"))
     ahead = kept.groupBy(*[F.col(c).alias(f"{c}_k") for c in GROUP]).agg(F.min("first_pos").alias("__first"))
     last = unboxed.join(ahead, _same(GROUP, "_k"), "left")
@@ -92,9 +94,9 @@ def connected_runs(df: DataFrame, keys: list[str], low: Column, high: Column, ba
     within = Window.partitionBy(*keys, "__band").orderBy("__at")
     swept = _with_carried(swept, keys, F.max("__high"), F.max("__high").over(within.rowsBetween(Window.unboundedPreceding, -1)), "__reach")
     begins = F.when(F.col("__reach").isNull() | (F.col("__low") >= F.col("__reach")), F.col("__at"))
-    swept = swept.withColumn("__begins", begins)
+    swept = cut_lineage(swept.withColumn("__begins", begins))
     swept = _with_carried(swept, keys, F.max("__begins"), F.max("__begins").over(within.rowsBetween(Window.unboundedPreceding, 0)), name)
-    return swept.select(*given, name)
+    return cut_lineage(swept.select(*given, name))
 
 
 def _with_carried(df: DataFrame, keys: list[str], whole: Column, local: Column, name: str) -> DataFrame:

@@ -43,6 +43,59 @@ def _smallest(values: np.ndarray, tie: np.ndarray, k: int) -> tuple[np.ndarray,
     return rows[keep], cols[keep]
 
 
+def _tiles(right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Pivots among the references, the pivot of each reference, and the widest angle around each.
+
+    None where tiles of a few times ``k`` references would be too few to leave any out.
+    """
+    count = min(int(len(right) ** 0.5), len(right) // (4 * k))
+    if count < 4:
+        return None
+    pivots = right[np.linspace(0, len(right) - 1, count).astype(int)]
+    angles = np.arccos(np.clip(right @ pivots.T, -1, 1))
+    home = angles.argmin(axis=1)
+    radius = np.zeros(count)
+    np.maximum.at(radius, home, angles[np.arange(len(right)), home])
+    return pivots, home, radius
+
+
+def _distances(left: np.ndarray, right: np.ndarray, k: int, tiles, starts: np.ndarray | None) -> tuple[np.ndarray, int]:
+    """Cosine distances that can be among a query's ``k`` best, infinity for others; how many were multiplied.
+
+    Angles between unit vectors obey the triangle inequality: no reference of a tile is nearer to a
+    query than their pivot's angle less the tile's radius. After its two nearest tiles a query knows
+    ``k`` distances (of groups, where ``starts`` cuts references into groups); tiles that cannot beat the
+    k-th of them are left out, so the result is exact.
+    """
+    if tiles is None:
+        return np.round(1.0 - left @ right.T, TIE_DIGITS), len(left) * len(right)
+    pivots, home, radius = tiles
+    members = [np.flatnonzero(home == t) for t in range(len(pivots))]
+    dist, multiplied = np.full((len(left), len(right)), np.inf), 0
+    angle = np.arccos(np.clip(left @ pivots.T, -1, 1))
+    near = np.argsort(angle, axis=1, kind="stable")[:, :2]
+    least = 1.0 - np.cos(np.maximum(angle - radius - 1e-6, 0.0))
+    todo = np.zeros(angle.shape, bool)
+    todo[np.arange(len(left))[:, None], near] = True
+    for again in (False, True):
+        if again:
+            best = dist if starts is None else np.minimum.reduceat(dist, starts, axis=1)
+            bound = np.partition(best, k - 1, axis=1)[:, k - 1] if best.shape[1] >= k else np.full(len(left), np.inf)
+            todo = ~todo & (least <= bound[:, None] + 1e-9)
+        for tile in np.flatnonzero(todo.any(axis=0)):
+            rows, cols = np.flatnonzero(todo[:, tile]), members[tile]
+            dist[np.ix_(rows, cols)] = np.round(1.0 - left[rows] @ right[cols].T, TIE_DIGITS)
+            multiplied += len(rows) * len(cols)
+    return dist, multiplied
+
+
+def _first_in_groups(dist: np.ndarray, best: np.ndarray, starts: np.ndarray, rows: np.ndarray, segs: np.ndarray) -> np.ndarray:
+    """Column of the first of each group's smallest distances, for the chosen rows and groups."""
+    sizes = np.diff(np.r_[starts, dist.shape[1]])
+    at = np.where(dist == np.repeat(best, sizes, axis=1), np.arange(dist.shape[1]), dist.shape[1])
+    return np.minimum.reduceat(at, starts, axis=1)[rows, segs]
+
+
 def _cell_function(query_cols, ref_cols, k, group, tie_on_group):
     def cell(queries: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or refs.empty:
@@ -54,23 +107,20 @@ def _cell_function(query_cols, ref_cols, k, group, tie_on_group):
         if group is not None:
             codes = pd.factorize(refs[group])[0]
             starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-            ends = np.r_[starts[1:], len(refs)]
         step = max(1, 8_000_000 // len(refs))
+        tiles = _tiles(right, k) if len(left) > 2 * len(right) ** 0.5 else None
         picked_q, picked_r, picked_d = [], [], []
         for begin in range(0, len(left), step):
-            dist = np.round(1.0 - left[begin : begin + step] @ right.T, TIE_DIGITS)
+            dist, _ = _distances(left[begin : begin + step], right, k, tiles, None if group is None else starts)
             if group is None:
                 rows, cols = _smallest(dist, tie, k)
             else:
                 best = np.minimum.reduceat(dist, starts, axis=1)
                 if tie_on_group:
                     rows, segs = _smallest(best, np.arange(len(starts)), k)
-                    cols = np.array(
-                        [s + np.argmin(dist[r, s:e]) for r, s, e in zip(rows, starts[segs], ends[segs])],
-                        dtype=np.int64,
-                    )
+                    cols = _first_in_groups(dist, best, starts, rows, segs)
                 else:
-                    rows, cols = _smallest_of_groups(dist, best, starts, ends, tie, k)
+                    rows, cols = _smallest_of_groups(dist, best, starts, tie, k)
             picked_q.append(rows + begin)
             picked_r.append(cols)
             picked_d.append(dist[rows, cols])
@@ -83,16 +133,14 @@ def _cell_function(query_cols, ref_cols, k, group, tie_on_group):
     return cell
 
 
-def _smallest_of_groups(dist, best, starts, ends, tie, k):
+def _smallest_of_groups(dist, best, starts, tie, k):
     """As ``_smallest`` over groups, where equal groups are ordered by their winning row."""
     if best.shape[1] > k:
         limit = np.partition(best, k - 1, axis=1)[:, k - 1 : k]
         rows, segs = np.nonzero(best <= limit)
     else:
         rows, segs = np.nonzero(~np.isnan(best))
-    cols = np.array(
-        [s + np.argmin(dist[r, s:e]) for r, s, e in zip(rows, starts[segs], ends[segs])], dtype=np.int64
-    )
+    cols = _first_in_groups(dist, best, starts, rows, segs)
     order = np.lexsort((tie[cols], dist[rows, cols], rows))
     rows, cols = rows[order], cols[order]
     keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
@@ -100,13 +148,17 @@ def _smallest_of_groups(dist, best, starts, ends, tie, k):
 
 
 def _blocks(queries: DataFrame, refs: DataFrame, vector: str, block_bytes: int) -> tuple[int, int]:
-    """Number of query and reference blocks, from two row counts and one vector's width."""
+    """Number of query and reference blocks, from two row counts and one vector's width.
+
+    Cells have bounded bytes and work. Of the ways to cut so many, the one that copies fewest rows has
+    blocks in the ratio of the two row counts.
+    """
     n_q, n_r = queries.count(), refs.count()
     widest = refs.select(F.size(vector).alias("n")).where("n > 0").first()
     dim = widest["n"] if widest else 1
-    q_blocks = max(1, -(-n_q * dim * 8 // block_bytes))
-    by_work = -(-n_q * n_r * dim // int(CELL_MULTIPLIES * q_blocks))
-    return q_blocks, max(1, -(-n_r * dim * 8 // block_bytes), by_work)
+    cells = max(1, -(-n_q * n_r * dim // int(CELL_MULTIPLIES)))
+    r_blocks = max(1, -(-n_r * dim * 8 // block_bytes), min(cells, round((cells * n_r / max(n_q, 1)) ** 0.5)))
+    return max(1, -(-n_q * dim * 8 // block_bytes), -(-cells // r_blocks)), r_blocks
 
 
 def _usable(vector: str) -> Column:

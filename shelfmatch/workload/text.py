@@ -11,6 +11,7 @@ from shelfmatch.operators import blocks as B
 from shelfmatch.operators import joins as J
 from shelfmatch.operators import ranking as R
 from shelfmatch.operators import windows as W
+from shelfmatch.operators.phrases import phrases_in_texts
 from shelfmatch.plans import evaluation as E
 from shelfmatch.sources import reports
 from shelfmatch.workload.base import Tables, query, rounded
@@ -108,19 +109,28 @@ SELECT doc_id, item_id FROM (WITH c AS MATERIALIZED (
   SELECT * FROM c WHERE regexp_matches(n, '(^|[^\\pL\\pN_])' || regexp_escape(p) || '($|[^\\pL\\pN_])'))
 """)
 def contains_phrase(t: Tables):
-    """Documents holding a whole benchmark text as a phrase.
-
-    Documents and phrases meet on the longest word of the phrase; only documents that hold it are
-    read again for the whole test.
-    """
-    words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    phrases = t.benchmark.select("item_id", X.normalize_text(F.col("text")).alias("p"))
-    longest = F.array_max(F.transform(words(F.col("p")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    texts = t.documents.select("doc_id", X.normalize_text(F.col("text")).alias("n"))
-    keyed = texts.select("doc_id", F.explode(F.array_distinct(words(F.col("n")))).alias("w"))
-    candidates = keyed.join(phrases.withColumn("w", longest), "w").select("doc_id", "item_id", "p")
-    return candidates.join(texts, "doc_id").where(
-        X.contains_phrase(F.col("n"), F.col("p"), normalized=True)).select("doc_id", "item_id")
+    """Documents holding a whole benchmark text as a phrase."""
+    return phrases_in_texts(
+        t.documents.select("doc_id", X.normalize_text(F.col("text")).alias("text")),
+        t.benchmark.select("item_id", X.normalize_text(F.col("text")).alias("phrase")))
+
+
+@query(r"""
+SELECT p_partkey, phrase FROM (
+  SELECT p_partkey, p_name, unnest(list_distinct(['- ' || split_part(p_name, ' ', 1), split_part(p_name, ' ', 2) || '!', '++', p_name, '& co.', split_part(p_name, ' ', 1) || ' -'])) AS phrase
+  FROM part) JOIN (SELECT p_partkey, '++ - ' || p_name || '! & co. ' || p_name || ' - x_' || p_name AS line FROM part) USING (p_partkey)
+WHERE regexp_matches(line, '(^|[^\pL\pN_])' || regexp_escape(phrase) || '($|[^\pL\pN_])')
+""")
+def marked_phrases(t: Tables):
+    """Phrases that begin or end with no word character, in lines of product names."""
+    first, second = (F.split_part("p_name", F.lit(" "), F.lit(n)) for n in (1, 2))
+    name = F.col("p_name")
+    own = F.array_distinct(F.array(
+        F.concat(F.lit("- "), first), F.concat(second, F.lit("!")), F.lit("++"), name, F.lit("& co."), F.concat(first, F.lit(" -"))))
+    phrases = t.part.select(F.explode(own).alias("phrase")).distinct()
+    lines = t.part.select("p_partkey", F.concat(F.lit("++ - "), name, F.lit("! & co. "), name, F.lit(" - x_"), name).alias("text"), own.alias("own"))
+    found = phrases_in_texts(lines, phrases.select("phrase", F.col("phrase").alias("same")), "p_partkey", "phrase", "text", "same")
+    return found.join(lines.select("p_partkey", "own"), "p_partkey").where(F.array_contains("own", F.col("phrase"))).select("p_partkey", "phrase")
 
 
 @query("""

@@ -98,3 +98,32 @@ def test_odd_vectors_meet_nothing_and_hide_nothing(spark):
     rows = lambda df, c: sorted((r["query_id"], r["rank"], r[c]) for r in df.collect())
     assert rows(knn.knn_items(asked, refs, 5), "item_id") == [(1, 1, "A"), (1, 2, "B"), (3, 1, "C")]
     assert rows(knn.knn_join(asked, refs, 2), "image_uri") == [(1, 1, "a1"), (1, 2, "b0"), (3, 1, "c0")]
+
+
+def test_tiles_that_cannot_win_are_not_multiplied():
+    """Clustered vectors: few cells are multiplied, and the best are those of the whole product."""
+    draw = np.random.default_rng(7)
+    centres = draw.normal(size=(30, 16))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    right = unit(centres[draw.integers(0, 30, 3000)] + 0.1 * draw.normal(size=(3000, 16)))
+    left = unit(centres[draw.integers(0, 30, 200)] + 0.1 * draw.normal(size=(200, 16)))
+    right[5:9] = right[4]
+    whole = np.round(1.0 - left @ right.T, knn.TIE_DIGITS)
+    dist, multiplied = knn._distances(left, right, 5, knn._tiles(right, 5), None)
+    assert multiplied < 0.5 * whole.size
+    tie = np.arange(3000)
+    assert all((a == b).all() for a, b in zip(knn._smallest(dist, tie, 5), knn._smallest(whole, tie, 5)))
+    codes = np.sort(draw.integers(0, 400, 3000))
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    dist, _ = knn._distances(left, right, 5, knn._tiles(right, 5), starts)
+    best, want = (np.minimum.reduceat(d, starts, axis=1) for d in (dist, whole))
+    picked, wanted = (knn._smallest_of_groups(d, b, starts, tie, 5) for d, b in ((dist, best), (whole, want)))
+    assert all((a == b).all() for a, b in zip(picked, wanted))
+
+
+def test_no_tile_is_left_out_of_vectors_without_clusters():
+    draw = np.random.default_rng(8)
+    right, left = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (draw.normal(size=(800, 64)), draw.normal(size=(90, 64))))
+    dist, _ = knn._distances(left, right, 3, knn._tiles(right, 3), None)
+    whole = np.round(1.0 - left @ right.T, knn.TIE_DIGITS)
+    assert all((a == b).all() for a, b in zip(knn._smallest(dist, np.arange(800), 3), knn._smallest(whole, np.arange(800), 3)))
