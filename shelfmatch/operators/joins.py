@@ -11,6 +11,7 @@ from shelfmatch import constants as K
 from shelfmatch.functions import text as X
 from shelfmatch.functions import vectors as N
 from shelfmatch.operators.windows import canonical_reference
+from shelfmatch.skew import top_per_key
 
 
 def feedback_with_samples(feedback: DataFrame, samples: DataFrame) -> DataFrame:
@@ -68,12 +69,15 @@ def rescue_candidates(visual: DataFrame, text: DataFrame, refs: DataFrame) -> Da
     """The visual shortlist followed by text hits it missed, each with its canonical reference.
 
     ``visual`` carries ``src_order`` from 1 and the query's model; rescued rows have no image score
-    and come after every visual row, best text first.
+    and come after every visual row, best text first. Of longer lists the first twenty visual rows and the
+    ten best text hits count, as in a search.
     """
     keys, per_query = ["query_id", "slug"], Window.partitionBy("query_id")
-    hits = text.select(*keys, F.col("score").alias("__text"))
+    visual = visual.where(F.col("src_order") <= K.SHORTLIST_LIMIT)
+    best = top_per_key(text.select(*keys, "score"), ["query_id"], [F.desc("score"), F.col("slug")], K.BRANCH_LIMIT)
+    hits = best.select(*keys, F.col("score").alias("__text"))
     both = visual.withColumn("__listed", F.lit(True)).join(hits, keys, "full")
-    # A shortlist holds at most twenty items and a text list ten, so a query's rows are bounded.
+    # So a query has thirty rows at most.
     both = both.withColumns({
         "__model": F.max("model_name").over(per_query), "__listed": F.col("__listed").isNotNull(),
     })

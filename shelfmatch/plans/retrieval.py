@@ -14,7 +14,7 @@ from shelfmatch.operators.joins import eval_queries_vs_index, references_by_item
 from shelfmatch.operators.knn import BLOCK_BYTES, knn_distinct_items, knn_items
 from shelfmatch.operators.ranking import rank_of_expected
 from shelfmatch.session import cut_lineage
-from shelfmatch.skew import rank_bounded
+from shelfmatch.skew import banded_rank
 
 
 def search_items(queries: DataFrame, refs: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -39,14 +39,15 @@ def verify_candidates(pairs: DataFrame) -> DataFrame:
     """Geometric score per requested item, best first, then request order.
 
     ``pairs``: query_id, item_id, request_order, image_uri, matches, inliers. Inconsistent counts
-    are dropped from scoring and show as ``invalid_pairs``.
+    are dropped from scoring and show as ``invalid_pairs``. A list of any length is numbered in bands of
+    its scores.
     """
     judged = pairs.withColumn("v", N.verify_decision(F.col("matches"), F.col("inliers")))
     scored = judged.groupBy("query_id", "item_id").agg(
         F.max(F.when(F.col("v.verified"), F.col("v.inlier_ratio")).otherwise(F.lit(0.0))).alias("score"),
         F.min("request_order").alias("request_order"), F.count_if(~F.col("v.valid")).alias("invalid_pairs"),
     )
-    return rank_bounded(scored, ["query_id"], [F.desc("score"), F.col("request_order")])
+    return banded_rank(scored, ["query_id"], [F.desc("score"), F.col("request_order")], F.floor((1 - F.col("score")) * 256))
 
 
 def candidate_pairs(shortlist: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmatch.functions import text as X
+from shelfmatch.sources.files import with_digests
 
 
 def _log(root: str, name: str) -> str:
@@ -95,13 +96,12 @@ def stage_summary(paths: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """(file, bytes, sha256) of every file below ``root``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """(file, bytes, sha256) of every file below ``root``; contents are read in ranges."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     base = root.rstrip("/") + "/"
-    plain = F.regexp_replace("path", "^file:/+", "/")
-    return files.select(
-        F.substr(plain, F.lit(len(base) + 1)).alias("file"), F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    return with_digests(files).select(
+        F.substr(plain(F.col("path")), F.length(plain(F.lit(base))) + 1).alias("file"), F.col("length").alias("bytes"), "sha256",
     )
 
 
