@@ -38,8 +38,10 @@ def duplicate_blocks(blocks: DataFrame, iou: float = BLOCK_IOU) -> DataFrame:
       first on ties, stands for all and meets that block alone.
     """
     columns = blocks.columns
-    # Several branches read the blocks, what is left of them, and every step of a sweep.
-    blocks = cut_lineage(blocks)
+    # A block alone with its text has nothing to meet. Several branches read the others, and every step of a sweep.
+    sizes = blocks.groupBy(*[F.col(c).alias(f"{c}_n") for c in GROUP]).agg((F.count(F.lit(1)) > 1).alias("__several"))
+    counted = cut_lineage(blocks.join(sizes, _same(GROUP, "_n")).select(*columns, "__several"))
+    lone, blocks = (counted.where(c).select(*columns) for c in (~F.col("__several"), F.col("__several")))
     width, height = F.col("box.max_x") - F.col("box.min_x"), F.col("box.max_y") - F.col("box.min_y")
     area = F.coalesce((width > 0) & (height > 0), F.lit(False))
     sure = -F.coalesce("confidence", F.lit(-1.0))
@@ -53,18 +55,13 @@ def duplicate_blocks(blocks: DataFrame, iou: float = BLOCK_IOU) -> DataFrame:
     alike = corners.where("__one").select("first_pos", "row.*")
     named = corners.where(~F.col("__one")).select(*[F.col(c).alias(f"{c}_c") for c in corner])
     mixed = cornered.join(named, _same(corner, "_c"), "left_semi").select(F.col("pos").alias("first_pos"), *columns)
-    every = cut_lineage(alike.unionByName(mixed))
-    # A block alone with its text has nothing to meet.
-    counted = every.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct("first_pos", *columns)).alias("row"))
-    alone = counted.where("__n = 1").select("row.*")
-    several = counted.where("__n > 1").select(*[F.col(c).alias(f"{c}_n") for c in GROUP])
-    work = cut_lineage(every.join(several, _same(GROUP, "_n"), "left_semi"))
+    work = cut_lineage(alike.unionByName(mixed))
     down = connected_runs(work, GROUP, F.col("box.min_y"), F.col("box.max_y"), F.floor(F.col("box.min_y") / 256), "__down")
     runs = connected_runs(down, [*GROUP, "__down"], F.col("box.min_x"), F.col("box.max_x"), F.floor(F.col("box.min_x") / 256), "__across")
     folded = _fold(runs, [*GROUP, "__down", "__across"], ["first_pos", *columns], iou)
 
     flat = blocks.where(F.col("box").isNotNull() & ~area).select(F.col("pos").alias("first_pos"), *columns)
-    kept = cut_lineage(folded.unionByName(alone).unionByName(flat))
+    kept = cut_lineage(folded.unionByName(flat))
     unboxed = blocks.where("box is null").groupBy(*GROUP).agg(best.alias("__row"), F.min("pos").alias("__pos"))
     ahead = kept.groupBy(*[F.col(c).alias(f"{c}_k") for c in GROUP]).agg(F.min("first_pos").alias("__first"))
     last = unboxed.join(ahead, _same(GROUP, "_k"), "left")
@@ -72,7 +69,7 @@ def duplicate_blocks(blocks: DataFrame, iou: float = BLOCK_IOU) -> DataFrame:
     better = F.coalesce(F.coalesce("__row.confidence", F.lit(-1.0)) > F.coalesce("confidence", F.lit(-1.0)), F.lit(False))
     met = kept.join(meets, _same(GROUP, "_m") & (F.col("first_pos") == F.col("__first")), "left")
     whole = met.select(F.when(F.col("__row").isNotNull() & better, F.col("__row")).otherwise(F.struct(*columns)).alias("r")).select("r.*")
-    return whole.unionByName(last.where("__first is null").select("__row.*").select(*columns))
+    return lone.unionByName(whole).unionByName(last.where("__first is null").select("__row.*").select(*columns))
 
 
 def _same(columns: list[str], suffix: str) -> Column:
