@@ -92,6 +92,22 @@ def apply_scrape_result(catalog: DataFrame, pages: DataFrame) -> DataFrame:
     }).select(*catalog.columns)
 
 
+def settle_scrapes(catalog: DataFrame, jobs: DataFrame, pages: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Catalog and job table after pages were read: photos set, and the jobs of their slugs done.
+
+    Both come from the same pages, so a writer that publishes the two together never shows one without
+    the other. ``jobs``: slug, status, attempts, last_error, processed_at, updated_at. A slug without a job
+    gets none, a job without a page stays as it is.
+    """
+    read = pages.select("slug", F.lit(True).alias("__read")).distinct()
+    done = F.col("__read").isNotNull()
+    settled = jobs.join(read, "slug", "left").withColumns({
+        "status": F.when(done, "succeeded").otherwise(F.col("status")), "last_error": F.when(~done, F.col("last_error")),
+        "processed_at": F.when(done, now).otherwise(F.col("processed_at")), "updated_at": F.when(done, now).otherwise(F.col("updated_at")),
+    }).select(*jobs.columns)
+    return apply_scrape_result(catalog, pages), settled
+
+
 def track_jobs(jobs: DataFrame, outcomes: DataFrame, keys: list[str]) -> DataFrame:
     """Merge attempts into the job table: attempts added up, last status, error cut and cleared.
 

@@ -199,11 +199,28 @@ FROM (SELECT *, CAST(substr(slug, 6) AS BIGINT) AS n FROM stored)
 """, ["stored"])
 def apply_scrape_result(t: Tables):
     """Pages found for half of the slugs; some confirm the stored photo."""
+    pages = _pages(t)
+    return M.apply_scrape_result(t.stored, pages).select("id", "web_photo", "web_photo_embedding_model")
+
+
+def _pages(t: Tables):
     number = F.substring("slug", 6, 20)
-    pages = t.stored.select("slug", number.alias("n")).distinct().where("cast(n as bigint) < 350").select(
+    return t.stored.select("slug", number.alias("n")).distinct().where("cast(n as bigint) < 350").select(
         "slug", F.concat("n", F.lit(".jpg")).alias("web_photo"),
         F.concat(F.lit("https://img.example.org/"), "n", F.lit(".jpg")).alias("web_photo_url"))
-    return M.apply_scrape_result(t.stored, pages).select("id", "web_photo", "web_photo_embedding_model")
+
+
+@query("""
+SELECT slug, CASE WHEN n < 350 THEN 'succeeded' ELSE status END AS status, 1 AS attempts,
+  CASE WHEN n >= 350 AND status = 'failed' THEN 'timeout' END AS last_error, CASE WHEN n < 350 THEN TIMESTAMP '2024-02-01' END AS processed_at
+FROM (SELECT *, CAST(substr(slug, 6) AS BIGINT) AS n FROM scrape_jobs)
+""", ["stored", "scrape_jobs"], big=["attempts"])
+def settle_scrapes(t: Tables):
+    """The jobs of half of the slugs, done together with their catalog rows."""
+    jobs = t.scrape_jobs.withColumns({
+        "last_error": F.when(F.col("status") == "failed", "timeout"), "processed_at": F.lit(None).cast("timestamp")})
+    _, settled = M.settle_scrapes(t.stored, jobs, _pages(t), F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    return settled.select("slug", "status", "attempts", "last_error", F.col("processed_at").cast("timestamp_ntz").alias("processed_at"))
 
 
 @query("""

@@ -180,7 +180,24 @@ def publish_feedback(t: Tables):
     return _publication(t)[0].select("job_id", "embedding_state", "review_status")
 
 
-@query()
+@query("""
+SELECT * FROM (WITH ready AS (SELECT image_sha256, min(correct_slug) AS lo, max(correct_slug) AS hi FROM feedback WHERE embedding_state = 'ready' AND correct_slug IS NOT NULL GROUP BY 1),
+item AS (SELECT correct_slug, CAST(min(CAST(job_id AS BIGINT)) AS VARCHAR) AS item_id FROM feedback WHERE correct_slug IS NOT NULL GROUP BY 1),
+u AS (SELECT f.*, item_id, user_id % 9 = 0 AS crashed, coalesce(lo <> f.correct_slug OR hi <> f.correct_slug, false) AS against
+  FROM feedback f LEFT JOIN ready USING (image_sha256) LEFT JOIN item USING (correct_slug) WHERE label_revision = 2),
+lead AS (SELECT image_sha256, arg_min(correct_slug, (updated_us, job_id)) AS leader FROM u WHERE NOT crashed AND correct_slug IS NOT NULL AND NOT against GROUP BY 1),
+j AS (SELECT u.job_id, u.correct_slug, item_id, reference_uri AS old_uri,
+    crashed OR (correct_slug IS NOT NULL AND (against OR correct_slug <> coalesce(leader, correct_slug))) AS fails,
+    CASE WHEN correct_slug IS NOT NULL THEN '/data/reference/feedback/' || item_id || '/' || md5(u.job_id) || '.png' END AS uri
+  FROM u LEFT JOIN lead USING (image_sha256)),
+stored AS (SELECT min(CAST(job_id AS BIGINT)) AS id, reference_uri AS image_uri FROM feedback WHERE reference_uri IS NOT NULL GROUP BY 2),
+merged AS (SELECT id, '0' AS item_id, 'slug-0' AS slug, image_uri FROM stored
+  UNION ALL SELECT (SELECT coalesce(max(id), 0) FROM stored) + row_number() OVER (ORDER BY md5(uri), uri), item_id, correct_slug, uri FROM j WHERE NOT fails AND uri IS NOT NULL),
+used AS (SELECT CASE WHEN j.job_id IS NOT NULL AND NOT fails THEN uri ELSE f.reference_uri END AS image_uri FROM feedback f LEFT JOIN j USING (job_id))
+SELECT * FROM merged m WHERE NOT (
+  EXISTS (SELECT 1 FROM j WHERE NOT fails AND old_uri = m.image_uri AND old_uri IS DISTINCT FROM uri AND starts_with(old_uri, '/data/reference/feedback/'))
+  AND NOT EXISTS (SELECT 1 FROM used WHERE used.image_uri = m.image_uri)))
+""", ["feedback"])
 def publish_feedback_references(t: Tables):
     return _publication(t)[1].select("id", "item_id", "slug", "image_uri")
 

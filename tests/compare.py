@@ -43,12 +43,11 @@ def canonical(frame):
 
 def without_sql() -> set[str]:
     """Queries that SQL cannot state; other tests hold them against brute force."""
-    listed = {"publish_feedback_references"}
     try:
         from tests.llm.listed import WITHOUT_SQL
     except ModuleNotFoundError:
-        return listed
-    return listed | WITHOUT_SQL
+        return set()
+    return WITHOUT_SQL
 
 
 def compare(spark, con, name, queries, oracle, root):
