@@ -264,6 +264,34 @@ def recognize_batch(
     return decisions, ranked
 
 
+def recognition_answers(decisions: DataFrame, cards: DataFrame, evidence: DataFrame, card_url: str, version: str) -> DataFrame:
+    """Whole answers of ``recognize_batch``: every column of its decisions and
+
+    * ``card``: all columns of the first candidate's card (one row per slug), and its address ``item_url``,
+    * ``weights``: what image and text counted, ``evidence``: what was read from the photo,
+    * ``pipeline_version``.
+
+    Cards meet decisions by slug and evidence by query, each once; a query without a candidate keeps
+    nulls.
+    """
+    by_slug = cards.select(F.col("slug").alias("__slug"), F.struct("*").alias("card"))
+    read = evidence.select(F.col("query_id").alias("__query"), F.struct(*[c for c in evidence.columns if c != "query_id"]).alias("evidence"))
+    address = F.concat(F.lit(card_url.rstrip("/") + "/"), _quoted(F.col("slug")))
+    joined = decisions.join(by_slug, F.col("slug") == F.col("__slug"), "left").join(read, F.col("query_id") == F.col("__query"), "left")
+    weights = F.struct(F.round(1 - F.col("text_weight"), 1).alias("visual"), F.col("text_weight").alias("text"))
+    return joined.select(
+        *decisions.columns, "card", address.alias("item_url"), F.when(F.col("text_weight").isNotNull(), weights).alias("weights"), "evidence",
+        F.lit(version).alias("pipeline_version"))
+
+
+def _quoted(c: Column) -> Column:
+    """Percent-encoded path part: letters, digits and ``-_.~`` stay."""
+    out = F.url_encode(c)
+    for found, wanted in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(found), F.lit(wanted))
+    return out
+
+
 def _item_lookup(cards: DataFrame, refs: DataFrame) -> DataFrame:
     """Card facts, producer words and the canonical reference per model of every slug."""
     canonical = canonical_reference(refs).groupBy("slug").agg(F.map_from_entries(F.collect_list(

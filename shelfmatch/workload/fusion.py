@@ -290,6 +290,24 @@ def recognize_batch(t: Tables):
         "query_id", "slug", "reason", "score", "status", "mode", "visual_count", "rescue_count", "geometry_count", "text_count"))
 
 
+@query(f"""
+SELECT o_orderkey AS query_id, d.slug, d.reason, k.card_id, k.name, k.winery, k.web_photo, k.vintage, '{CARD_URL}/' || d.slug AS item_url,
+  CASE WHEN d.slug IS NOT NULL THEN CASE WHEN coalesce(q.sufficient, false) THEN 0.7 ELSE 0.3 END END::DOUBLE AS text_weight,
+  CASE WHEN d.slug IS NOT NULL THEN CASE WHEN coalesce(q.sufficient, false) THEN 0.3 ELSE 0.7 END END::DOUBLE AS visual_weight,
+  e.text AS read_text, 'v1' AS pipeline_version
+FROM orders LEFT JOIN decided d ON d.query_id = o_orderkey LEFT JOIN cards k ON k.slug = d.slug LEFT JOIN quality q ON q.query_id = d.query_id
+LEFT JOIN evidence e ON e.query_id = o_orderkey
+""", [*CONFIRMED, "decided"], big=["vintage"])
+def recognition_answers(t: Tables):
+    decisions, _ = P.recognize_batch(
+        t.shortlist.withColumnRenamed("src_order", "rank"), geometry(t), t.text_scores, t.evidence, t.reference_rows, t.cards,
+        t.palette, t.orders.select(F.col("o_orderkey").alias("query_id")))
+    whole = P.recognition_answers(decisions, t.cards, t.evidence, CARD_URL + "/", "v1")
+    return whole.select(
+        "query_id", "slug", "reason", *[F.col(f"card.{c}").alias(c) for c in ("card_id", "name", "winery", "web_photo", "vintage")], "item_url",
+        F.col("weights.text").alias("text_weight"), F.col("weights.visual").alias("visual_weight"), F.col("evidence.text").alias("read_text"), "pipeline_version")
+
+
 @query("""
 SELECT query_id, item_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, request_order) AS rank FROM (
   SELECT l_orderkey AS query_id, CAST(l_partkey AS VARCHAR) AS item_id, min(l_partkey) AS request_order,
