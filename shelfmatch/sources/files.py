@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,9 +17,14 @@ RANGE_BYTES = 8 * 1024 * 1024
 
 def digest_of(path: str, range_bytes: int = RANGE_BYTES) -> str:
     """SHA-256 of a file in a store that Arrow reads, from ranges of the file in their order."""
-    from pyarrow.fs import FileSystem
-
-    store, name = FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    scheme, authority, name = re.fullmatch(r"(?:([\w+.-]+):)?(//[^/]*)?(/.*)", path, re.DOTALL).groups()
+    if scheme in (None, "file"):
+        store = LocalFileSystem()
+    else:
+        # Spark's paths are not percent-encoded, addresses are.
+        store, name = FileSystem.from_uri(f"{scheme}:{authority or '//'}{quote(name)}")
     digest = hashlib.sha256()
     with store.open_input_stream(name) as stream:
         while part := stream.read(range_bytes):

@@ -96,7 +96,7 @@ def stage_summary(paths: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """(file, bytes, sha256) of every file below ``root``; contents are read in ranges."""
+    """(file, bytes, sha256) of every file below ``root`` but empty ones; contents are read in ranges."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     base = root.rstrip("/") + "/"
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
