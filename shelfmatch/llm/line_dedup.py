@@ -211,7 +211,8 @@ def deduplicated(
 
     Lines are what newlines separate, in the order of identifier (null last, then by the text's
     hash) and place. Lines under ``least_chars`` characters are never dropped, unless ``short_repeats``:
-    then exact repeats of those that are not blank are, and ``least_chars`` holds for edits only. A line is dropped if an earlier place has the same line, or if a line within ``most_edits`` edits
+    then exact repeats of those that are not blank are, and ``least_chars`` holds for edits only (two
+    edits make other words of a short line; lower ``least_chars`` with ``most_edits`` to compare those too). A line is dropped if an earlier place has the same line, or if a line within ``most_edits`` edits
     of it occurs first at an earlier place. Returns all columns with the text that is left, and
     ``n_lines``, ``n_dropped`` and ``n_links`` (different lines within ``most_edits`` of lines that occur
     first in this document). A document may be left empty; no row is dropped. Null texts stay null
@@ -283,7 +284,7 @@ def deduplicated(
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), short_repeats=True)
 
 
 #: DuckDB's distance counts bytes: letters of the tables' four languages become one byte each before they are compared.
@@ -296,11 +297,11 @@ WITH l AS (
 e AS (
   SELECT line, min(k) AS first, length(line) AS n,
     translate(line, '{LETTERS}', '{"".join(map(chr, [*range(1, 9), *range(14, 27)]))}') AS folded
-  FROM l WHERE length(line) >= 30 GROUP BY line
+  FROM l WHERE length(line) >= 30 OR regexp_matches(line, '\S') GROUP BY line
 ),
 p AS (
   SELECT a.line AS early, b.line AS late FROM e a JOIN e b ON a.n BETWEEN b.n - 2 AND b.n + 2
-  WHERE a.first < b.first AND levenshtein(a.folded, b.folded) <= 2
+  WHERE a.n >= 30 AND b.n >= 30 AND a.first < b.first AND levenshtein(a.folded, b.folded) <= 2
 ),
 c AS (SELECT line, count(*) AS links FROM (SELECT early AS line FROM p UNION ALL SELECT late FROM p) GROUP BY line),
 j AS (
