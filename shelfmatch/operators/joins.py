@@ -76,11 +76,12 @@ def rescue_candidates(visual: DataFrame, text: DataFrame, refs: DataFrame) -> Da
     visual = visual.where(F.col("src_order") <= K.SHORTLIST_LIMIT)
     best = top_per_key(text.select(*keys, "score"), ["query_id"], [F.desc("score"), F.col("slug")], K.BRANCH_LIMIT)
     hits = best.select(*keys, F.col("score").alias("__text"))
-    both = visual.withColumn("__listed", F.lit(True)).join(hits, keys, "full")
-    # So a query has thirty rows at most.
-    both = both.withColumns({
-        "__model": F.max("model_name").over(per_query), "__listed": F.col("__listed").isNotNull(),
-    })
+    # A query has thirty rows at most: both lists move once, by query, and meet there.
+    own = F.struct(*[c for c in visual.columns if c not in keys])
+    both = visual.select(*keys, own.alias("__row")).unionByName(hits, allowMissingColumns=True).repartition("query_id").groupBy(*keys).agg(
+        F.collect_list("__row").alias("__rows"), F.max("__text").alias("__text")
+    ).select(*keys, "__text", F.explode_outer("__rows").alias("__row")).select(*keys, "__text", "__row.*", F.col("__row").isNotNull().alias("__listed"))
+    both = both.withColumn("__model", F.max("model_name").over(per_query))
     lookup = canonical_reference(refs).select(
         "slug", F.col("model_name").alias("__model"), F.col("item_id").alias("__item"), F.col("image_uri").alias("__uri"))
     found = both.join(lookup, ["slug", "__model"], "left").where(F.col("__listed") | F.col("__uri").isNotNull())

@@ -6,6 +6,8 @@ windows over one query are bounded; everything before that bound is a pre-aggreg
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,23 @@ def _per_query():
     return Window.partitionBy("query_id")
 
 
+def _gathered(cards: DataFrame, place: str, **branches: DataFrame) -> DataFrame:
+    """One row per (query, slug) of all branches: the columns of ``cards``, one score per branch, ``__listed``.
+
+    The branches are stacked and move once, by query: grouping by slug and every later window over a query
+    happen where the rows are. A slug that ``cards`` lists more than once keeps its first place; a score
+    given more than once is the best one.
+    """
+    keys = ["query_id", "slug"]
+    own = [c for c in cards.columns if c not in keys]
+    parts = [cards.select(*keys, F.struct(*own).alias("__card"), F.col(place).alias("__place"))]
+    parts += [scores.select(*keys, F.col("score").alias(name)) for name, scores in branches.items()]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    rows = stacked.repartition("query_id").groupBy(*keys).agg(
+        F.min_by("__card", "__place").alias("__card"), *[F.max(name).alias(name) for name in branches])
+    return rows.select(*keys, "__card.*", *branches, F.col("__card").isNotNull().alias("__listed"))
+
+
 def text_quality(evidence: DataFrame, producers: DataFrame, matches: DataFrame) -> DataFrame:
     """Whether a query's recognised text can lead the fusion, with the first reason against it.
 
@@ -62,27 +81,25 @@ def _quality_columns(words: Column, producer: Column, available: Column, conf: C
 
 
 def fuse(candidates: DataFrame, visual: DataFrame, text: DataFrame, quality: DataFrame | None = None,
-         text_weight: float = 0.5) -> DataFrame:
+         text_weight: float = 0.5, palette: DataFrame | None = None) -> DataFrame:
     """Rank the shortlist of every query by fused score, with the query's mode.
 
     ``candidates``: query_id, slug, score (image score or NULL), src_order and any card columns;
     ``visual`` and ``text``: query_id, slug, score. With ``quality`` the text weight is .7 when the
-    text is sufficient and .3 otherwise. Missing scores stay NULL in the output.
+    text is sufficient and .3 otherwise, and the rows carry ``sufficient`` and ``text_reason`` for ``decide``.
+    With ``palette`` they carry ``palette_score`` for ``blend_palette``. Missing scores stay NULL in the output.
     """
-    keys = ["query_id", "slug"]
-    first = candidates.groupBy(*keys).agg(F.min("src_order").alias("src_order"))
-    shortlist = candidates.join(first, [*keys, "src_order"], "left_semi").withColumn("__listed", F.lit(True))
-    rows = shortlist.join(visual.select(*keys, F.col("score").alias("visual_score")), keys, "full").join(
-        text.select(*keys, F.col("score").alias("text_score")), keys, "full")
-    rows = rows.withColumn("__listed", F.col("__listed").isNotNull())
+    extra = {} if palette is None else {"palette_score": palette}
+    rows = _gathered(candidates, "src_order", visual_score=visual, text_score=text, **extra)
     if quality is not None:
-        rows = rows.join(quality.select("query_id", "sufficient"), "query_id", "left")
+        why = F.col("reason") if "reason" in quality.columns else F.lit(None).cast("string")
+        rows = rows.join(quality.select("query_id", "sufficient", why.alias("text_reason")), "query_id", "left")
         leads = F.coalesce("sufficient", F.lit(False))
         weight = F.when(leads, K.TEXT_WEIGHT_SUFFICIENT).otherwise(K.TEXT_WEIGHT_SPARSE)
     else:
         leads, weight = F.lit(False), F.lit(text_weight)
     ranked = _fuse_rows(rows.withColumn("image_score", F.col("score")), leads, weight)
-    return ranked.drop("distance", "sufficient")
+    return ranked.drop("distance")
 
 
 def _fuse_rows(rows: DataFrame, leads: Column, weight: Column) -> DataFrame:
@@ -119,10 +136,15 @@ def _fuse_rows(rows: DataFrame, leads: Column, weight: Column) -> DataFrame:
     return stable_ties(out.drop("__geo", "__shared", "__lead", "__listed"))
 
 
-def blend_palette(ranked: DataFrame, palette: DataFrame, weight: float = K.PALETTE_WEIGHT) -> DataFrame:
-    """Mix in palette similarity; unknown palettes are neutral, a query without any is unchanged."""
+def blend_palette(ranked: DataFrame, palette: DataFrame | None = None, weight: float = K.PALETTE_WEIGHT) -> DataFrame:
+    """Mix in palette similarity; unknown palettes are neutral, a query without any is unchanged.
+
+    Without ``palette`` the rows carry ``palette_score`` themselves, as ``fuse`` with a palette gives them.
+    """
     if not 0 <= weight <= 0.1:
         raise ValueError("palette weight must be between zero and 0.1")
+    if palette is None:
+        return _blend_rows(ranked, weight)
     joined = ranked.join(
         palette.select("query_id", "slug", F.col("score").alias("palette_score")), ["query_id", "slug"], "left"
     )
@@ -305,18 +327,20 @@ def _item_lookup(cards: DataFrame, refs: DataFrame) -> DataFrame:
 def _rank_branches(visual, verified, text, evidence, refs, cards, palette, palette_weight) -> DataFrame:
     keys = ["query_id", "slug"]
     listed = visual.select(
-        *keys, "item_id", "best_image_uri", "model_name", F.col("score").alias("image_score"), F.col("rank").alias("src_order"),
-        F.lit(True).alias("__visual"))
-    geometric = top_scores(verified, K.BRANCH_LIMIT, "slug").select(*keys, F.col("score").alias("visual_score"))
-    rows = listed.join(text.select(*keys, F.col("score").alias("text_score")), keys, "full").join(geometric, keys, "full")
-    rows = rows.join(
-        palette.select(*keys, F.col("score").alias("palette_score")), keys, "left"
-    ) if palette is not None else rows.withColumn("palette_score", F.lit(None).cast("double"))
+        *keys, "item_id", "best_image_uri", "model_name", F.col("score").alias("image_score"), F.col("rank").alias("src_order"))
+    branches = {"text_score": text, "visual_score": top_scores(verified, K.BRANCH_LIMIT, "slug")}
+    if palette is not None:
+        branches["palette_score"] = palette
+    rows = _gathered(listed, "src_order", **branches).withColumnRenamed("__listed", "__visual")
+    # A palette score alone makes no candidate.
+    rows = rows.where(F.col("__visual") | F.col("text_score").isNotNull() | F.col("visual_score").isNotNull())
+    if palette is None:
+        rows = rows.withColumn("palette_score", F.lit(None).cast("double"))
     facts = evidence.select(
         "query_id", "text_confidence", "years", X.word_set(F.coalesce("text", F.lit(""))).alias("__words"))
     rows = rows.join(_item_lookup(cards, refs), "slug", "left").join(facts, "query_id", "left")
     query = _per_query()
-    rows = rows.withColumns({"__visual": F.col("__visual").isNotNull(), "__model": F.max("model_name").over(query)})
+    rows = rows.withColumn("__model", F.max("model_name").over(query))
     # Text hits the photo missed join the list when their item has a reference of the same model.
     reference = F.try_element_at("__refs", F.coalesce("__model", F.lit("")))
     rescued = ~F.col("__visual") & F.col("text_score").isNotNull() & reference.isNotNull()

@@ -126,8 +126,11 @@ def quality(t: Tables):
 
 
 def fused(t: Tables):
-    enriched = J.enrich_candidates(t.extended, t.cards.select("slug", "vintage"))
-    return P.fuse(enriched, t.visual_scores, t.text_scores, t.quality)
+    return P.fuse(carded(t), t.visual_scores, t.text_scores, t.quality)
+
+
+def carded(t: Tables):
+    return J.enrich_candidates(t.extended, t.cards.select("slug", "vintage"))
 
 
 def geometry(t: Tables):
@@ -269,7 +272,10 @@ def single_exact_reference(t: Tables):
 
 @query("SELECT query_id, slug, accepted, reason, round(score, 6) AS score, round(margin, 6) AS margin, vintage_state, mode, candidates FROM decided", [*CONFIRMED, "decided"])
 def decide(t: Tables):
-    return rounded(P.decide(P.prefer_confirmed(t.dated), t.quality).select(
+    # The palette comes along with the other scores, and the text's quality stays on the rows.
+    fused = P.fuse(carded(t), t.visual_scores, t.text_scores, t.quality, palette=t.palette)
+    dated = P.apply_vintage(P.blend_palette(fused), t.evidence.select("query_id", "years"))
+    return rounded(P.decide(P.prefer_confirmed(dated)).select(
         "query_id", "slug", "accepted", "reason", "score", "margin", "vintage_state", "mode", "candidates"))
 
 

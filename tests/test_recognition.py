@@ -157,3 +157,21 @@ def test_recognize_batch_degrades(spark):
     assert got[3]["status"] == "visual_retrieval_unavailable" and got[3]["slug"] is None
     rescued = ranked.where("rescued").first()
     assert rescued["best_image_uri"] == "/x/web-1.jpg" and rescued["item_id"] == "77" and rescued["image_score"] is None
+
+
+def test_branches_move_once_and_palette_adds_no_candidate(spark):
+    """One row per query and slug, its first place and its best scores; queries stay apart."""
+    cards = spark.createDataFrame(
+        [(1, "a", 0.9, 1, "x"), (1, "a", 0.2, 3, "y"), (1, "b", 0.5, 2, "z"), (2, "a", 0.4, 1, "x")], "query_id int, slug string, score double, src_order int, name string")
+    scores = lambda rows: spark.createDataFrame(rows, "query_id int, slug string, score double")
+    quality = spark.createDataFrame([(1, True, "sufficient_text")], "query_id int, sufficient boolean, reason string")
+    fused = P.fuse(cards, scores([(1, "b", 0.8)]), scores([(1, "a", 0.6), (1, "a", 0.7), (3, "a", 1.0)]), quality,
+                   palette=scores([(1, "b", 1.0), (1, "c", 1.0), (4, "a", 1.0)]))
+    rows = {(r.query_id, r.slug): r for r in P.blend_palette(fused).collect()}
+    assert set(rows) == {(1, "a"), (1, "b"), (2, "a")}
+    first = rows[1, "a"]
+    assert (first.name, first.image_score, first.src_order, first.text_score, first.palette_score) == ("x", 0.9, 1, 0.7, None)
+    assert (rows[1, "b"].palette_score, rows[1, "b"].text_reason, rows[2, "a"].mode) == (1.0, "sufficient_text", "dino_fallback")
+    assert abs(first.fusion_score - 0.7 * 0.7) < 1e-12 and first.palette_used and not rows[2, "a"].palette_used
+    plan = fused._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
