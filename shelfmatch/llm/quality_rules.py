@@ -231,12 +231,23 @@ def learn_from(
 
 
 def judged(df: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """All columns with ``__stats``, ``__base_failed``, ``__rule`` (null: none) and ``__kept``."""
-    own = df.columns
-    rows = features(with_statistics(df, text_col)).withColumns({"__base_failed": base_failed(), "__rule": verdict(rules)})
-    return rows.select(
-        *own, "__stats", "__base_failed", "__rule", (~F.col("__base_failed") & F.col("__rule").isNull()).alias("__kept")
-    )
+    """All columns with ``__stats``, ``__base_failed``, ``__rule`` (null: none) and ``__kept``.
+
+    Columns of these four names are replaced; every other name may occur. Null and blank texts fail the
+    base rule; repeated rows get the same verdict each; an empty table gives none.
+    """
+    rows, own = _judged(df, rules, text_col)
+    added = ["__stats", "__base_failed", "__rule", "__kept"]
+    return rows.select(*[v for c, v in own if c not in added], *added)
+
+
+def _judged(df: DataFrame, rules: list[Rule], text_col: str) -> tuple[DataFrame, list[tuple[str, Column]]]:
+    """Verdicts beside columns renamed by place, and each given name with its renamed column."""
+    names = [f"own{i}" for i in range(len(df.columns))]
+    rows = features(with_statistics(df.toDF(*names), names[df.columns.index(text_col)]))
+    rows = rows.withColumns({"__base_failed": base_failed(), "__rule": verdict(rules)})
+    kept = ~F.col("__base_failed") & F.col("__rule").isNull()
+    return rows.withColumn("__kept", kept), [(c, F.col(n).alias(c)) for c, n in zip(df.columns, names)]
 
 
 def quality_verdicts(
@@ -260,9 +271,14 @@ def quality_verdicts(
 def keep_good(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, that neither the base rule nor a learned rule rejects."""
-    rules = learn_from(docs, labels, id_col, text_col, label_col)
-    return judged(docs, rules, text_col).where("__kept").select(*docs.columns)
+    """The rows of ``docs`` that neither the base rule nor a learned rule rejects.
+
+    All columns stay as they are, whatever their names. Rows with a null or blank text go, since they fail
+    the base rule; identifiers may be null or repeat; repeated rows stay or go together; an empty
+    table gives an empty one, and without usable labels the base rule alone decides.
+    """
+    rows, own = _judged(docs, learn_from(docs, labels, id_col, text_col, label_col), text_col)
+    return rows.where("__kept").select(*[v for _, v in own])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,3 +121,16 @@ def test_model_awkward(spark):
     found = scored(docs, fit(docs, no_labels(spark))).collect()
     assert len(found) == len(AWKWARD) and all(0 <= r.score <= 1 for r in found)
     assert scored(documents(spark, []), Model(WIDTH)).count() == 0
+
+
+def test_clashing_names_and_rows_of_every_kind(spark):
+    good = "these are plain words of a text that nobody would reject at all today"
+    rows = [(1, good, 1, "a", 2.5), (1, good, 1, "a", 2.5), (2, None, 2, "b", 0.0), (3, " ", 3, "c", 0.0), (None, good + " or later", 4, None, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __stats int, __kept string, __f_symbol_share double")
+    none = spark.createDataFrame([], "doc_id bigint, quality int")
+    kept = R.keep_good(df, none)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=lambda r: r[2]) == [rows[0], rows[1], rows[4]]
+    judged = R.judged(df, [])
+    assert judged.columns == ["doc_id", "text", "__f_symbol_share", "__stats", "__base_failed", "__rule", "__kept"]
+    assert judged.where("__kept").count() == 3 and R.keep_good(df.limit(0), none).count() == 0
