@@ -33,21 +33,30 @@ def _claimed(spark: SparkSession, root: str, name: str, version: int) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(path)
 
 
-def write_table(df: DataFrame, root: str, name: str, partition_by: list[str] | None = None) -> int:
+def write_table(df: DataFrame, root: str, name: str, partition_by: list[str] | None = None, base: int | None = None) -> int:
     """Write the next version and then publish it.
 
     Readers see the old version until the new one is whole, so a job may read the table it
     replaces, and a job that dies half way leaves the old version in place. Every writer claims a number
-    of its own first, so two of them never write into one version; the last to finish is read.
+    of its own first, so two of them never write into one version; the highest published version is read.
+
+    ``base`` is the version that ``df`` was made from (by default the newest when writing begins). If another
+    version has been published since, nothing is published and RuntimeError is raised: read and apply the
+    change again. The check comes right before publishing; writers that publish at the very same moment
+    are not told apart, so jobs that share a table should not run side by side.
     """
     spark = df.sparkSession
-    version = current_version(spark, root, name) + 1
+    newest = current_version(spark, root, name)
+    base = newest if base is None else base
+    version = newest + 1
     while not _claimed(spark, root, name, version):
         version += 1
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{root.rstrip('/')}/{name}/version={version}")
+    if current_version(spark, root, name) != base:
+        raise RuntimeError(f"table {name} has moved on from version {base}")
     spark.range(1).select(F.lit(version).cast("long").alias("version")).write.mode("append").parquet(_log(root, name))
     return version
 

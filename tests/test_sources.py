@@ -170,3 +170,13 @@ def test_export_and_reports(spark, tmp_path):
     assert lines[-14:-9] == ["(none)", "", "Candidate years", "---------------", "- 2019 (raw: 2019, confidence: n/a)"]
     reports.write_text_reports(reports.render_text_report(images, blocks, fields), str(tmp_path / "txt"))
     assert spark.read.text(str(tmp_path / "txt")).count() == len(lines)
+
+
+def test_an_update_of_an_old_version_is_refused(spark, tmp_path):
+    root = str(tmp_path)
+    base = tables.write_table(spark.range(3), root, "u")
+    assert tables.write_table(spark.range(4), root, "u", base=base) == 2
+    with pytest.raises(RuntimeError):
+        tables.write_table(spark.range(5), root, "u", base=base)
+    assert tables.read_table(spark, root, "u").count() == 4
+    assert tables.write_table(spark.range(6), root, "u") > 2 and tables.read_table(spark, root, "u").count() == 6
