@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from shelfmatch.llm.common import let, saved, table, text_or_empty
 
+#: Session setting with the secret key of the query; the default is public, for tests alone.
+KEY_SETTING = "spark.shelfmatch.surrogateKey"
 #: Patterns of what counts as personal data, tried in this order at each place.
 EDGE, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}"
 IPV4 = rf"(?<![\p{{L}}\p{{N}}_.]){OCTET}(?:\.{OCTET}){{3}}(?![\p{{L}}\p{{N}}_]|\.\d)"
-IBAN = rf"{EDGE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{END}"
+IBAN = rf"{EDGE}[A-Z]{{2}}\d{{2}}(?:(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?|(?: ?[A-Z0-9]{{4}}){{2}} ?[A-Z0-9]{{3}}){END}"
 CARD = rf"{EDGE}(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}}){END}"
 SSN = r"(?<![\p{L}\p{N}_-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}_-])"
 PHONE = (
@@ -35,12 +37,15 @@ GIVEN = {
     ("f", "latin"): "Anna Berta Clara Diana Elena Flora Greta Helen Ida Julia Karin Laura Maria Nora Olga Paula".split(),
     ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Олег Павел".split(),
     ("f", "cyrillic"): "Анна Вера Галина Дарья Елена Жанна Ирина Ксения Лидия Мария Нина Ольга".split(),
+    ("m", "greek"): "Ανδρέας Βασίλης Γιώργος Δημήτρης Κώστας Νίκος Πέτρος Στέφανος".split(),
+    ("f", "greek"): "Αγγελική Βασιλική Γεωργία Ελένη Ζωή Ιωάννα Μαρία Σοφία".split(),
 }
 SYLLABLES = {
     "latin": "ba den fol gar hin kel lam mor nes pol rin sal tor vin wes zan".split(),
     "cyrillic": "бар вел гор дан кол лам мир нов пет рад сам тур".split(),
+    "greek": "βα γαρ δεν κελ λαμ μορ νες πολ ριν σαλ τορ φολ".split(),
 }
-ENDINGS = {("m", "latin"): "er", ("f", "latin"): "er", ("m", "cyrillic"): "ов", ("f", "cyrillic"): "ова"}
+ENDINGS = {("m", "latin"): "er", ("f", "latin"): "er", ("m", "cyrillic"): "ов", ("f", "cyrillic"): "ова", ("m", "greek"): "ης", ("f", "greek"): "η"}
 
 
 def _draw(seed: Column, at: Column | int, size: int) -> Column:
@@ -115,6 +120,24 @@ def _card(digits: Column, seed: Column) -> Column:
     )))
 
 
+def _mod97(account: Column) -> Column:
+    """Remainder by 97 of an account number's digits and letters (A is 10), its first four signs last."""
+    turned = F.concat(F.substr(account, F.lit(5)), F.substring(account, 1, 4))
+    return F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: F.pmod(
+        F.when(F.ascii(c) >= 65, a * 100 + F.ascii(c) - 55).otherwise(a * 10 + F.ascii(c) - 48), F.lit(97)
+    ))
+
+
+def _iban(account: Column, seed: Column) -> Column:
+    """Same country and length; the check digits are right if they were, else wrong."""
+    country = F.substring(account, 1, 2)
+    return let(_spell(F.substr(account, F.lit(5)), seed), lambda bank: let(
+        # From 0 to 96, of the 97 check digits from 02 to 98.
+        96 - _mod97(F.concat(country, F.lit("00"), bank)), lambda right: F.concat(
+            country, F.lpad((F.when(_mod97(account) == 1, right).otherwise((right + 1 + _draw(seed, -1, 96)) % 97) + 2).cast("string"), 2, "0"), bank,
+        )))
+
+
 def surrogate(kind: Column, value: Column, attempt: Column | int, key: str) -> Column:
     """Canonical form of the replacement of a canonical entity."""
     seed = _seed(key, kind, value, attempt)
@@ -132,9 +155,8 @@ def surrogate(kind: Column, value: Column, attempt: Column | int, key: str) -> C
         _draw(seed, 2, 256).cast("string"), (_draw(seed, 3, 254) + 1).cast("string"),
     )
     phone = F.concat((_draw(seed, -1, 8) + 2).cast("string"), _spell(F.substr(value, F.lit(2)), seed))
-    iban = F.concat(F.substring(value, 1, 2), _spell(F.substr(value, F.lit(3)), seed))
     gender, name = F.substring(value, 1, 1), F.substr(value, F.lit(3))
-    words, script = F.split(name, " "), F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    words, script = F.split(name, " "), F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     # A family shares its new name, whatever its members are called; Slavic names lose their female ending first.
     root = F.regexp_replace(F.element_at(words, -1), "(?<=[вн])а$", "")
     given_seed, family_seed = _seed(key, "given", F.concat_ws(":", gender, words[0]), attempt), _seed(key, "family", root, attempt)
@@ -148,7 +170,7 @@ def surrogate(kind: Column, value: Column, attempt: Column | int, key: str) -> C
     person = F.concat(gender, F.lit(":"), F.when(F.size(words) > 1, F.concat(given, F.lit(" "))).otherwise(""), family)
     return (
         F.when(kind == "email", email).when(kind == "ipv4", ip).when(kind == "card", _card(value, seed)).when(kind == "phone", phone)
-        .when(kind == "iban", iban).when(kind == "person", person).otherwise(_spell(value, seed))
+        .when(kind == "iban", _iban(value, seed)).when(kind == "person", person).otherwise(_spell(value, seed))
     )
 
 
@@ -167,7 +189,7 @@ def rendered(match: Column, kind: Column, core: Column) -> Column:
     )), "")
     title = F.regexp_extract(match, rf"^((?:{MALE}|{FEMALE})\.? )", 1)
     return (
-        F.when(kind == "email", cased).when(kind == "person", F.concat(title, F.initcap(F.substr(core, F.lit(3)))))
+        F.when(core.startswith("["), core).when(kind == "email", cased).when(kind == "person", F.concat(title, F.initcap(F.substr(core, F.lit(3)))))
         .when(kind.isin("card", "phone", "ssn"), woven("[0-9]")).when(kind == "iban", woven("[A-Z0-9]")).otherwise(core)
     )
 
@@ -177,24 +199,27 @@ def assigned(entities: DataFrame, key: str, most_rounds: int = 64) -> DataFrame:
 
     An entity whose surrogate another entity of the kind also has (all but the first in order), or
     that is itself an entity of the corpus, draws again until none is left. The driver reads one
-    count a round; each round is written to the shared folder. A kind whose forms are all taken after
-    ``most_rounds`` draws is an error.
+    count a round; each round is written to the shared folder. An entity that has found no free form
+    of its kind after ``most_rounds`` draws gets a keyed mark of its own, ``[kind digest]``.
     """
     kind, value = F.col("kind"), F.col("value")
     drawn = saved(entities.withColumn("attempt", F.lit(0)).withColumn("core", surrogate(kind, value, 0, key)))
-    for _ in range(most_rounds):
+    for round_ in range(most_rounds + 1):
         first = drawn.groupBy("kind", "core").agg(F.min("value").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
         real = entities.select("kind", F.col("value").alias("core"), F.lit(True).alias("__real"))
         checked = drawn.join(first, ["kind", "core"], "left").join(real, ["kind", "core"], "left")
         again = (F.col("__n").isNotNull() & (F.col("__first") != value)) | F.col("__real").isNotNull()
         checked = saved(checked.select("kind", "value", "attempt", "core", F.coalesce(again, F.lit(False)).alias("__again")))
         if not checked.where("__again").limit(1).count():
-            return checked.drop("__again")
+            break
         next_attempt = F.col("attempt") + F.when(F.col("__again"), 1).otherwise(0)
+        mark = F.concat(F.lit("["), kind, F.lit(" "), F.substring(_seed(key, kind, value, -1), 1, 32), F.lit("]"))
+        new = surrogate(kind, value, F.col("attempt"), key) if round_ < most_rounds else mark
         drawn = saved(checked.withColumn("attempt", next_attempt).withColumn(
-            "core", F.when(F.col("__again"), surrogate(kind, value, F.col("attempt"), key)).otherwise(F.col("core"))
+            "core", F.when(F.col("__again"), new).otherwise(F.col("core"))
         ).drop("__again"))
-    raise ValueError("a kind has no surrogates left that differ from each other and from its entities")
+        checked = drawn
+    return checked.drop("__again")
 
 
 def with_surrogates(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,7 +228,9 @@ def with_surrogates(df: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     Kinds are those of KINDS. A replacement depends on ``key`` and the entity only, so an entity has
     one everywhere, in any task and run over the same corpus; different entities of a kind have
     different ones, which no entity of the corpus has itself (``assigned``). Country prefix,
-    separators, capitals, script, gender, domain endings and checksums are kept. Returns all columns
+    separators, capitals, script, gender, domain endings and checksums (cards, account numbers) are
+    kept; names in scripts other than Latin, Cyrillic and Greek become Latin ones. A kind whose forms run
+    out gives marks (``assigned``). Returns all columns
     with the new text, ``n_private`` and ``private_kinds`` (in order of place). Null texts stay null.
     Identifiers may be null or repeat. Columns that begin with two underscores or have the added
     names are replaced.
@@ -243,4 +270,5 @@ def with_surrogates(df: DataFrame, key: str, id_col: str = "doc_id", text_col: s
 
 
 def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), key="surrogates of this corpus")
+    key = spark.conf.get(KEY_SETTING, "surrogates of this corpus")
+    return with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), key)

@@ -3,7 +3,6 @@
 import hashlib
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from shelfmatch.llm import secrets as S
@@ -136,9 +135,36 @@ def test_more_surnames_than_four_syllables_give(spark):
     assert found.select("core").distinct().count() == found.count() == 70_000
 
 
-def test_exhausted_kinds_are_an_error(spark):
-    with pytest.raises(ValueError, match="no surrogates left"):
-        assigned(spark.createDataFrame([("ssn", str(i)) for i in range(10)], "kind string, value string"), "k", most_rounds=2)
+def test_exhausted_kinds_get_marks_of_their_own(spark):
+    """All ten forms of one digit are entities themselves, so none is free; no row is lost."""
+    entities = spark.createDataFrame([("ssn", str(i)) for i in range(10)] + [("ssn", "123456789")], "kind string, value string")
+    found = {r.value: r.core for r in assigned(entities, "k", most_rounds=2).collect()}
+    assert len(set(found.values())) == 11 and re.fullmatch(r"\d{9}", found["123456789"])
+    assert all(re.fullmatch(r"\[ssn [0-9a-f]{32}\]", found[str(i)]) for i in range(10))
+
+
+def remainder(account):
+    text = account.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+
+
+def test_account_numbers_stay_valid_or_invalid(spark):
+    valid = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606", "NO93 8601 1117 947"]
+    wrong = ["DE88 3704 0044 0532 0130 00", "GB00WEST12345698765432"]
+    rows = list(enumerate(valid + wrong))
+    new = {r.doc_id: r.text for r in with_surrogates(documents(spark, rows), "k").select("doc_id", "text").collect()}
+    for i, old in rows:
+        assert new[i] != old and new[i][:2] == old[:2] and re.sub(r"\d", "0", re.sub("[A-Z]", "A", new[i])) == re.sub(r"\d", "0", re.sub("[A-Z]", "A", old))
+        assert (remainder(new[i]) == 1) == (i < len(valid))
+
+
+def test_names_keep_their_script(spark):
+    rows = [(1, "Mr Παπαδόπουλος"), (2, "Mrs Ελένη Παππά"), (3, "Mr Smith"), (4, "Господин Иванов"), (5, "Mr Παπαδόπουλος")]
+    new = {r.doc_id: r.text.split(" ", 1)[1] for r in with_surrogates(documents(spark, rows), "k").select("doc_id", "text").collect()}
+    greek, latin, cyrillic = "[\u0370-\u03ff ]+", "[A-Za-z]+", "[\u0400-\u04ff]+"
+    for i, script in ((1, greek), (2, greek), (3, latin), (4, cyrillic)):
+        assert re.fullmatch(script, new[i]) and new[i] not in rows[i - 1][1] and new[i].istitle()
+    assert new[1] == new[5] and len(new[2].split()) == 2
 
 
 def test_kinds_are_whole_patterns():
