@@ -173,24 +173,33 @@ def _cell(value: Column, size: Column) -> Column:
     return F.floor(value / size).cast("long")
 
 
+#: Blocks up to which those of an image all meet; in larger images they meet in a grid.
+FEW_BLOCKS = 64
+
+
 def joinable_blocks(blocks: DataFrame, carry: list[str] = []) -> DataFrame:
     """Block pairs that continue one line or stand above each other, ``pos_a`` before ``pos_b``.
 
     ``blocks``: image_id, variant, pos, box, confidence; ``carry`` names columns returned in the
-    structs ``first`` and ``second``, left before right and upper before lower. Only blocks whose
-    facing edges fall in neighbouring cells of a grid scaled by their size meet, each candidate pair
-    in one cell of its kind; no image is joined with itself.
+    structs ``first`` and ``second``, left before right and upper before lower. Blocks move once, by
+    image, and those of an image with up to FEW_BLOCKS all meet there. In larger images only blocks
+    whose facing edges fall in neighbouring cells of a grid scaled by their size meet, each candidate
+    pair in one cell of its kind; no such image is joined with itself.
     """
     keys = ["image_id", "variant"]
-    sized = _sized_boxes(blocks, carry)
+    boxed = blocks.where(F.col("box").isNotNull() & F.col("image_id").isNotNull() & F.col("variant").isNotNull())
+    # Only images with many blocks have a row here.
+    crowded = boxed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > FEW_BLOCKS).select(*keys)
+    few, many = (_sized_boxes(boxed.join(crowded, keys, how), carry) for how in ("left_anti", "left_semi"))
+    together = _side(few, "l", carry).join(_side(few, "r", carry), keys).where(_line_test() | _stack_test())
     cells = [*keys, "__cell"]
-    left = _side(sized.withColumn("__cell", F.explode(_cells(_line_ends, _stack_bottoms))), "l", carry)
-    right = _side(sized.withColumn("__cell", F.explode(_cells(_line_starts, _stack_tops))), "r", carry)
+    left = _side(many.withColumn("__cell", F.explode(_cells(_line_ends, _stack_bottoms))), "l", carry)
+    right = _side(many.withColumn("__cell", F.explode(_cells(_line_starts, _stack_tops))), "r", carry)
     kind = F.col("__cell.kind")
-    found = left.join(right, cells).where(
+    apart = left.join(right, cells).where(
         F.when(kind == "line", _line_test()).otherwise(_stack_test()))
     structs = [F.struct(*[F.col(f"{t}_{c}").alias(c) for c in carry]).alias(n) for t, n in (("l", "first"), ("r", "second"))]
-    return found.select(
+    return together.unionByName(apart.drop("__cell")).select(
         *keys, F.least("l_pos", "r_pos").alias("pos_a"), F.greatest("l_pos", "r_pos").alias("pos_b"),
         F.when(_line_test(), "line").otherwise("stack").alias("layout"), *(structs if carry else []))
 
@@ -214,8 +223,8 @@ def _sized_boxes(blocks: DataFrame, carry: list[str]) -> DataFrame:
 
 def _side(df: DataFrame, tag: str, carry: list[str]) -> DataFrame:
     return df.select(
-        "image_id", "variant", "__cell", *[F.col(c).alias(f"{tag}_{c}") for c in SIDE if c not in carry],
-        *[F.col(f"__{c}").alias(f"{tag}_{c}") for c in carry])
+        "image_id", "variant", *[c for c in ["__cell"] if c in df.columns],
+        *[F.col(c).alias(f"{tag}_{c}") for c in SIDE if c not in carry], *[F.col(f"__{c}").alias(f"{tag}_{c}") for c in carry])
 
 
 def _cell_struct(kind: str, hk: Column, wk: Column, yk: Column, xk: Column) -> Column:

@@ -97,6 +97,27 @@ def test_grid_pairs_equal_direct_pairs(spark):
     assert {p[4] for p in grid} == {"line", "stack"}
 
 
+def test_blocks_of_small_images_meet_without_a_grid(spark):
+    """Sixty images on both sides of the bound: the same pairs, and no block of a small image is copied to cells."""
+    rng, rows = random.Random(13), []
+    for image in range(60):
+        for n in range(J.FEW_BLOCKS + (1 if image == 7 else -56)):
+            x, y, w, h = rng.uniform(0, 300), rng.uniform(0, 200), rng.uniform(10, 150), rng.uniform(4, 60)
+            rows.append((None if image == 9 else image, "full", n, rng.choice([None, 0.6, 0.8, 0.9]), (x, y, x + w, y + h)))
+    df = spark.createDataFrame(rows, f"image_id int, variant string, pos long, confidence double, {BOX}")
+    found = J.joinable_blocks(df)
+    sized = J._sized_boxes(df, [])
+    every = J._side(sized, "l", []).join(J._side(sized, "r", []), ["image_id", "variant"]).where(J._line_test() | J._stack_test())
+    direct = every.select(
+        "image_id", "variant", F.least("l_pos", "r_pos"), F.greatest("l_pos", "r_pos"), F.when(J._line_test(), "line").otherwise("stack"))
+    rows = sorted(tuple(r) for r in found.collect())
+    assert rows == sorted(tuple(r) for r in direct.collect()) and {7} < {r[0] for r in rows}
+    cells = J.joinable_blocks(df.where("image_id <> 7"))
+    cells.collect()
+    final = cells._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Generate explode" not in final
+
+
 def label(spark, rows):
     return spark.createDataFrame(rows, f"image_id int, variant string, pos long, text string, {BOX}, confidence double")
 
