@@ -174,8 +174,9 @@ def vintage_evidence(fields: DataFrame) -> DataFrame:
 def candidate_name(blocks: DataFrame, images: DataFrame) -> DataFrame:
     """The most name-like phrase of each image, from the central crop before the full photo.
 
-    ``blocks``: image_id, variant, pos, text, box, confidence; ``images``: image_id, width. Copies
-    of a block are one option: they score alike, and the most confident one, first on ties, leads.
+    ``blocks``: image_id, variant, pos, text, box, confidence; ``images``: image_id, width. Of copies
+    of a block, the first of the most confident ones stays, and less confident ones that come before all
+    more confident ones: a pair scores by its less confident block, so that an earlier copy may lead on ties.
     """
     value = X.clean_name(F.col("text"))
     half = F.col("width") / 2
@@ -188,9 +189,11 @@ def candidate_name(blocks: DataFrame, images: DataFrame) -> DataFrame:
         "image_id", "variant", "pos", "text", "value", "box", "confidence", "width",
         N.box_height(F.col("box")).alias("h"),
     )
-    plausible = first_per_key(
-        plausible, ["image_id", "variant", "text", "box"], [-F.col("confidence"), F.col("pos")]
-    )
+    copies = ["image_id", "variant", "text", "box"]
+    firsts = first_per_key(plausible, [*copies, "confidence"], [F.col("pos")])
+    surer = Window.partitionBy(*copies).orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = firsts.withColumn("__ahead", F.min("pos").over(surer))
+    plausible = ahead.where(F.col("__ahead").isNull() | (F.col("pos") < F.col("__ahead"))).drop("__ahead")
     # One row per image tells which variant leads and which heights count in it.
     sure, tall = F.col("confidence") >= 0.7, F.col("h")
     in_variant = lambda v: F.col("variant") == v

@@ -140,6 +140,19 @@ def test_candidate_name(spark):
     assert got[3]["name"] == "Huge Title"
 
 
+def test_an_earlier_copy_leads_where_pairs_score_alike(spark):
+    """Blocks 1 and 3 are copies; the pair of 1 and 4 scores as that of 3 and 4, and as that of 2 and 4 does."""
+    first, second = (100.0, 0.0, 195.0, 40.0), (205.0, 0.0, 300.0, 40.0)
+    images = spark.createDataFrame([(1, 400)], "image_id int, width int")
+    for other, name in ((2, "Alpha Gamma"), (0, "Delta Gamma")):
+        rows = [
+            (1, "full", 1, "Alpha", first, 0.8), (1, "full", other, "Delta", first, 0.9), (1, "full", 3, "Alpha", first, 0.9),
+            (1, "full", 4, "Gamma", second, 0.8), (1, "full", 5, "Gamma", second, 0.8),
+        ]
+        best = B.candidate_name(label(spark, rows), images).collect()
+        assert [(r["name"], r["block_count"]) for r in best] == [(name, 2)]
+
+
 def test_candidate_fields_keep_best_source(spark):
     rows = [(1, 1, "урожай 2019 0,75 л", 0.5), (1, 2, "2019 13%", 0.9), (1, 3, "основан в 1905", 0.99), (1, 4, "2020", None)]
     df = spark.createDataFrame(rows, "image_id int, pos long, normalized_text string, confidence double")
