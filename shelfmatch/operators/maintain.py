@@ -37,11 +37,12 @@ def _new_ids(new_rows: DataFrame, current: DataFrame, order: list[Column]) -> Da
     return numbered.withColumn("id", F.col("__n") + largest).drop("__n")
 
 
-def upsert_catalog(current: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert_catalog(current: DataFrame, incoming: DataFrame, described: list[str] = K.CATALOG_FIELDS) -> DataFrame:
     """Merge imported rows by (source, row number).
 
-    A stored vector is dropped only when its own input changed: the photo name, any of the seven
-    attributes, or the slug (web photo).
+    A stored vector is dropped only when its own input changed: the photo name, any of the attributes
+    that its text was made of (``described``: all seven, unless a catalog embeds fewer), or the slug
+    (web photo).
     """
     joined = current.withColumn("__c", F.lit(True)).alias("c").join(
         incoming.withColumn("__i", F.lit(True)).alias("i"), KEY, "full"
@@ -49,7 +50,7 @@ def upsert_catalog(current: DataFrame, incoming: DataFrame) -> DataFrame:
     has_c, has_i = F.col("c.__c").isNotNull(), F.col("i.__i").isNotNull()
     take = lambda c: F.when(has_i, F.col(f"i.{c}")).otherwise(F.col(f"c.{c}"))
     resets = {
-        "dataset_photo": _changed(["dataset_photo"]), "description_text": _changed(K.CATALOG_FIELDS),
+        "dataset_photo": _changed(["dataset_photo"]), "description_text": _changed(described),
         "web_photo": _changed(["slug"]),
     }
     keep = lambda c, reset: F.when(has_i & reset, F.lit(None)).otherwise(F.col(f"c.{c}")).alias(c)

@@ -40,6 +40,31 @@ def test_import_is_idempotent_and_resets_only_changed_inputs(spark):
     assert [r["source_row_number"] for r in pending.collect()] == [5]
 
 
+def test_text_vectors_of_names_stay_when_other_attributes_change(spark):
+    base = M.upsert_catalog(spark.createDataFrame([], CATALOG), incoming(spark, [("a", "s1", "1.jpg", 2), ("b", "s1", "2.jpg", 3)]))
+    full = M.store_vectors(base, base.select("id", F.array(F.lit(1.0)).cast("array<float>").alias("embedding")), "description_text", "m")
+    other = incoming(spark, [("a", "s1", "1.jpg", 2), ("B", "s1", "2.jpg", 3)]).withColumn("category", F.lit("red"))
+    model = lambda df: {r["source_row_number"]: r["description_text_embedding_model"] for r in df.collect()}
+    assert model(M.upsert_catalog(full, other, ["name"])) == {2: "m", 3: None}
+    assert model(M.upsert_catalog(full, other)) == {2: None, 3: None}
+
+
+def test_query_follows_its_sql_where_rows_meet_other_products(spark, tmp_path):
+    """A moved row number of one product is the stored one of another product of the same name."""
+    import __spark_entry__ as entry
+    from tests.compare import compare
+
+    rows = [(3, "cold bolt", "b1", "SMALL", 13, 1.0), (1_000_003, "cold bolt", "b2", "LARGE", 6, 1.0), (5, "new", "b1", "SMALL", 4, 1.0)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(
+        f"{tmp_path}/part.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    ok, message = compare(spark, con, "upsert_catalog", entry.queries(), entry.oracle_sql(), str(tmp_path))
+    assert ok, message
+
+
 def test_scrape_result_resets_vector_only_when_photo_changes(spark):
     base = M.upsert_catalog(spark.createDataFrame([], CATALOG), incoming(spark, [("a", "s1", "1.jpg", 2), ("b", "s1", "2.jpg", 3), ("c", "s2", "3.jpg", 4)]))
     pages = spark.createDataFrame([("s1", "s1.jpg", "https://x/s1.jpg")], "slug string, web_photo string, web_photo_url string")
