@@ -23,7 +23,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each group that shares four fifths of its five-word shingles."""
+    """Keep the first document of each group that shares four fifths of its five-word shingles; SimHash
+    fingerprints and min-hash bands find who may."""
     return near_copies.keep_one(docs)
 
 

@@ -1,4 +1,4 @@
-"""Near-duplicates by shared shingles: min-hash bands find candidates, exact similarity decides."""
+"""Near-duplicates by SimHash fingerprints and shared shingles: both find candidates, exact similarity decides."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from shelfmatch.llm.common import saved
 from shelfmatch.llm.components import connected
+from shelfmatch.llm.simhash import fingerprint, smallest_linked
 
 #: A pair of similarity 0.8 shares a band of five minima with probability 0.33, so one of 24 with 0.99993.
 BANDS, ROWS = 24, 5
@@ -97,22 +98,24 @@ def alike(sets: list[np.ndarray], least: float) -> np.ndarray:
 
 
 def _sketches(rows: DataFrame, size: int) -> DataFrame:
-    """All columns but the last, which is the text; ``node``, a hash of its shingles, ``bands`` and ``sketch``."""
+    """All columns but the last, which is the text; ``node``, a hash of its shingles, ``bands``, ``sketch`` and SimHash ``fp``."""
     kept = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, found, short = [], [], []
+            nodes, found, short, prints = [], [], [], []
             for text in batch.column(len(kept)):
-                one = shingles(text.as_py(), size)
+                data = text.as_py()
+                one = shingles(data, size)
                 least = minima(one)
                 nodes.append(xxhash.xxh3_64_intdigest(one.tobytes()) - (1 << 63))
                 found.append(bands(least))
                 short.append(sketch(least))
-            more = [pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(short, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*kept, "node", "bands", "sketch"])
+                prints.append(fingerprint(data))
+            more = [pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(short, pa.binary()), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*kept, "node", "bands", "sketch", "fp"])
 
-    more = T.StructType.fromDDL("node bigint, bands array<bigint>, sketch binary")
+    more = T.StructType.fromDDL("node bigint, bands array<bigint>, sketch binary, fp bigint")
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *more]))
 
 
@@ -244,17 +247,31 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return shared.where(F.col("n") <= CROWDED).select("k", "node").union(split.join(many, "k"))
 
 
+def print_buckets(nodes: DataFrame, distance: int = 2, blocks: int = 4) -> DataFrame:
+    """``k, node``: nodes whose SimHash fingerprints are linked, one key per component of fingerprints.
+
+    The links are those of ``simhash``: pigeonhole blocks find all fingerprints within ``distance`` bits.
+    Nodes of one fingerprint are linked as well.
+    """
+    prints = nodes.select("node", F.explode("prints").alias("__fp"))
+    linked = smallest_linked(prints, F.col("__fp"), distance, blocks)
+    keyed = saved(prints.join(linked, "__fp").select(F.xxhash64(F.lit("print"), "__component").alias("k"), "node").distinct())
+    many = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    return keyed.join(many, "k")
+
+
 def close_links(nodes: DataFrame, texts: DataFrame, keys: list[str], size: int, least: float) -> DataFrame:
     """Verified links ``a, b`` that connect all nodes which share a bucket and are close.
 
-    First every node meets one leader, the smallest node of a bucket, that of most of its buckets: one
-    pair a node connects groups of copies. Then nodes that are still apart from a leader of theirs meet
-    it. Last, in each bucket that still has nodes of several components, every node outside its largest
+    Buckets are those of linked SimHash fingerprints (``print_buckets``) and of min-hash bands
+    (``buckets``). First every node meets one leader, the smallest node of a bucket, that of most of its
+    buckets: one pair a node connects groups of copies. Then nodes that are still apart from a leader of
+    theirs meet it. Last, in each bucket that still has nodes of several components, every node outside its largest
     component meets all nodes of other components, in cells of bounded size that compare hashes and
     return the pairs that may be close. So no two close nodes of a bucket are left in different
     components. The plan is the same for any data: three passes of candidates, hashes and whole texts.
     """
-    members = saved(buckets(nodes))
+    members = saved(print_buckets(nodes).union(buckets(nodes)))
     wanted = members.select("node").distinct()
     asked = nodes.join(wanted, "node").select("node", "first.*")
     known = saved(texts.join(asked, keys).dropDuplicates(["node"]).select("node", "__text"))
@@ -284,8 +301,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     """The rows of ``df``, all columns, with one row of each group of near-duplicates.
 
     Rows are linked if the sets of their runs of ``size`` words (ASCII case ignored) have a Jaccard
-    similarity of ``least`` or more, and groups follow links. Candidates share a bucket of min-hash
-    bands (``buckets``): a pair of similarity 0.8 has one in all but one of 15,000 cases, or of 100
+    similarity of ``least`` or more, and groups follow links. Candidates have linked SimHash
+    fingerprints (``print_buckets``) or share a bucket of min-hash bands (``buckets``), which finds copies
+    that differ in more bits: a pair of similarity 0.8 has one in all but one of 15,000 cases, or of 100
     where every band of it is crowded; a link is always verified on whole texts.
     The smallest identifier stays; null identifiers come last and are told apart by their text. Of
     rows that repeat identifier and text, one stays. Null and blank texts are alike.
@@ -299,7 +317,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     first = F.struct(*keys)
     # Copies are combined before any bucket is formed.
     nodes = saved(_sketches(texts, size).groupBy("node").agg(
-        F.min(first).alias("first"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
+        F.min(first).alias("first"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"),
+        F.collect_set("fp").alias("prints")))
     roots = connected(close_links(nodes, texts, keys, size, least))
     linked = nodes.select("node", "first").join(roots, "node")
     best = linked.groupBy("root").agg(F.min("first").alias("first"))

@@ -7,7 +7,7 @@ import pytest
 
 from shelfmatch.llm import near_copies
 from shelfmatch.llm.near_copies import keep_one, shingles, similarity
-from tests.llm.helpers import AWKWARD, documents
+from tests.llm.helpers import AWKWARD, LONG, documents
 
 
 def edited(draw, words, share):
@@ -145,3 +145,22 @@ def test_every_pair_of_different_roots_meets_in_a_cell(spark, monkeypatch, side)
     want = {(a, b) for k, a, x in rows for l, b, y in rows if k == l and a < b and x != y}
     assert met == want and not any(k == 4 for k, *_ in cells)
     assert all(len(own) <= 8 * side for own in cells.values())
+
+
+def test_linked_fingerprints_share_a_bucket(spark):
+    rows = [(1, [0]), (2, [3]), (3, [15]), (4, [2**40 - 1]), (5, [2**40 - 1, 1023 << 50]), (6, [-1])]
+    found = near_copies.print_buckets(spark.createDataFrame(rows, "node bigint, prints array<bigint>")).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.k, set()).add(r.node)
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3], [4, 5]]
+
+
+def test_fingerprints_alone_find_copies_and_the_check_decides(spark, monkeypatch):
+    """Without a min-hash bucket, one changed word of many is found; texts alike in their repeated part only stay."""
+    monkeypatch.setattr(near_copies, "buckets", lambda nodes: nodes.select("node", "node").toDF("k", "node").limit(0))
+    more = LONG + " " + " ".join(f"own{i}" for i in range(300))
+    rows = [(1, LONG), (2, LONG.replace(" w5 ", " other ", 1)), (3, more), (4, "something else " * 9)]
+    assert {r.doc_id for r in keep_one(documents(spark, rows)).collect()} == {1, 3, 4}
+    prints = [near_copies.fingerprint(t.encode()) for t in (LONG, more)]
+    assert 2 >= (prints[0] ^ prints[1]).bit_count()
