@@ -96,6 +96,56 @@ def _first_in_groups(dist: np.ndarray, best: np.ndarray, starts: np.ndarray, row
     return np.minimum.reduceat(at, starts, axis=1)[rows, segs]
 
 
+def _candidates(near: np.ndarray, k: int, starts: np.ndarray | None, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of every pair that can be among a row's ``k`` best, or the best of one of its ``k`` best groups.
+
+    ``near`` are similarities in single precision, wrong by ``slack`` at most. The k-th best of a row, or of
+    its groups, is known up to that, so no pair below it by more than twice ``slack`` can win.
+    """
+    count = near.shape[1]
+    # So many best pairs are of k groups at least.
+    pairs = k if starts is None else (k - 1) * int(np.diff(np.r_[starts, count]).max()) + 1
+    if starts is None or 16 * pairs <= count:
+        wide = max(1, count // max(256, 8 * pairs))
+        # The best of so many parts of a row are as many pairs: the last of them is a lower bound.
+        parts = near[:, : count // wide * wide].reshape(len(near), wide, -1).max(axis=1)
+        bound = np.partition(parts, -pairs, axis=1)[:, -pairs] if parts.shape[1] >= pairs else np.full(len(near), -np.inf)
+        return np.divmod(np.flatnonzero(near >= (bound - 2 * slack)[:, None].astype(np.float32)), count)
+    best = np.maximum.reduceat(near, starts, axis=1)
+    bound = np.partition(best, -k, axis=1)[:, -k] - 2 * slack if len(starts) >= k else np.full(len(near), -np.inf)
+    bound = bound.astype(np.float32)
+    limit = np.where(best >= bound[:, None], best - np.float32(2 * slack), np.float32(np.inf))
+    ends = np.r_[starts[1:], count]
+    if len(starts) <= max(256, k):
+        found = [np.nonzero(near[:, x:y] >= limit[:, [g]]) for g, (x, y) in enumerate(zip(starts, ends))]
+        return np.concatenate([r for r, _ in found]), np.concatenate([c + x for (_, c), x in zip(found, starts)])
+    rows, cols = np.divmod(np.flatnonzero(near >= bound[:, None]), count)
+    keep = near[rows, cols] >= limit[rows, np.repeat(np.arange(len(starts)), ends - starts)[cols]]
+    return rows[keep], cols[keep]
+
+
+def _best(left, right, tie, k, starts, tie_on_group, slack, few) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and distance of the ``k`` best pairs or groups of every row, without a matrix of distances.
+
+    Products in single precision (``few``: both sides) leave some candidates a row, whose distances are
+    then exact.
+    """
+    rows, cols = _candidates(few[0] @ few[1].T, k, starts, slack)
+    dist = np.round(1.0 - np.einsum("ij,ij->i", left[rows], right[cols]), TIE_DIGITS)
+    last = tie[cols]
+    if starts is not None:
+        code = np.searchsorted(starts, cols, "right")
+        order = np.lexsort((cols, dist, code, rows))
+        rows, cols, dist, code = rows[order], cols[order], dist[order], code[order]
+        first = np.r_[True, (rows[1:] != rows[:-1]) | (code[1:] != code[:-1])]
+        rows, cols, dist, code = rows[first], cols[first], dist[first], code[first]
+        last = code if tie_on_group else tie[cols]
+    order = np.lexsort((last, dist, rows))
+    rows, cols, dist = rows[order], cols[order], dist[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    return rows[keep], cols[keep], dist[keep]
+
+
 def _cell_function(query_cols, ref_cols, k, group, tie_on_group):
     def cell(queries: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or refs.empty:
@@ -103,27 +153,39 @@ def _cell_function(query_cols, ref_cols, k, group, tie_on_group):
         sort = ["__tie"] if group is None else [group, "__tie"]
         refs = refs.sort_values(sort, kind="stable").reset_index(drop=True)
         left, right = _unit_rows(queries["__vector"]), _unit_rows(refs["__vector"])
+        few, slack = (left.astype(np.float32), right.astype(np.float32)), (right.shape[1] + 4) * 2.0**-23
         tie = refs["__tie"].rank(method="dense").to_numpy()
+        starts = None
         if group is not None:
             codes = pd.factorize(refs[group])[0]
             starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        step = max(1, 8_000_000 // len(refs))
+        step = max(1, 2_000_000 // len(refs))
         tiles = _tiles(right, k) if len(left) > 2 * len(right) ** 0.5 else None
+        if tiles is not None:
+            # Tiles pay where they leave out most products, as a few queries show.
+            probe = left[np.linspace(0, len(left) - 1, min(len(left), 64)).astype(int)]
+            _, multiplied = _distances(probe, right, k, tiles, starts)
+            tiles = tiles if multiplied < 0.1 * len(probe) * len(right) else None
         picked_q, picked_r, picked_d = [], [], []
         for begin in range(0, len(left), step):
-            dist, _ = _distances(left[begin : begin + step], right, k, tiles, None if group is None else starts)
-            if group is None:
-                rows, cols = _smallest(dist, tie, k)
+            part = left[begin : begin + step]
+            if tiles is None:
+                rows, cols, found = _best(part, right, tie, k, starts, tie_on_group, slack, (few[0][begin : begin + step], few[1]))
             else:
-                best = np.minimum.reduceat(dist, starts, axis=1)
-                if tie_on_group:
-                    rows, segs = _smallest(best, np.arange(len(starts)), k)
-                    cols = _first_in_groups(dist, best, starts, rows, segs)
+                dist, _ = _distances(part, right, k, tiles, starts)
+                if group is None:
+                    rows, cols = _smallest(dist, tie, k)
                 else:
-                    rows, cols = _smallest_of_groups(dist, best, starts, tie, k)
+                    best = np.minimum.reduceat(dist, starts, axis=1)
+                    if tie_on_group:
+                        rows, segs = _smallest(best, np.arange(len(starts)), k)
+                        cols = _first_in_groups(dist, best, starts, rows, segs)
+                    else:
+                        rows, cols = _smallest_of_groups(dist, best, starts, tie, k)
+                found = dist[rows, cols]
             picked_q.append(rows + begin)
             picked_r.append(cols)
-            picked_d.append(dist[rows, cols])
+            picked_d.append(found)
         q = queries.iloc[np.concatenate(picked_q)][query_cols].reset_index(drop=True)
         r = refs.iloc[np.concatenate(picked_r)][ref_cols].reset_index(drop=True)
         out = pd.concat([q, r], axis=1)

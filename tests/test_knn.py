@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,32 @@ def test_no_tile_is_left_out_of_vectors_without_clusters():
     dist, _ = knn._distances(left, right, 3, knn._tiles(right, 3), None)
     whole = np.round(1.0 - left @ right.T, knn.TIE_DIGITS)
     assert all((a == b).all() for a, b in zip(knn._smallest(dist, np.arange(800), 3), knn._smallest(whole, np.arange(800), 3)))
+
+
+def test_a_cell_finds_the_best_without_a_matrix_of_distances(monkeypatch):
+    """Unclustered vectors, copies and near ties: the cell agrees with the whole product, which it does not form."""
+    rng = np.random.default_rng(3)
+    right = rng.normal(size=(1200, 24)).astype(np.float32)
+    right[500:600] = right[:100]
+    right[600:700] = right[:100] * np.float32(1 + 2e-7)
+    left = np.concatenate([rng.normal(size=(100, 24)), right[:30] + 1e-7]).astype(np.float32)
+    a, b = (x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True) for x in (left, right))
+    whole = np.round(1.0 - a @ b.T, knn.TIE_DIGITS)
+    formed = []
+    monkeypatch.setattr(knn, "_distances", lambda left, right, *rest, f=knn._distances: formed.append(len(left)) or f(left, right, *rest))
+    queries = pd.DataFrame({"query_id": np.arange(130), "__vector": list(left)})
+    for groups, k in ((None, 10), (300, 10), (7, 5), (7, 20), (2, 1)):
+        refs = pd.DataFrame({"id": np.arange(1200), "__tie": np.arange(1200), "__vector": list(right)})
+        refs["g"] = [f"{i % (groups or 1):04}" for i in range(1200)]
+        for tie_on_group in (False, True)[: 1 if groups is None else 2]:
+            got = knn._cell_function(["query_id"], ["id", "g"], k, groups and "g", tie_on_group)(queries, refs)
+            for q in range(0, 130, 3):
+                rows = sorted((whole[q, i], i if groups is None or not tie_on_group else refs.g[i], i) for i in range(1200))
+                seen, want = set(), []
+                for d, _, i in sorted(rows, key=lambda r: (r[0], r[2])):
+                    if groups is None or refs.g[i] not in seen:
+                        seen.add(refs.g[i])
+                        want.append((round(d, 11), refs.g[i] if tie_on_group else "", i))
+                mine = got[got.query_id == q]
+                assert list(mine.id) == [i for _, _, i in sorted(want)[:k]]
+    assert max(formed) <= 64
