@@ -107,11 +107,15 @@ def queue_order(feedback: DataFrame) -> DataFrame:
 
 def vintage_rerank(ranked: DataFrame, year: str = "detected_year", vintage: str = "vintage") -> DataFrame:
     """Equal year first, unknown next, others last; the old order inside each class."""
-    cls = F.when(F.col(year).isNull() | F.col(vintage).eqNullSafe(F.col(year)), 0).when(
+    again = rank_bounded(ranked, ["query_id"], [vintage_class(year, vintage), F.col("rank")], "__rank")
+    return again.withColumn("rank", F.col("__rank")).drop("__rank")
+
+
+def vintage_class(year: str = "detected_year", vintage: str = "vintage") -> Column:
+    """0: the detected year or none detected, 1: unknown vintage, 2: another one."""
+    return F.when(F.col(year).isNull() | F.col(vintage).eqNullSafe(F.col(year)), 0).when(
         F.col(vintage).isNull(), 1
     ).otherwise(2)
-    again = rank_bounded(ranked, ["query_id"], [cls, F.col("rank")], "__rank")
-    return again.withColumn("rank", F.col("__rank")).drop("__rank")
 
 
 def single_exact_reference(ranked: DataFrame, exact: Column) -> DataFrame:

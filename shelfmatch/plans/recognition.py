@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from shelfmatch import constants as K
 from shelfmatch.functions import text as X
 from shelfmatch.functions import vectors as N
-from shelfmatch.operators.ranking import single_exact_reference, stable_ties, top_scores, vintage_rerank
+from shelfmatch.operators.ranking import single_exact_reference, stable_ties, top_scores, vintage_class, vintage_rerank
 from shelfmatch.operators.windows import canonical_reference
 from shelfmatch.skew import rank_bounded
 
@@ -108,13 +108,21 @@ def _fuse_rows(rows: DataFrame, leads: Column, weight: Column) -> DataFrame:
     ``rows``: every (query, slug) with a shortlist place (``__listed``), a visual or a text score.
     Shared keys count wherever they are; geometry counts only inside the shortlist.
     """
-    vis, txt, img = F.col("visual_score"), F.col("text_score"), F.col("image_score")
-    listed = F.col("__listed")
+    return stable_ties(_fused_scores(rows.withColumns(_query_flags()).where("__listed"), leads, weight))
+
+
+def _query_flags() -> dict[str, Column]:
+    """Whether a query has geometry inside its shortlist, keys shared by geometry and text, and any text."""
+    vis, txt = F.col("visual_score"), F.col("text_score")
     any_of = lambda c: F.coalesce(F.bool_or(c).over(_per_query()), F.lit(False))
-    flagged = rows.withColumns({
-        "__geo": any_of(listed & (vis > 0)), "__shared": any_of(vis.isNotNull() & txt.isNotNull()),
-        "__lead": leads & any_of(txt.isNotNull()), "text_weight": weight,
-    }).where(listed)
+    return {"__geo": any_of(F.col("__listed") & (vis > 0)), "__shared": any_of(vis.isNotNull() & txt.isNotNull()),
+            "__text": any_of(txt.isNotNull())}
+
+
+def _fused_scores(rows: DataFrame, leads: Column, weight: Column) -> DataFrame:
+    """Mode and fused score of listed rows that carry ``_query_flags``; members of the mode stay."""
+    vis, txt, img = F.col("visual_score"), F.col("text_score"), F.col("image_score")
+    flagged = rows.withColumns({"__lead": leads & F.col("__text"), "text_weight": weight})
     w, v = F.col("text_weight"), F.lit(1.0) - F.col("text_weight")
     lead, geo, zero = F.col("__lead"), F.col("__geo"), F.lit(0.0)
     # Mode names.
@@ -133,7 +141,7 @@ def _fuse_rows(rows: DataFrame, leads: Column, weight: Column) -> DataFrame:
         .when(geo, v * vis + w * F.coalesce(txt, zero)).otherwise(v * img)
     )
     out = flagged.withColumn("mode", mode).where(member).withColumn("score", fused)
-    return stable_ties(out.drop("__geo", "__shared", "__lead", "__listed"))
+    return out.drop("__geo", "__shared", "__text", "__lead", "__listed")
 
 
 def blend_palette(ranked: DataFrame, palette: DataFrame | None = None, weight: float = K.PALETTE_WEIGHT) -> DataFrame:
@@ -153,30 +161,32 @@ def blend_palette(ranked: DataFrame, palette: DataFrame | None = None, weight: f
 
 def _blend_rows(rows: DataFrame, weight: float) -> DataFrame:
     known = F.max("palette_score").over(_per_query()).isNotNull()
-    mixed = (F.lit(1.0) - weight) * F.col("score") + F.lit(weight) * F.coalesce("palette_score", F.lit(K.NEUTRAL_PALETTE))
     blended = rows.withColumn("palette_used", known).withColumns({
-        "fusion_score": F.col("score"), "score": F.when(F.col("palette_used"), mixed).otherwise(F.col("score")),
-        "__before": F.col("rank"),
+        "fusion_score": F.col("score"), "score": _blended(weight), "__before": F.col("rank"),
     }).drop("rank")
     return rank_bounded(blended, ["query_id"], [F.desc("score"), F.col("__before")]).drop("__before")
 
 
+def _blended(weight: float) -> Column:
+    mixed = (F.lit(1.0) - weight) * F.col("score") + F.lit(weight) * F.coalesce("palette_score", F.lit(K.NEUTRAL_PALETTE))
+    return F.when(F.col("palette_used"), mixed).otherwise(F.col("score"))
+
+
 def apply_vintage(ranked: DataFrame, years: DataFrame) -> DataFrame:
     """Prefer candidates of the one detected year; adds detected_year and vintage_state.
 
     ``years``: query_id and the array of years read.
     """
-    return _date_rows(ranked.join(years, "query_id", "left"))
+    again = vintage_rerank(_with_year(ranked.join(years, "query_id", "left")))
+    chosen = F.max(F.when(F.col("rank") == 1, F.col("vintage"))).over(_per_query())
+    return again.withColumn("vintage_state", _vintage_state(chosen)).drop("__years")
 
 
-def _date_rows(rows: DataFrame) -> DataFrame:
+def _with_year(rows: DataFrame) -> DataFrame:
     distinct = F.array_distinct(F.coalesce("years", F.array().cast("array<int>")))
-    dated = rows.withColumns({
+    return rows.withColumns({
         "detected_year": F.when(F.size(distinct) == 1, distinct[0]), "__years": F.size(distinct),
     }).drop("years")
-    again = vintage_rerank(dated)
-    chosen = F.max(F.when(F.col("rank") == 1, F.col("vintage"))).over(_per_query())
-    return again.withColumn("vintage_state", _vintage_state(chosen)).drop("__years")
 
 
 def _vintage_state(chosen: Column) -> Column:
@@ -189,12 +199,7 @@ def _vintage_state(chosen: Column) -> Column:
 
 def prefer_confirmed(ranked: DataFrame) -> DataFrame:
     """Move the only candidate that matches a user-confirmed photo to the front."""
-    exact = (
-        F.col("best_image_uri").startswith(K.FEEDBACK_PREFIX)
-        & (F.coalesce("image_score", F.lit(0.0)) >= K.EXACT_IMAGE)
-        & (F.coalesce("visual_score", F.lit(0.0)) >= K.EXACT_GEOMETRY)
-    )
-    marked = single_exact_reference(ranked, exact)
+    marked = single_exact_reference(ranked, _exact_reference())
     confirmed = F.bool_or("promoted").over(_per_query())
     again = rank_bounded(
         marked.withColumn("confirmed", confirmed), ["query_id"], [F.col("promoted").desc(), F.col("rank")], "__rank"
@@ -203,12 +208,23 @@ def prefer_confirmed(ranked: DataFrame) -> DataFrame:
         return again
     # The promoted row answers the vintage check for itself.
     own = F.max(F.when(F.col("promoted"), F.col("vintage"))).over(_per_query())
+    return again.withColumn("vintage_state", _confirmed_state(own))
+
+
+def _exact_reference() -> Column:
+    return (
+        F.col("best_image_uri").startswith(K.FEEDBACK_PREFIX)
+        & (F.coalesce("image_score", F.lit(0.0)) >= K.EXACT_IMAGE)
+        & (F.coalesce("visual_score", F.lit(0.0)) >= K.EXACT_GEOMETRY)
+    )
+
+
+def _confirmed_state(own: Column) -> Column:
     year = F.col("detected_year")
-    state = F.when(
+    return F.when(
         F.col("confirmed") & year.isNotNull(),
         F.when(own == year, "matched").when(own.isNull(), "unverified").otherwise("mismatch"),
     ).otherwise(F.col("vintage_state"))
-    return again.withColumn("vintage_state", state)
 
 
 def decide(
@@ -271,7 +287,15 @@ def recognize_batch(
     The branches meet in one row per (query, slug), item facts are looked up once by slug, and
     everything after that happens inside a query, so candidates move three times in all.
     """
-    ranked = _rank_branches(visual, verified, text, evidence, refs, cards, palette, palette_weight)
+    rows = _branches(visual, verified, text, refs, cards, palette)
+    return recognize_gathered(rows, evidence, queries, palette_weight if palette is not None else 0)
+
+
+def recognize_gathered(
+    rows: DataFrame, evidence: DataFrame, queries: DataFrame | None = None, palette_weight: float = K.PALETTE_WEIGHT,
+) -> tuple[DataFrame, DataFrame]:
+    """``recognize_batch`` of candidates whose branches were gathered before, as ``branch_tops`` gives them."""
+    ranked = rank_gathered(rows, evidence, palette_weight)
     decisions = decide(ranked)
     decisions = decisions.withColumns({
         "warnings": F.filter(F.array(
@@ -314,7 +338,7 @@ def _quoted(c: Column) -> Column:
     return out
 
 
-def _item_lookup(cards: DataFrame, refs: DataFrame) -> DataFrame:
+def item_facts(cards: DataFrame, refs: DataFrame) -> DataFrame:
     """Card facts, producer words and the canonical reference per model of every slug."""
     canonical = canonical_reference(refs).groupBy("slug").agg(F.map_from_entries(F.collect_list(
         F.struct("model_name", F.struct("item_id", F.col("image_uri").alias("uri")))
@@ -324,7 +348,7 @@ def _item_lookup(cards: DataFrame, refs: DataFrame) -> DataFrame:
     return facts.join(canonical, "slug", "full")
 
 
-def _rank_branches(visual, verified, text, evidence, refs, cards, palette, palette_weight) -> DataFrame:
+def _branches(visual, verified, text, refs, cards, palette) -> DataFrame:
     keys = ["query_id", "slug"]
     listed = visual.select(
         *keys, "item_id", "best_image_uri", "model_name", F.col("score").alias("image_score"), F.col("rank").alias("src_order"))
@@ -336,35 +360,103 @@ def _rank_branches(visual, verified, text, evidence, refs, cards, palette, palet
     rows = rows.where(F.col("__visual") | F.col("text_score").isNotNull() | F.col("visual_score").isNotNull())
     if palette is None:
         rows = rows.withColumn("palette_score", F.lit(None).cast("double"))
+    return rows.join(item_facts(cards, refs), "slug", "left")
+
+
+def branch_tops(rows: DataFrame) -> DataFrame:
+    """Gathered branches out of rows that carry the scores of all of them: each keeps its best of a query.
+
+    ``rows``: one row per (query, slug) with ``photo`` (whether the photo search found it), item_id, best_image_uri,
+    model_name, image_score, visual_score, text_score, palette_score and the columns of ``item_facts``. They move
+    once, by query; a query has a row per slug at most, ranks over it are read in order, and 40 of them stay.
+    """
+    query = _per_query()
+    best = lambda *order: F.row_number().over(query.orderBy(*order, F.col("slug")))
+    ranked = rows.repartition("query_id").withColumns({
+        "src_order": best(F.desc("photo"), F.desc("image_score")).cast("long"),
+        "__vis": best(F.desc("visual_score")), "__txt": best(F.desc("text_score")),
+    })
+    listed = F.col("photo") & (F.col("src_order") <= K.SHORTLIST_LIMIT)
+    own = lambda c: F.when(F.col("__visual"), F.col(c))
+    top = lambda c, place: F.when(F.col(place) <= K.BRANCH_LIMIT, F.col(c))
+    cut = ranked.withColumn("__visual", listed).withColumns({
+        **{c: own(c) for c in ("item_id", "best_image_uri", "model_name", "image_score", "src_order")},
+        "visual_score": top("visual_score", "__vis"), "text_score": top("text_score", "__txt"),
+    }).drop("photo", "__vis").withColumnRenamed("__txt", "text_place")
+    return cut.where(F.col("__visual") | F.col("text_score").isNotNull() | F.col("visual_score").isNotNull())
+
+
+def rank_gathered(rows: DataFrame, evidence: DataFrame, palette_weight: float = K.PALETTE_WEIGHT) -> DataFrame:
+    """Ranked candidates of all queries: ``fuse_gathered``, ``blend_palette``, ``apply_vintage`` and ``prefer_confirmed``.
+
+    The same rows as these one after another, which would each sort a query anew: one sort by all their orders gives
+    the ranks, and the one promoted row only shifts those before it.
+    """
+    ranked = date_gathered(rows, evidence, palette_weight)
+    place = F.max(F.when(F.col("promoted"), F.col("rank"))).over(_per_query())
+    rank = F.when(F.col("promoted"), 1).when(F.col("rank") < F.col("__place"), F.col("rank") + 1).otherwise(F.col("rank"))
+    again = ranked.withColumn("__place", place).withColumn("rank", rank.cast("long")).drop("__place")
+    return again.withColumn("vintage_state", _confirmed_state(F.col("__own"))).drop("__own")
+
+
+def date_gathered(rows: DataFrame, evidence: DataFrame, palette_weight: float = K.PALETTE_WEIGHT) -> DataFrame:
+    """``rank_gathered`` before the confirmed photo moves to the front."""
+    query = _per_query()
+    fused = _fuse_gathered(rows, evidence)
+    exact = _exact_reference()
+    seen = fused.withColumn("__exact", F.coalesce(exact, F.lit(False))).withColumns({
+        "palette_used": F.max("palette_score").over(query).isNotNull(), "__count": F.count_if("__exact").over(query),
+        "__own": F.max(F.when(F.col("__exact"), F.col("vintage"))).over(query),
+    }).withColumns({
+        "promoted": F.col("__exact") & (F.col("__count") == 1), "confirmed": F.col("__count") == 1,
+    }).drop("__exact", "__count")
+    if palette_weight > 0:
+        seen = seen.withColumn("fusion_score", F.col("score")).withColumn("score", _blended(palette_weight))
+        order = [F.desc("score"), F.desc("fusion_score"), F.col("src_order")]
+    else:
+        seen, order = seen.drop("palette_used"), [F.desc("score"), F.col("src_order")]
+    dated = _with_year(seen)
+    first = query.orderBy(vintage_class(), *order)
+    whole = first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = dated.withColumns({"rank": F.row_number().over(first).cast("long"), "__chosen": F.first("vintage").over(whole)})
+    return ranked.withColumn("vintage_state", _vintage_state(F.col("__chosen"))).drop("__years", "__chosen")
+
+
+def fuse_gathered(rows: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Candidates ranked by fused score, with rescued text hits and the quality of the query's text."""
+    return stable_ties(_fuse_gathered(rows, evidence))
+
+
+def _fuse_gathered(rows: DataFrame, evidence: DataFrame) -> DataFrame:
     facts = evidence.select(
         "query_id", "text_confidence", "years", X.word_set(F.coalesce("text", F.lit(""))).alias("__words"))
-    rows = rows.join(_item_lookup(cards, refs), "slug", "left").join(facts, "query_id", "left")
     query = _per_query()
-    rows = rows.withColumn("__model", F.max("model_name").over(query))
+    count = lambda c: F.count_if(c).over(query)
+    rows = rows.join(facts, "query_id", "left").withColumns({
+        "__model": F.max("model_name").over(query), "visual_count": count(F.col("__visual")),
+        "geometry_count": count(F.col("visual_score").isNotNull()), "text_count": count(F.col("text_score").isNotNull()),
+    })
     # Text hits the photo missed join the list when their item has a reference of the same model.
     reference = F.try_element_at("__refs", F.coalesce("__model", F.lit("")))
     rescued = ~F.col("__visual") & F.col("text_score").isNotNull() & reference.isNotNull()
     rows = rows.withColumns({"rescued": rescued, "__ref": reference}).drop("__refs")
-    place = F.row_number().over(query.orderBy(F.col("rescued").desc(), F.desc("text_score"), F.col("slug")))
-    count = lambda c: F.count_if(c).over(query)
+    # Places among the query's text hits, or among the rescued ones: either way in the same order.
+    place = F.col("text_place") if "text_place" in rows.columns else F.row_number().over(
+        query.orderBy(F.col("rescued").desc(), F.desc("text_score"), F.col("slug")))
     fill = lambda name, value: F.when(F.col("rescued"), value).otherwise(F.col(name))
     rows = rows.withColumns({
         "__listed": F.col("__visual") | F.col("rescued"), "src_order": fill("src_order", place + K.SHORTLIST_LIMIT),
         "item_id": fill("item_id", F.col("__ref.item_id")), "best_image_uri": fill("best_image_uri", F.col("__ref.uri")),
-        "visual_count": count(F.col("__visual")), "rescue_count": count(F.col("rescued")),
-        "geometry_count": count(F.col("visual_score").isNotNull()), "text_count": count(F.col("text_score").isNotNull()),
+    }).withColumns({
+        "rescue_count": count(F.col("rescued")), **_query_flags(),
+        "__vocabulary": F.flatten(F.collect_set(F.when(F.col("__listed"), F.col("__producer"))).over(query)),
     })
-    producer = F.flatten(F.collect_set(F.when(F.col("__listed"), F.col("__producer"))).over(query))
-    quality = _quality_columns(
-        F.coalesce("__words", F.array().cast("array<string>")), F.col("__vocabulary"), F.col("text_count") > 0, F.col("text_confidence"))
-    rows = rows.withColumn("__vocabulary", producer).withColumns(quality)
-    sufficient = F.col("text_reason") == "sufficient_text"
-    rows = rows.withColumn("sufficient", sufficient).drop("__vocabulary", "__words", "__producer", "__ref", "__model", "__visual")
+    rows = rows.where("__listed").withColumns(_quality_columns(
+        F.coalesce("__words", F.array().cast("array<string>")), F.col("__vocabulary"), F.col("text_count") > 0, F.col("text_confidence")))
+    rows = rows.withColumn("sufficient", F.col("text_reason") == "sufficient_text").drop(
+        "__vocabulary", "__words", "__producer", "__ref", "__model", "__visual", "text_place")
     weight = F.when(F.col("sufficient"), K.TEXT_WEIGHT_SUFFICIENT).otherwise(K.TEXT_WEIGHT_SPARSE)
-    ranked = _fuse_rows(rows, F.col("sufficient"), weight)
-    if palette is not None and palette_weight > 0:
-        ranked = _blend_rows(ranked, palette_weight)
-    return prefer_confirmed(_date_rows(ranked))
+    return _fused_scores(rows, F.col("sufficient"), weight)
 
 
 def resolve_label(

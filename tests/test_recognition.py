@@ -175,3 +175,66 @@ def test_branches_move_once_and_palette_adds_no_candidate(spark):
     assert abs(first.fusion_score - 0.7 * 0.7) < 1e-12 and first.palette_used and not rows[2, "a"].palette_used
     plan = fused._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2
+
+
+ONE_PASS = ["fuse", "blend_palette", "apply_vintage", "prefer_confirmed", "decide", "recognize_batch", "recognition_answers", "smoke_gate"]
+
+
+@pytest.mark.parametrize("name", ONE_PASS)
+def test_order_lines_are_read_once(spark, name):
+    from __spark_entry__ import queries
+
+    leaves = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("\n")
+    assert leaves.count("l_orderkey") == 1
+
+
+def test_gathered_branches_decide_as_separate_ones(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from shelfmatch.operators.ranking import top_scores
+    from shelfmatch.skew import top_per_key
+
+    rng = random.Random(3)
+    score = lambda: rng.choice([None, *[i / 20 for i in range(21)]])  # many ties
+    lines = [(q, f"s{s:02}", rng.random() < 0.7, f"i{s}", f"/data/reference/{rng.choice(['catalog', 'feedback'])}/{s}.png", "m",
+              score(), score(), score(), score()) for q in range(12) for s in range(45 if q < 6 else q - 6)]
+    rows = spark.createDataFrame(lines, "query_id int, slug string, photo boolean, item_id string, best_image_uri string, model_name string, "
+                                 "image_score double, visual_score double, text_score double, palette_score double")
+    cards = spark.createDataFrame([(f"s{s:02}", f"N{s}", f"Maker{s}", 2000 + s % 3) for s in range(40)], "slug string, name string, winery string, vintage int")
+    refs = spark.createDataFrame([(s, f"i{s}", f"s{s:02}", f"/web-{s}.jpg", "m") for s in range(0, 45, 2)], "id int, item_id string, slug string, image_uri string, model_name string")
+    evidence = spark.createDataFrame([(q, "alpha bravo charlie delta", 0.9 if q % 2 else 0.1, [2001]) for q in range(10)],
+                                     "query_id int, text string, text_confidence double, years array<int>")
+    # A photo's own columns are those of its row; rows that the photo search did not find have none.
+    found = rows.where("photo").select("query_id", "slug", "item_id", "best_image_uri", "model_name", F.col("image_score").alias("score"))
+    visual = top_per_key(found, ["query_id"], [F.desc("score"), F.col("slug")], 20)
+    of = lambda c: rows.where(F.col(c).isNotNull()).select("query_id", "slug", F.col(c).alias("score"))
+    text = top_scores(of("text_score"), key="slug")
+    apart, _ = P.recognize_batch(visual, of("visual_score"), text, evidence, refs, cards, of("palette_score"))
+    facts = P.item_facts(cards, refs).select("slug", "vintage", "__producer", "__refs")
+    own = rows.withColumn("image_score", F.when(F.col("photo"), F.col("image_score")))
+    together, _ = P.recognize_gathered(P.branch_tops(own.join(facts, "slug", "left")), evidence)
+    want, got = (sorted(map(repr, d.select(*apart.columns).collect())) for d in (apart, together))
+    assert got == want and len(got) > 9
+
+
+def test_one_sort_ranks_as_step_by_step(spark):
+    import random
+
+    rng = random.Random(5)
+    some = lambda: rng.choice([None, 0.0, 0.5, 0.96, 1.0])
+    rows = spark.createDataFrame(
+        [(q, f"s{s}", f"i{s}", f"/data/reference/{rng.choice(['catalog', 'feedback'])}/{s}.png", "m", s + 1, some(), some(), some(), some(), True,
+          rng.choice([None, 2000, 2001]), ["maker"], {}) for q in range(80) for s in range(rng.randrange(1, 8))],
+        "query_id int, slug string, item_id string, best_image_uri string, model_name string, src_order long, image_score double, visual_score double, "
+        "text_score double, palette_score double, __visual boolean, vintage int, __producer array<string>, __refs map<string,struct<item_id:string,uri:string>>")
+    evidence = spark.createDataFrame([(q, "alpha bravo charlie delta", 0.9 if q % 2 else 0.1, [[2001], [], [2000, 2001]][q % 3]) for q in range(75)],
+                                     "query_id int, text string, text_confidence double, years array<int>")
+    fused = P.fuse_gathered(rows, evidence)
+    steps = P.prefer_confirmed(P.apply_vintage(P.blend_palette(fused.drop("years")), evidence.select("query_id", "years")))
+    want, got = (sorted(map(repr, d.select(*steps.columns).collect())) for d in (steps, P.rank_gathered(rows, evidence)))
+    assert got == want and any("confirmed=True" in r and "promoted=False" in r for r in got)
+    unblended = P.apply_vintage(fused.drop("years"), evidence.select("query_id", "years"))
+    want, got = (sorted(map(repr, d.select(*unblended.columns).collect())) for d in (unblended, P.date_gathered(rows, evidence, 0)))
+    assert got == want
