@@ -74,6 +74,15 @@ def test_card_pages(spark):
     assert G.page_name(plain).first()["name"] == "A < B"
 
 
+def test_pages_are_dealt_over_tasks_and_need_two_python_steps(spark):
+    """Each Python step holds a worker per running task, and a small file of pages is one task."""
+    pages = spark.createDataFrame([(i, "https://shop.example.org/", f"<h1>N{i} &amp; M</h1>") for i in range(400)], "page_id int, url string, html string").coalesce(1)
+    for read in (G.page_name, G.page_image, G.challenge_page):
+        found = read(pages)
+        assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 2
+        assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
 def test_palette(spark):
     rows = [(1, 255, 0, 0, 255)] * 30 + [(1, 0, 0, 0, 255)] * 10 + [(1, 255, 255, 255, 0)] * 10 + [(2, 255, 0, 0, 255)] * 23 + [(3, 250, 250, 250, 255)] * 12 + [(3, 100, 100, 100, 255)] * 12
     df = spark.createDataFrame(rows, "image_id int, red int, green int, blue int, alpha int")
