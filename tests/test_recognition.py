@@ -238,3 +238,12 @@ def test_one_sort_ranks_as_step_by_step(spark):
     unblended = P.apply_vintage(fused.drop("years"), evidence.select("query_id", "years"))
     want, got = (sorted(map(repr, d.select(*unblended.columns).collect())) for d in (unblended, P.date_gathered(rows, evidence, 0)))
     assert got == want
+
+
+def test_texts_are_dealt_before_their_words_are_read(spark):
+    """A file of many short texts may be a single task of its reader; Python must not run there."""
+    from __spark_entry__ import queries
+
+    plan = queries()["fuse"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    below = plan.rsplit("ArrowEvalPython", 1)[1]
+    assert "o_orderkey" in below and "Exchange hashpartitioning(query_id" in below
