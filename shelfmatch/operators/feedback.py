@@ -172,10 +172,10 @@ def publish_feedback(
     Results for an older label are ignored. A photo confirmed under two labels is published only
     under the label that is ready, or was queued first.
     """
-    current = drop_stale_results(results, feedback)
-    rows = current.join(
-        feedback.select("job_id", "image_sha256", "correct_slug", "updated_at", "reference_uri"), "job_id"
-    )
+    # ``drop_stale_results`` and the job's own columns in one join; feedback has one row per job.
+    rows = results.join(
+        feedback.select("job_id", "image_sha256", "correct_slug", "updated_at", "reference_uri", F.col("label_revision").alias("revision")),
+        ["job_id", "revision"])
     canonical = canonical_id(catalog.select("id", "slug")).select(
         F.col("slug").alias("correct_slug"), F.col("canonical_id").cast("string").alias("item_id")
     ).distinct()
@@ -185,15 +185,17 @@ def publish_feedback(
         labelled & (F.col("item_id").isNull() | N.vector_problem(F.col("embedding"), F.col("model_name"), dim, model).isNotNull())
     )
     rows = rows.withColumn("__broken", F.coalesce(broken, F.lit(True)))
-    ready = feedback.where("embedding_state = 'ready' and correct_slug is not null").groupBy("image_sha256").agg(
-        F.min("correct_slug").alias("__low"), F.max("correct_slug").alias("__high")
-    )
-    usable = rows.where(labelled & ~F.col("__broken")).join(ready, "image_sha256", "left")
+    # Where a label is ready, only that label passes ``against``; the label queued first leads only photos without one.
+    ready = feedback.where("embedding_state = 'ready' and correct_slug is not null").select(
+        "image_sha256", F.col("correct_slug").alias("__ready"))
+    usable = rows.where(labelled & ~F.col("__broken")).select(
+        "image_sha256", F.struct("updated_at", "job_id").alias("__at"), F.col("correct_slug").alias("__usable"))
+    photos = ready.unionByName(usable, allowMissingColumns=True).groupBy("image_sha256").agg(
+        F.min("__ready").alias("__low"), F.max("__ready").alias("__high"),
+        F.min_by("__usable", F.when(F.col("__usable").isNotNull(), F.col("__at"))).alias("__first"),
+    ).withColumn("__leader", F.when(F.col("__low").isNull(), F.col("__first"))).drop("__first")
     against = F.coalesce((F.col("__low") != F.col("correct_slug")) | (F.col("__high") != F.col("correct_slug")), F.lit(False))
-    leader = usable.where(~against).groupBy("image_sha256").agg(
-        F.min_by("correct_slug", F.struct("updated_at", "job_id")).alias("__leader")
-    )
-    judged = rows.join(ready, "image_sha256", "left").join(leader, "image_sha256", "left")
+    judged = rows.join(photos, "image_sha256", "left")
     fails = F.col("__broken") | (labelled & (against | (F.col("correct_slug") != F.coalesce("__leader", "correct_slug"))))
     uri = F.when(labelled, F.concat(F.lit(K.FEEDBACK_PREFIX), "item_id", F.lit("/"), "digest", F.lit(".png")))
     judged = judged.select(

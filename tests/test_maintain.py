@@ -180,3 +180,15 @@ def test_publish_feedback_conflicts_and_stale(spark):
         "d": ("failed", "pending", None), "e": ("queued", "pending", None), "f": ("unlabeled", "pending", None), "g": ("failed", "pending", None),
         "h": ("failed", "pending", None)}
     assert [(r["item_id"], r["image_uri"]) for r in table.collect()] == [("4", "/data/reference/feedback/4/da.png")]
+
+
+def test_publication_meets_photos_and_jobs_once(spark):
+    from __spark_entry__ import queries
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries()["publish_feedback"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning(image_sha256") <= 2 and "LeftSemi" not in plan
