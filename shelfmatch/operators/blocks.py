@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from shelfmatch import constants as K
 from shelfmatch.functions import text as X
 from shelfmatch.functions import vectors as N
 from shelfmatch.operators.joins import joinable_blocks
-from shelfmatch.operators.ranking import reading_order
+from shelfmatch.operators.ranking import reading_key, reading_order
 from shelfmatch.session import cut_lineage
 from shelfmatch.skew import first_per_key
 
@@ -19,15 +21,42 @@ BLOCK_IOU = 0.6
 def build_blocks(raw: DataFrame) -> DataFrame:
     """Normalized, non-empty blocks in reading order without duplicates."""
     normal = raw.withColumn("normalized_text", X.normalize_text(F.col("text"))).where("normalized_text <> ''")
-    return duplicate_blocks(reading_order(normal))
+    return duplicate_blocks(cut_lineage(reading_order(normal)))
 
 
 GROUP = ["image_id", "normalized_text"]
 
 
-def duplicate_blocks(blocks: DataFrame, iou: float = BLOCK_IOU) -> DataFrame:
+#: Blocks of one text up to which a photo's are folded where they meet; more of them are swept for connected groups.
+FEW_COPIES = 64
+
+
+def duplicate_blocks(blocks: DataFrame, iou: float = BLOCK_IOU, order: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Drop blocks of equal text that overlap, keeping the more confident one in the first place.
 
+    A block alone with its text meets nothing: it stays where it is, and only digests of image and text
+    are counted. The others move, by image and text; up to FEW_COPIES of them are folded in order where
+    they meet, and larger groups are swept (``_without_copies``). Digests that are equal by chance only
+    send blocks the longer way. Blocks without ``pos`` are taken in reading order, and ``order`` numbers
+    those of larger groups; the result has no ``pos`` either. ``blocks`` is read three times.
+    """
+    digest = F.xxhash64(*GROUP).alias("__digest")
+    shared = cut_lineage(blocks.groupBy(digest).count().where("count > 1"))
+    crowded = shared.where(F.col("count") > FEW_COPIES)
+    chosen = lambda digests, how: blocks.select("*", digest).join(digests.select("__digest"), "__digest", how).select(*blocks.columns)
+    place = reading_key() if order else F.col("pos")
+    few = chosen(shared.where(F.col("count") <= FEW_COPIES), "left_semi").withColumn("first_pos", place)
+    kept = chosen(shared, "left_anti").unionByName(_fold(few, GROUP, ["first_pos", *blocks.columns], iou).drop("first_pos"))
+    if crowded.isEmpty():
+        return kept
+    many = cut_lineage(chosen(crowded, "left_semi"))
+    many = cut_lineage(order(many)) if order else many
+    return kept.unionByName(_without_copies(many, iou).select(*blocks.columns))
+
+
+def _without_copies(blocks: DataFrame, iou: float) -> DataFrame:
+    """``duplicate_blocks`` of numbered blocks, however many share their text.
+
     The rule depends on order, and a kept block may be replaced before the next one is compared. It
     only ever compares blocks of equal text in one photo that overlap, so the unit of work is a
     connected group of overlapping boxes, found by a sweep down and a sweep across (``connected_runs``):
@@ -38,10 +67,6 @@ def duplicate_blocks(blocks: DataFrame, iou: float = BLOCK_IOU) -> DataFrame:
       first on ties, stands for all and meets that block alone.
     """
     columns = blocks.columns
-    # A block alone with its text has nothing to meet. Several branches read the others, and every step of a sweep.
-    sizes = blocks.groupBy(*[F.col(c).alias(f"{c}_n") for c in GROUP]).agg((F.count(F.lit(1)) > 1).alias("__several"))
-    counted = cut_lineage(blocks.join(sizes, _same(GROUP, "_n")).select(*columns, "__several"))
-    lone, blocks = (counted.where(c).select(*columns) for c in (~F.col("__several"), F.col("__several")))
     width, height = F.col("box.max_x") - F.col("box.min_x"), F.col("box.max_y") - F.col("box.min_y")
     area = F.coalesce((width > 0) & (height > 0), F.lit(False))
     sure = -F.coalesce("confidence", F.lit(-1.0))
@@ -69,7 +94,7 @@ def duplicate_blocks(blocks: DataFrame, iou: float = BLOCK_IOU) -> DataFrame:
     better = F.coalesce(F.coalesce("__row.confidence", F.lit(-1.0)) > F.coalesce("confidence", F.lit(-1.0)), F.lit(False))
     met = kept.join(meets, _same(GROUP, "_m") & (F.col("first_pos") == F.col("__first")), "left")
     whole = met.select(F.when(F.col("__row").isNotNull() & better, F.col("__row")).otherwise(F.struct(*columns)).alias("r")).select("r.*")
-    return lone.unionByName(whole).unionByName(last.where("__first is null").select("__row.*").select(*columns))
+    return whole.unionByName(last.where("__first is null").select("__row.*").select(*columns))
 
 
 def _same(columns: list[str], suffix: str) -> Column:
@@ -116,7 +141,7 @@ def _fold(work: DataFrame, group: list[str], columns: list[str], iou: float) ->
 
 def _place(kept: Column, row: Column, iou: float) -> Column:
     """The kept blocks after one more block of the same text."""
-    matches = F.transform(kept, lambda k: N.box_iou(k["box"], row["box"]) >= iou)
+    matches = F.transform(kept, lambda k: k["box"].isNull() | row["box"].isNull() | (N.box_iou(k["box"], row["box"]) >= iou))
     place = F.array_position(matches, True)
     sure = lambda r: F.coalesce(r["confidence"], F.lit(-1.0))
     replaced = F.transform(kept, lambda k, i: F.when(

@@ -100,6 +100,12 @@ def reading_order(blocks: DataFrame, band_height: float = 64.0) -> DataFrame:
     return banded_rank(blocks, ["image_id"], order, band, "pos")
 
 
+def reading_key() -> Column:
+    """A value that sorts the blocks of an image as ``reading_order`` numbers them."""
+    top, left = F.col("box.min_y"), F.col("box.min_x")
+    return F.struct(top.isNull().alias("no_top"), top.alias("top"), left.isNull().alias("no_left"), left.alias("left"), "normalized_text", "seq")
+
+
 def queue_order(feedback: DataFrame) -> DataFrame:
     """Queued feedback, oldest first."""
     return feedback.where(F.col("embedding_state") == "queued").orderBy("updated_at", "job_id")

@@ -204,8 +204,8 @@ SELECT image_id, normalized_text, k.pos AS pos, k.c AS confidence FROM (
       ORDER BY min_y NULLS LAST, min_x NULLS LAST, pos) AS rows FROM label_blocks GROUP BY ALL))
 """, ["label_blocks"])
 def duplicate_blocks(t: Tables):
-    blocks = t.label_blocks.withColumn("block", F.col("pos")).drop("pos")
-    kept = B.duplicate_blocks(R.reading_order(blocks))
+    blocks = t.label_blocks.select("image_id", F.col("pos").alias("block"), "seq", "normalized_text", "confidence", "box")
+    kept = B.duplicate_blocks(blocks, order=R.reading_order)
     return kept.select("image_id", "normalized_text", F.col("block").alias("pos"), "confidence")
 
 

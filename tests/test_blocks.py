@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from shelfmatch.operators import blocks as B
 from shelfmatch.operators import joins as J
+from shelfmatch.operators import ranking as R
 
 BOX = "box struct<min_x:double,min_y:double,max_x:double,max_y:double>"
 
@@ -80,6 +81,49 @@ def test_boxes_without_area_all_stay_whatever_their_number(spark):
         assert sorted(r["pos"] for r in rows if r["image_id"] == 1) == [*range(2, n + 1), n + 1]
 
 
+def scattered(rng, image, n):
+    """Blocks of three texts; some without a box, some without area, many equal boxes."""
+    for seq in range(n):
+        box = None if rng.random() < 0.1 else (float(rng.randrange(0, 60, 5)), float(rng.randrange(0, 30, 5)))
+        if box:
+            box = (*box, box[0] + rng.choice([0.0, 40.0, 45.0, 50.0]), box[1] + 20.0)
+        yield image, rng.choice(["a", "b", "c"]), rng.choice([None, 0.2, 0.5, 0.9, 0.95]), box, seq
+
+
+def read_in_order(rows):
+    return sorted(rows, key=lambda r: ((r[3][1], r[3][0]) if r[3] else (1e9, 1e9), r[1], r[4]))
+
+
+BLOCK = f"image_id int, normalized_text string, confidence double, {BOX}, seq long"
+
+
+def test_small_groups_are_neither_swept_nor_numbered(spark, monkeypatch):
+    def swept(*_):
+        raise AssertionError("a small group was swept or numbered")
+
+    monkeypatch.setattr(B, "connected_runs", swept)
+    rng = random.Random(17)
+    rows = [r for image in range(30) for r in scattered(rng, image, 2 + image)] + [(None, "a", 0.5, None, 0), (None, "a", 0.7, None, 1), (None, None, 0.1, None, 2)]
+    want = sorted((r[0] or 0, r[4]) for image in (*range(30), None) for r in brute_dedupe(read_in_order([r for r in rows if r[0] == image and r[1]])))
+    want = sorted([*want, (0, 2)])
+    df = spark.createDataFrame(rows, BLOCK)
+    plain = B.duplicate_blocks(df, order=swept)
+    assert sorted((r["image_id"] or 0, r["seq"]) for r in plain.collect()) == want and plain.columns == df.columns
+    numbered = B.duplicate_blocks(R.reading_order(df))
+    assert sorted((r["image_id"] or 0, r["seq"]) for r in numbered.collect()) == want
+
+
+def test_small_and_large_groups_follow_one_rule(spark):
+    rng = random.Random(19)
+    rows = [r for image in range(6) for r in scattered(rng, image, 3 * B.FEW_COPIES + 100 if image == 2 else 60)]
+    want = sorted((r[0], r[4]) for image in range(6) for r in brute_dedupe(read_in_order([r for r in rows if r[0] == image])))
+    numbered = []
+    order = lambda df: (numbered.append(df.select("image_id").distinct().collect()), R.reading_order(df))[1]
+    got = B.duplicate_blocks(spark.createDataFrame(rows, BLOCK), order=order).collect()
+    assert sorted((r["image_id"], r["seq"]) for r in got) == want
+    assert [[r["image_id"] for r in images] for images in numbered] == [[2]]
+
+
 def test_grid_pairs_equal_direct_pairs(spark):
     rng = random.Random(11)
     rows = []
