@@ -34,10 +34,10 @@ FEW_COPIES = 64
 def duplicate_blocks(blocks: DataFrame, iou: float = BLOCK_IOU, order: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Drop blocks of equal text that overlap, keeping the more confident one in the first place.
 
-    A block alone with its text meets nothing: it stays where it is, and only digests of image and text
-    are counted. The others move, by image and text; up to FEW_COPIES of them are folded in order where
-    they meet, and larger groups are swept (``_without_copies``). Digests that are equal by chance only
-    send blocks the longer way. Blocks without ``pos`` are taken in reading order, and ``order`` numbers
+    A block alone with its text meets nothing and stays as it is; digests of image and text, counted
+    first, tell which. The others move by image and text: up to FEW_COPIES of them are folded in order
+    where they meet, and larger groups are swept (``_without_copies``). Digests that are equal by chance
+    only send blocks the longer way. Blocks without ``pos`` are taken in reading order, and ``order`` numbers
     those of larger groups; the result has no ``pos`` either. ``blocks`` is read three times.
     """
     digest = F.xxhash64(*GROUP).alias("__digest")
