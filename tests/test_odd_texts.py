@@ -20,3 +20,9 @@ def equals_sql(spark, tmp_path, name, table, df):
 def test_collapse_html_text_resolves_what_its_sql_lists(spark, tmp_path):
     texts = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
     equals_sql(spark, tmp_path, "collapse_html_text", "documents", texts)
+
+
+def test_page_name_resolves_what_its_sql_lists(spark, tmp_path):
+    """Headings are cut at some length, so an entity may have lost its end."""
+    pages = [(i, f"https://shop.example.org/{i}", text and f"<!-- ad --><script>var t;</script><h1 class='x'>{text}</h1><p>{text}</p>") for i, text in enumerate(ODD)]
+    equals_sql(spark, tmp_path, "page_name", "pages", spark.createDataFrame(pages, "page_id long, url string, html string"))
