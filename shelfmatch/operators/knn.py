@@ -21,6 +21,7 @@ from shelfmatch.skew import first_per_key, top_per_key
 TIE_DIGITS = 12
 BLOCK_BYTES = 64 * 1024 * 1024
 CELL_MULTIPLIES = 4e9
+CELL_WINNERS = 4_000_000
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
@@ -209,16 +210,16 @@ def _smallest_of_groups(dist, best, starts, tie, k):
     return rows[keep], cols[keep]
 
 
-def _blocks(queries: DataFrame, refs: DataFrame, vector: str, block_bytes: int) -> tuple[int, int]:
+def _blocks(queries: DataFrame, refs: DataFrame, vector: str, block_bytes: int, k: int = 1) -> tuple[int, int]:
     """Number of query and reference blocks, from two row counts and one vector's width.
 
-    Cells have bounded bytes and work. Of the ways to cut so many, the one that copies fewest rows has
-    blocks in the ratio of the two row counts.
+    Cells have bounded bytes, work and, where ``k`` is all there are, rows to return. Of the ways to cut
+    so many, the one that copies fewest rows has blocks in the ratio of the two row counts.
     """
     n_q, n_r = queries.count(), refs.count()
     widest = refs.select(F.size(vector).alias("n")).where("n > 0").first()
     dim = widest["n"] if widest else 1
-    cells = max(1, -(-n_q * n_r * dim // int(CELL_MULTIPLIES)))
+    cells = max(1, -(-n_q * n_r * dim // int(CELL_MULTIPLIES)), -(-n_q * min(k, n_r) // CELL_WINNERS))
     r_blocks = max(1, -(-n_r * dim * 8 // block_bytes), min(cells, round((cells * n_r / max(n_q, 1)) ** 0.5)))
     return max(1, -(-n_q * dim * 8 // block_bytes), -(-cells // r_blocks)), r_blocks
 
@@ -241,7 +242,7 @@ def _search(
     r = refs.where(usable).select(
         *ref_cols, model, F.col(tie).alias("__tie"), F.col(vector).cast("array<float>").alias("__vector")
     )
-    q_blocks, r_blocks = _blocks(queries, refs, vector, block_bytes)
+    q_blocks, r_blocks = _blocks(queries, refs, vector, block_bytes, k)
     cell = [model, "__width", "__rb", "__qb"]
     q = q.withColumn("__qb", F.pmod(F.xxhash64(query_id), F.lit(q_blocks))).withColumn(
         "__rb", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1)))

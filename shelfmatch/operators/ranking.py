@@ -68,9 +68,9 @@ def stable_ties(scores: DataFrame, order: str = "src_order") -> DataFrame:
     return rank_bounded(scores, ["query_id"], [F.desc("score"), F.col(order)])
 
 
-def top_ids(ranked: DataFrame, n: int = K.SHORTLIST_LIMIT, item: str = "item_id") -> DataFrame:
-    """Ids of the best ``n`` items, in order."""
-    top = ranked.where(F.col("rank") <= n)
+def top_ids(ranked: DataFrame, n: int | None = K.SHORTLIST_LIMIT, item: str = "item_id") -> DataFrame:
+    """Ids of the best ``n`` items, or of all, in order."""
+    top = ranked if n is None else ranked.where(F.col("rank") <= n)
     ids = F.sort_array(F.collect_list(F.struct("rank", item)))
     return top.groupBy("query_id").agg(ids.alias("r")).select(
         "query_id", F.transform("r", lambda e: e[item]).alias("ids")

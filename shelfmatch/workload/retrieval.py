@@ -160,10 +160,11 @@ def eval_queries_vs_index(t: Tables):
     return J.eval_queries_vs_index(labelled, t.refs)[1]
 
 
-@query(_with(DISTANCES, "SELECT query_id, string_agg(item_id, ',' ORDER BY rank) AS ids FROM ranked WHERE rank <= 4 GROUP BY 1"), VECTORS)
+@query(_with(DISTANCES, "SELECT query_id, string_agg(item_id, ',' ORDER BY rank) AS ids FROM ranked GROUP BY 1"), VECTORS)
 def top_ids(t: Tables):
-    ranked = P.search_items(t.photo_queries, t.refs, 4)
-    return R.top_ids(ranked).withColumn("ids", F.array_join("ids", ","))
+    """All items of a query's model, the nearest first."""
+    ranked = P.search_items(t.photo_queries, t.refs, _items(t))
+    return R.top_ids(ranked, None).withColumn("ids", F.array_join("ids", ","))
 
 
 @query(_with(DISTANCES, """
