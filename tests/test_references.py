@@ -30,3 +30,13 @@ def test_references_by_item_equals_a_plain_join(spark):
     want = Counter((i, q, o, u) for q, i, o in asked for item, u in photos if item == i and i)
     assert Counter(tuple(r) for r in found.collect()) == want and found.columns == ["item_id", "query_id", "request_order", "image_uri"]
     assert Counter(tuple(r) for r in missing.select("query_id", "item_id").collect()) == Counter((q, i) for q, i, _ in asked if i in ("none", None))
+
+
+def test_files_of_pairs_take_little_disk(spark, tmp_path):
+    """Rows of a cell come in an order that lets columns repeat; the result grows with the square of its tables."""
+    ids = spark.range(0, 4000).select(F.col("id").alias("query_id"), F.lit("a").alias("item_id"))
+    photos = spark.range(0, 2000).select(F.lit("a").alias("item_id"), F.concat(F.lit("/data/p"), "id").alias("image_uri"))
+    J.references_by_item(ids, photos)[0].write.parquet(f"{tmp_path}/found")
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 0.25 * 4000 * 2000
+    found = spark.read.parquet(f"{tmp_path}/found")
+    assert found.distinct().count() == found.count() == 4000 * 2000
